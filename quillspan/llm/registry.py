@@ -1,14 +1,18 @@
 """Queries of this subpackage, and the SQL of those that SQL can express."""
 
 from .language import op4_language_id
+from .mixing import op10_mixing
+from .packing import op1_best_fit_packing
 from .secrets import op3_secret_scans
 from .toxicity import op6_toxicity
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op3_secret_scans": op3_secret_scans,
     "op4_language_id": op4_language_id,
     "op6_toxicity": op6_toxicity,
+    "op10_mixing": op10_mixing,
 }
 
-#: None of these can be told in SQL (models, hashes of spans); tests/llm holds them against brute force.
+#: None of these can be told in SQL (models, hashes of spans, random rounding); tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}

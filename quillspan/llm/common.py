@@ -67,7 +67,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if column.null_count:
         column = pc.fill_null(column, "")
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     offs = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if offsets else np.zeros(len(column) + 1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
@@ -85,7 +85,6 @@ def runs_of(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int
 
 # ---------------------------------------------------------------- rolling hashes
 
-_MASK = (1 << 64) - 1
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

@@ -2,15 +2,24 @@
 
 from .language import op4_language_id
 from .mixing import op10_mixing
+from .near_duplicates import op7_near_duplicates
 from .packing import op1_best_fit_packing
 from .secrets import op3_secret_scans
+from .substrings import op2_substring_dedup
+from .suffixes import op5_suffix_array_dedup
 from .toxicity import op6_toxicity
+from .vectors import op8_exact_top_k, op9_nearest_neighbours
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_secret_scans": op3_secret_scans,
     "op4_language_id": op4_language_id,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_near_duplicates": op7_near_duplicates,
+    "op8_exact_top_k": op8_exact_top_k,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_mixing": op10_mixing,
 }
 

@@ -13,7 +13,7 @@ columns are ignored; an empty table gives an empty result; very long texts are c
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -35,47 +35,41 @@ GENERATIONS = 4
 POPULATION = 4
 #: Bins of a shard below this fill are opened for the common last round.
 POOR = 0.97
-#: Words whose ids a worker keeps; it starts anew beyond.
-KEPT_WORDS = 400_000
 
-_ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
-_SAFE = re.compile(r"(?<=\S)(?= \S)")
+#: How a byte-level vocabulary of this family parts a text into words.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _byte_letters() -> dict[str, int]:
+    """The printable letter that stands for each byte in a byte-level vocabulary: itself where it is printable, else
+    the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+_BYTES = _byte_letters()
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes. The pre-tokenizer starts a new word at a single space
-    between two solid characters and at a single newline, so ids are kept word by word."""
+    """Ids of texts as little-endian unsigned 32-bit bytes. The vocabulary's ranks drive a byte-pair encoder that
+    gives the same ids as the tokenizer file; a text that spells out a special token goes to the tokenizer itself."""
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-
-    def learn(self, new: list[str]) -> None:
-        if len(self.words) + len(new) > KEPT_WORDS:
-            self.words.clear()
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[word] = np.array(got.ids, "<u4").tobytes()
+        with open(path, encoding="utf-8") as file:
+            content = json.load(file)
+        self.special = [t["content"] for t in content["added_tokens"]]
+        ranks = {bytes(map(_BYTES.__getitem__, token)): rank for token, rank in content["model"]["vocab"].items() if token not in self.special}
+        self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _ODD.search(text):
-            parts = _SAFE.split(text)
-        else:
-            parts = text.replace("\n", "\v\n").replace(" ", "\v ").split("\v")
-        try:
-            return b"".join(map(self.words.__getitem__, parts))
-        except KeyError:
-            pass
-        self.learn(list({p for p in parts if p not in self.words}))
-        missing = [p for p in parts if p not in self.words]  # the words were dropped on the way
-        if missing:
-            self.learn(list(set(parts)))
-        return b"".join(map(self.words.__getitem__, parts))
+        if any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 def tokenizer_path() -> str:

@@ -12,10 +12,13 @@ from quillspan.operators.headings import headings
 from quillspan.operators.pages import pages_for_range
 from quillspan.operators.splitter import recursive_chunks
 
-CHUNK_SCHEMA = T.StructType.fromDDL(
-    "document_id string, chunk_index int, filename string, upload_date string, text string, chunk_size int, document_type string, structured_fields string, "
-    "source_start_byte bigint, source_end_byte bigint, page_start int, page_end int, provenance_id string, retrieval_text string, embedding array<float>"
-)
+#: Names and types of a stored chunk.
+CHUNK_FIELDS = (
+    ("document_id", T.StringType()), ("chunk_index", T.IntegerType()), ("filename", T.StringType()), ("upload_date", T.StringType()), ("text", T.StringType()),
+    ("chunk_size", T.IntegerType()), ("document_type", T.StringType()), ("structured_fields", T.StringType()), ("source_start_byte", T.LongType()), ("source_end_byte", T.LongType()),
+    ("page_start", T.IntegerType()), ("page_end", T.IntegerType()), ("provenance_id", T.StringType()), ("retrieval_text", T.StringType()), ("embedding", T.ArrayType(T.FloatType())),
+)
+CHUNK_SCHEMA = T.StructType([T.StructField(n, t) for n, t in CHUNK_FIELDS])
 
 
 def ingest(documents: DataFrame, embedder: Embedder | None = None, enricher: ChunkEnricher | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ _WORDS = (b"passw", b"secret", b"token", b"api")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
 _HEX_HINT = re.compile(rb"[0-9a-f]{12}")
-_WEAK_ID = re.compile(rb"(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{4,})", re.IGNORECASE)
+_WEAK_ID = re.compile(rb"(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{2,})", re.IGNORECASE)
 _WEAK_SECRET = re.compile(rb"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[A-Z])(?=[A-Za-z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,}")
 _ENDPOINT = re.compile(rb"(?:https?|postgres(?:ql)?|mysql|redis|amqp|s3)://[A-Za-z0-9._-]+(?::[0-9]+)?|(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._-]{4,}", re.IGNORECASE)
 _ENDPOINT_HINTS = (b"://", b"host", b"endpoint", b"server")

@@ -5,6 +5,9 @@ Word rule used throughout: a word is a maximal run of bytes outside space and 0x
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -83,6 +86,24 @@ def runs_of(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int
         i = min(j, n)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: an executor's idle workers would otherwise hold their largest task's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(run):
+    """An Arrow function that trims its worker after the last batch."""
+
+    @functools.wraps(run)
+    def inner(batches):
+        yield from run(batches)
+        trim()
+
+    return inner
+
+
 # ---------------------------------------------------------------- rolling hashes
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)

@@ -6,9 +6,11 @@ shingle stops once its next arrival comes after every register's. Equal register
 Jaccard similarity. Bands of registers give candidate buckets.
 
 A bucket's members are compared with its pivot only, never pairwise: the pivot is the most central member, the
-one whose buckets are largest together, so that the source of many edited copies comes first. Members that fail
-go on with the next pivot, while a round still finds links. Each comparison is exact: probability Jaccard of the
-whole multisets, SIMILAR or more. Documents of equal words are one node throughout, however many they are.
+one whose buckets are largest together, so that the source of many edited copies comes first. While rounds
+still find many links (GAIN), a bucket's next PIVOTS pivots are the most central members that have neither a link nor
+been a pivot. Each comparison is exact: probability Jaccard of the whole multisets, SIMILAR or more. Rows of a part
+(neighbouring rows of the table) with equal words are one node, and a part asks for a bucket once, however many
+copies there are.
 
 Defined results: null text or text without words is in a class of its own; repeated rows share a class; a class
 is named by its least doc_id (null counts last); extra columns are ignored; an empty table gives an empty result.
@@ -24,14 +26,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, mix, row_key, runs_of, text_buffers, window_hashes, word_hashes, word_spans, written
+from .parts import BUCKET, answers, arrays_of, asked, frame, member
 
 SHINGLE = 5
 SIMILAR = 0.8
 ROWS = 6
 BANDS = 32
 REGISTERS = ROWS * BANDS
-#: Bytes of text whose shingles are hashed at once.
+#: Bytes of text that make a part, whose shingles are hashed at once.
 CHUNK = 1_000_000
+PART_SHIFT = 32
+#: Rounds go on while a round finds a link for this share of the members of buckets.
+GAIN = 0.02
+#: Pivots of a bucket in each round after the first.
+PIVOTS = 3
+#: Edges that one task contracts at once.
+EDGES = 500_000
 
 _STEP = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -88,34 +98,137 @@ def band_keys(kept: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def signed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """uid, doc_id, content, bands of each row, stored."""
+    """part, payload: the rows of docs in parts, stored. A part holds uid, doc_id, known (whether doc_id isn't null),
+    head (the place of the first row of the same words; -1 without words) and, for each head, its bands."""
     cols = docs.select(row_key().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() << PART_SHIFT
         for batch in batches:
             data, offsets = text_buffers(batch.column(2))
             for i, j in runs_of(offsets, CHUNK):
                 doc, keys, weight, content = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                bands = band_keys(signatures(doc, keys, weight, j - i)).view(np.int64)
-                has = content != 0
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(has * BANDS)], pa.int32()), pa.array(bands[has].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(content.view(np.int64)), lists], ["uid", "doc_id", "content", "bands"])
-
-    return written(cols.mapInArrow(run, "uid bigint, doc_id bigint, content bigint, bands array<bigint>"), "near-signed")
+                first, back = np.unique(content, return_index=True, return_inverse=True)[1:]
+                head = np.where(content != 0, first[back], -1)
+                own = head == np.arange(j - i)
+                new = np.cumsum(own) - 1
+                mine = own[doc]
+                bands = band_keys(signatures(new[doc[mine]], keys[mine], weight[mine], int(own.sum())))
+                ids = batch.column(1)[i:j]
+                blob = frame({
+                    "uid": batch.column(0)[i:j].to_numpy(), "doc_id": ids.fill_null(0).to_numpy(), "known": (~ids.is_null().to_numpy(zero_copy_only=False)).astype(np.uint8),
+                    "head": head, "bands": bands.ravel(),
+                })
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([blob], pa.binary())], ["part", "payload"])
+                part += 1
+
+    return written(cols.mapInArrow(run, "part bigint, payload binary"), "near-signed")
+
+
+def ask_counts(own: dict, _: list) -> dict[str, np.ndarray]:
+    key, count = np.unique(own["bands"], return_counts=True)
+    return {"key": key, "count": count.astype(np.int64)}
+
+
+def bucket_sizes(asks: list[dict], parts: np.ndarray) -> Iterator[tuple[int, dict]]:
+    """The sizes of the buckets of two members or more."""
+    key, count = np.concatenate([a["key"] for a in asks]), np.concatenate([a["count"] for a in asks])
+    by = np.repeat(np.arange(len(asks)), [len(a["key"]) for a in asks])
+    back = np.unique(key, return_inverse=True)[1]
+    total = np.bincount(back, weights=count).astype(np.int64)[back]
+    for k in np.unique(by[total > 1]):
+        own = (by == k) & (total > 1)
+        yield int(k), {"key": key[own], "total": total[own]}
+
+
+def members(parts: DataFrame) -> DataFrame:
+    """part, payload: the heads that share a bucket, stored: uid and central (the sum of the sizes of its buckets) of
+    each, and its buckets as key and row."""
+    sizes = answers(asked(parts, ask_counts, bucket_count_of(parts), arrays_of), bucket_sizes)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                own = arrays_of(batch.column("payload")[r].as_py())
+                got = [arrays_of(b) for b in batch.column("answers")[r].as_py()]
+                known, total = np.concatenate([g["key"] for g in got]), np.concatenate([g["total"] for g in got])
+                order = np.argsort(known)
+                known, total = known[order], total[order]
+                hit = np.flatnonzero(member(own["bands"], known))
+                row = hit // BANDS
+                central = np.bincount(row, weights=total[np.searchsorted(known, own["bands"][hit])])
+                used, place = np.unique(row, return_inverse=True)
+                heads = own["uid"][own["head"] == np.arange(len(own["head"]))]
+                blob = frame({"uid": heads[used], "central": central[used].astype(np.int64), "key": own["bands"][hit], "row": place})
+                yield pa.RecordBatch.from_arrays([batch.column("part")[r : r + 1], pa.array([blob], pa.binary())], ["part", "payload"])
+
+    return written(parts.join(sizes, "part").mapInArrow(run, "part bigint, payload binary"), "near-members")
+
+
+def bucket_count_of(parts: DataFrame) -> int:
+    """Buckets for the exchange, by the bytes of the parts."""
+    return max(8, int((parts.agg(F.sum(F.octet_length("payload").cast("long"))).first()[0] or 0) / 8 / BUCKET))
+
+
+def best_open(key: np.ndarray, central: np.ndarray, uid: np.ndarray, most: int) -> np.ndarray:
+    """Places of the most central members of each key, ties to the smaller uid."""
+    order = np.lexsort((uid, -central, key))
+    first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(order) else np.zeros(0, np.int64)
+    place = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+    return order[place < most]
+
+
+def pivot_pairs(parts: DataFrame, closed: DataFrame | None, most: int) -> DataFrame:
+    """a, b: each bucket's pivots a and its other members b. A bucket's pivots are its most central members that
+    aren't closed. closed: scan, answers, blobs of uids by the partition of the scan that they come from."""
+
+    def ask(own: dict, said: list[bytes]) -> dict[str, np.ndarray]:
+        """The part's best open members of each bucket, or -1 for one that has none."""
+        got = np.sort(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(b, np.int64) for b in said)]))
+        row = own["row"]
+        central = np.where(member(own["uid"], got), -1, own["central"])[row]
+        first = best_open(own["key"], central, own["uid"][row], most)
+        return {"key": own["key"][first], "central": central[first], "uid": own["uid"][row][first]}
+
+    def choose(asks: list[dict], asking: np.ndarray) -> Iterator[tuple[int, dict]]:
+        key, central, uid = (np.concatenate([x[c] for x in asks]) for c in ("key", "central", "uid"))
+        by = np.repeat(np.arange(len(asks)), [len(x["key"]) for x in asks])
+        best = best_open(key, central, uid, most)
+        best = best[central[best] >= 0]
+        for k in np.unique(by):
+            mine = best[member(key[best], np.unique(key[by == k]))]
+            if len(mine):
+                yield int(k), {"key": key[mine], "pivot": uid[mine]}
+
+    state = parts
+    if closed is not None:
+        state = parts.withColumn("scan", F.shiftright("part", PART_SHIFT)).join(closed, "scan", "left").select("part", "payload", "answers")
+    pivots = answers(asked(state, ask, bucket_count_of(parts), arrays_of), choose)
 
-def candidate_buckets(reps: DataFrame) -> DataFrame:
-    """band, uid, central: members of the buckets of two or more, with the sum of the sizes of a member's buckets."""
-    rows = reps.select("uid", F.explode("bands").alias("band"))
-    full = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(rows.join(full, "band"), "near-members")
-    central = members.groupBy("uid").agg(F.sum("n").alias("central"))
-    return written(members.join(central, "uid").select("band", "uid", "central"), "near-buckets")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                own = arrays_of(batch.column("payload")[r].as_py())
+                got = [arrays_of(b) for b in batch.column("answers")[r].as_py()]
+                known, pivot = np.concatenate([g["key"] for g in got]), np.concatenate([g["pivot"] for g in got])
+                order = np.argsort(known, kind="stable")
+                known, pivot = known[order], pivot[order]
+                first, last = np.searchsorted(known, own["key"], "left"), np.searchsorted(known, own["key"], "right")
+                n = last - first
+                at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                x, y = pivot[at], np.repeat(own["uid"][own["row"]], n)
+                pair = np.unique(np.stack([x, y], 1)[x != y], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+
+    return parts.join(pivots, "part").mapInArrow(run, "a bigint, b bigint")
 
 
 def shingle_table(docs: DataFrame, uids: DataFrame, text: str = "text") -> DataFrame:
     """uid, own: the packed shingles (sorted 32-bit hashes, then their weights) of the given rows, stored."""
-    rows = docs.select(row_key().alias("uid"), F.col(text).alias("text")).join(uids, "uid")
+    # a merge join at every size: the list of candidates grows with the input, so it is never sent to all
+    rows = docs.select(row_key().alias("uid"), F.col(text).alias("text")).join(uids.hint("merge"), "uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +269,8 @@ def similarity(a: bytes, b: bytes) -> float:
 
 def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """pairs (a, b) with similar, whether they are SIMILAR or more, stored."""
-    joined = pairs.join(table.select(F.col("uid").alias("a"), F.col("own").alias("x")), "a").join(table.select(F.col("uid").alias("b"), F.col("own").alias("y")), "b")
+    left, right = table.select(F.col("uid").alias("a"), F.col("own").alias("x")), table.select(F.col("uid").alias("b"), F.col("own").alias("y"))
+    joined = pairs.hint("merge").join(left, "a").join(right.hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,36 +280,71 @@ def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return written(joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, similar boolean"), "near-verified")
 
 
-def links(docs: DataFrame, reps: DataFrame, text: str = "text") -> DataFrame:
-    """a, b: verified links between rows of different words."""
-    buckets = candidate_buckets(reps)
-    table = shingle_table(docs, buckets.select("uid").distinct(), text)
-    open_ = buckets.withColumn("open", F.lit(True))
-    every, done = None, None
+def links(docs: DataFrame, parts: DataFrame, text: str = "text") -> DataFrame:
+    """a, b: verified links between heads."""
+    own = members(parts)
+
+    def uids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(arrays_of(payload.as_py())["uid"])], ["uid"])
+
+    table = shingle_table(docs, own.select("payload").mapInArrow(uids, "uid bigint"), text)
+    every = spent = closed = None
+    most, size = 1, table.count()
     while True:
-        pivot = open_.where("open").groupBy("band").agg(F.max(F.struct("central", F.negative("uid").alias("uid"))).alias("p")).select("band", F.negative("p.uid").alias("a"))
-        asked = open_.join(pivot, "band").where(F.col("uid") != F.col("a")).select("band", "a", F.col("uid").alias("b"), "open")
-        pairs = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        fresh = verified(pairs, table)
+        fresh = verified(pivot_pairs(own, closed, most), table)
         found = fresh.where("similar").select("a", "b")
         every = found if every is None else every.unionByName(found)
-        done = fresh if done is None else done.unionByName(fresh)
-        if found.isEmpty():
-            return every
-        known = done.select("a", "b", "similar")
-        # a bucket goes on while members are open: they have met no pivot that they resemble
-        state = asked.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).join(known.select(F.col("a").alias("x"), F.col("b").alias("y"), "similar"), ["x", "y"])
-        open_ = state.select("band", F.col("b").alias("uid"), (F.col("open") & ~F.col("similar")).alias("open")).join(buckets, ["band", "uid"])
-        open_ = written(open_, "near-open")
-        if open_.where("open").isEmpty():
+        if found.count() <= GAIN * size:
             return every
+        # closed: members with a link, and spent pivots
+        mine = fresh.select(F.col("a").alias("uid")).unionByName(found.select(F.col("b").alias("uid")))
+        spent = mine if spent is None else spent.unionByName(mine)
+        closed = packed_uids(spent.groupBy(F.shiftright("uid", 33).alias("scan")).agg(F.collect_set("uid").alias("uids")))
+        most = PIVOTS
+
+
+def packed_uids(by_scan: DataFrame) -> DataFrame:
+    """scan, answers: the uids as one blob. A part's rows and its uids come from one partition of the scan."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = [[np.array(u.as_py(), np.int64).tobytes()] for u in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.list_(pa.binary()))], ["scan", "answers"])
+
+    return by_scan.mapInArrow(run, "scan bigint, answers array<binary>")
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges that link the same rows, fewer: each task makes stars of the components of its own edges."""
+    edges = written(edges, "near-links")
+    n = max(1, -(-edges.count() // EDGES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y] if y in up else y
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(x), root(y)
+                up[max(x, y)] = min(x, y)
+        tips = [x for x in up if root(x) != x]
+        for i in range(0, len(tips), 50_000):
+            some = tips[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([root(x) for x in some], pa.int64())], ["a", "b"])
+
+    return edges.repartition(n).mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """uid, root of every end of an edge: the least uid that it is linked to over any number of links. Labels spread
     to neighbours and then jump to their label's label, so a chain of n takes about log n rounds."""
+    edges = written(contracted(edges), "near-stars")
     both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
     labels = written(both.groupBy(F.col("a").alias("uid")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "near-labels")
     while True:
@@ -209,14 +358,24 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("uid", "root")
 
 
+def row_heads(parts: DataFrame) -> DataFrame:
+    """uid, doc_id, head (the uid of the part's first row of the same words) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column("payload"):
+                own = arrays_of(payload.as_py())
+                head = own["uid"][np.where(own["head"] < 0, np.arange(len(own["head"])), own["head"])]
+                yield pa.RecordBatch.from_arrays([pa.array(own["uid"]), pa.array(own["doc_id"], mask=own["known"] == 0), pa.array(head)], ["uid", "doc_id", "head"])
+
+    return parts.select("payload").mapInArrow(run, "uid bigint, doc_id bigint, head bigint")
+
+
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     """uid (row_key()), doc_id, root (the class), class_id (its least doc_id), stays (one row of each class)."""
-    rows = signed(docs, text)
-    heads = rows.where("content != 0").groupBy("content").agg(F.min("uid").alias("head"))
-    reps = written(heads.join(rows.select(F.col("uid").alias("head"), "bands"), "head").select(F.col("head").alias("uid"), "content", "bands"), "near-reps")
-    roots = components(links(docs, reps.select("uid", "bands"), text))
-    head = reps.select("content", F.col("uid").alias("head")).join(roots.withColumnRenamed("uid", "head"), "head", "left").select("content", F.coalesce("root", "head").alias("root"))
-    named = rows.select("uid", "doc_id", "content").join(head, "content", "left").select("uid", "doc_id", F.coalesce("root", "uid").alias("root"))
+    parts = signed(docs, text)
+    roots = components(links(docs, parts, text))
+    named = row_heads(parts).join(roots.withColumnRenamed("uid", "head"), "head", "left").select("uid", "doc_id", F.coalesce("root", "head").alias("root"))
     named = written(named, "near-named")
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first"))
     return named.join(first, "root").select("uid", "doc_id", "root", F.col("first.doc_id").alias("class_id"), (F.col("uid") == F.col("first.uid")).alias("stays"))

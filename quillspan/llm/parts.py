@@ -13,18 +13,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PART_BYTES = 2_000_000
+from .common import frugal, trim
+
+PART_BYTES = 1_000_000
 #: Hashes that a bucket should hold.
 BUCKET = 400_000
 
 
-def parts_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """part, payload: rows (doc_id, text) of docs, whole, in parts of about PART_BYTES or one longer text."""
+def parts_of(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+    """part, payload: rows (doc_id, text) of docs, whole, in parts of about part_bytes or one longer text."""
     cols = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,14 +34,14 @@ def parts_of(docs: DataFrame, text: str = "text") -> DataFrame:
 
         part = TaskContext.get().partitionId() << 32
         for batch in batches:
-            size = np.cumsum([0, *(pa.compute.binary_length(batch.column(1)).to_pylist())])
+            size = np.cumsum([0, *(pc.binary_length(batch.column(1)).to_pylist())])
             i = 0
             while i < batch.num_rows:
-                j = max(i + 1, int(np.searchsorted(size, size[i] + PART_BYTES, "right")) - 1)
+                j = max(i + 1, int(np.searchsorted(size, size[i] + part_bytes, "right")) - 1)
                 yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([packed(batch.slice(i, j - i))], pa.binary())], ["part", "payload"])
                 part, i = part + 1, j
 
-    return cols.mapInArrow(pack, "part bigint, payload binary")
+    return cols.mapInArrow(frugal(pack), "part bigint, payload binary")
 
 
 def packed(batch: pa.RecordBatch) -> bytes:
@@ -68,28 +70,29 @@ def to_buckets(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray
         yield int(at[order[a]]), order[a:b]
 
 
-def asked(parts: DataFrame, ask: Callable[..., dict[str, np.ndarray]], buckets: int) -> DataFrame:
-    """bucket, part, data: what ask(batch of documents, answers) sends of each part. ask gives arrays of equal
+def asked(parts: DataFrame, ask: Callable[..., dict[str, np.ndarray]], buckets: int, opened: Callable | None = None) -> DataFrame:
+    """bucket, part, data: what ask(opened payload, answers) sends of each part; opened: by unpacked(), a batch of
+    documents, unless told otherwise. ask gives arrays of equal
     length; `key` (uint64, each once) deals them to buckets. Answers: the blobs in the column of that name, if any."""
-    answered = "answers" in parts.columns
+    answered, opened = "answers" in parts.columns, opened or unpacked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 part = batch.column("part")[r].as_py()
                 answers = (batch.column("answers")[r].as_py() or []) if answered else []
-                sent = ask(unpacked(batch.column("payload")[r].as_buffer()), answers)
+                sent = ask(opened(batch.column("payload")[r].as_py()), answers)
                 rows = [(b, part, frame({k: v[at] for k, v in sent.items()})) for b, at in to_buckets(sent["key"], buckets)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.binary())], ["bucket", "part", "data"])
 
-    return parts.mapInArrow(run, "bucket bigint, part bigint, data binary")
+    return parts.mapInArrow(frugal(run), "bucket bigint, part bigint, data binary")
 
 
 def frame(arrays: dict[str, np.ndarray]) -> bytes:
-    """Arrays (and lists of bytes) as one blob; zstd where there is text."""
-    batch = pa.RecordBatch.from_arrays([pa.array(v) for v in arrays.values()], list(arrays))
-    if any(pa.types.is_binary(t) for t in batch.schema.types):
-        return b"z" + packed(batch)
+    """Arrays as one blob. Arrays of bytes objects make all of equal length and compressed."""
+    if any(v.dtype == object for v in arrays.values()):
+        columns = [pa.array(v, pa.binary()) if v.dtype == object else pa.array(v) for v in arrays.values()]
+        return b"z" + packed(pa.RecordBatch.from_arrays(columns, list(arrays)))
     head = ",".join(f"{k}:{v.dtype.str}:{len(v)}" for k, v in arrays.items()).encode()
     return b"r" + len(head).to_bytes(2, "little") + head + b"".join(v.tobytes() for v in arrays.values())
 
@@ -111,12 +114,15 @@ def answers(sent: DataFrame, answer: Callable[[list[dict], np.ndarray], Iterator
     """part, answers (array of blobs). answer gets a bucket's arrays, one dict for each part that asked, and the
     parts; it yields (place of the part, arrays)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part", kind="stable")
-        said = [(int(pdf["part"].iloc[k]), frame(arrays)) for k, arrays in answer([arrays_of(b) for b in pdf["data"]], pdf["part"].to_numpy())]
-        return pd.DataFrame({"part": pd.Series([s[0] for s in said], dtype="int64"), "blob": [s[1] for s in said]})
+    def run(table: pa.Table) -> pa.Table:
+        parts = table.column("part").to_numpy()
+        order = np.argsort(parts, kind="stable")
+        data = table.column("data")
+        said = [(int(parts[order[k]]), frame(arrays)) for k, arrays in answer([arrays_of(data[int(i)].as_py()) for i in order], parts[order])]
+        trim()
+        return pa.table({"part": pa.array([x[0] for x in said], pa.int64()), "blob": pa.array([x[1] for x in said], pa.binary())})
 
-    replied = sent.groupBy("bucket").applyInPandas(run, "part bigint, blob binary")
+    replied = sent.groupBy("bucket").applyInArrow(run, "part bigint, blob binary")
     return replied.groupBy("part").agg(F.collect_list("blob").alias("answers"))  # at most what the part has asked
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_buffers, window_hashes, with_fields, word_hashes, word_spans
+from .common import documents, frugal, text_buffers, window_hashes, with_fields, word_hashes, word_spans
 from .parts import answered_keys, answers, asked, bucket_count, first_each, member, parts_of, repeated_here, repeated_keys, unpacked
 
 WINDOW = 35
@@ -105,7 +105,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                     kept.append(b" ".join(said if not removed[i] else compress(said, ~gone[words.before[i] : words.before[i + 1]])).decode())
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(words.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema.names)
 
-    return parts.join(windows, "part", "left").mapInArrow(cut, schema)
+    return parts.join(windows, "part", "left").mapInArrow(frugal(cut), schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

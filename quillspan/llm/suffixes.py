@@ -21,6 +21,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,18 +29,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_table, documents, prefix_sums, spans_hash, text_buffers, with_fields
+from .common import byte_table, documents, frugal, mix, prefix_sums, spans_hash, text_buffers, with_fields
 from .parts import answers, arrays_of, asked, bucket_count, member, parts_of, repeated_here, unpacked
 
 LENGTH = 100
 GRAM = 36
 STARTS = LENGTH - GRAM + 1
-HOT = 100_000
+HOT = 4_000
 
 PERIOD = 7
 COVER = (0, 1, 3)
-#: Suffixes sorted at once.
-BLOCK = 400_000
+#: Suffixes sorted at once, and bytes of text whose suffixes are ranked at once (all segments of some anchors).
+BLOCK = 200_000
+TEXT = 1_000_000
+#: Bytes of text that a worker holds with all their hashes, some hundred times as many bytes.
+PART_BYTES = 700_000
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _NONE = np.uint64(2**64 - 1)
@@ -70,6 +74,7 @@ class Segments:
         self.sums = [prefix_sums(byte_table(50 + lane)[self.data], base) for lane, base in enumerate(_BASES)]
         starts = np.arange(max(n - GRAM + 1, 0))
         grams = spans_hash(self.sums[0], starts, starts + GRAM, _BASES[0])
+        del starts
         at = least_places(grams, STARTS)  # one for each start at which LENGTH bytes follow in the part
         sizes = np.diff(self.offsets)
         last = np.repeat(self.offsets[1:], sizes)[: len(at)] - LENGTH
@@ -81,7 +86,8 @@ class Segments:
         low, high = edges[:-1], edges[1:] - 1
         keep = sound[low] if len(low) else np.zeros(0, bool)
         self.low, self.high = low[keep], high[keep]
-        self.anchor = grams[at[self.low]] if len(self.low) else np.zeros(0, np.uint64)
+        # least hashes crowd near 0; mixed once more, they fill the buckets evenly
+        self.anchor = mix(grams[at[self.low]]) if len(self.low) else np.zeros(0, np.uint64)
         self.doc = np.searchsorted(self.offsets, self.low, "right") - 1
         ids = batch.column("doc_id").cast(pa.int64())
         own = np.where(ids.is_null().to_numpy(zero_copy_only=False), np.iinfo(np.int64).min, ids.fill_null(0).to_numpy(zero_copy_only=False))
@@ -93,6 +99,9 @@ class Segments:
         self.again = np.zeros(len(self.low), bool)
         self.again[order[1:][same]] = True
 
+    def strings(self, at: np.ndarray, lane: int) -> np.ndarray:
+        return spans_hash(self.sums[lane], at, at + LENGTH, _BASES[lane])
+
 
 def ask_anchors(batch: pa.RecordBatch, _: list) -> dict[str, np.ndarray]:
     own = Segments(batch)
@@ -100,8 +109,8 @@ def ask_anchors(batch: pa.RecordBatch, _: list) -> dict[str, np.ndarray]:
     return {"key": key, "count": np.minimum(count, 255).astype(np.uint8)}
 
 
-def repeated_anchors(asks: list[dict], parts: np.ndarray) -> Iterator[tuple[int, dict]]:
-    """Anchors of several segments, those of more than HOT marked."""
+def repeated_anchors(asks: list[dict], parts: np.ndarray, hot: int = HOT) -> Iterator[tuple[int, dict]]:
+    """Anchors of several segments, those of more than hot marked."""
     key = np.concatenate([a["key"] for a in asks])
     by = np.repeat(np.arange(len(asks)), [len(a["key"]) for a in asks])
     known, back = np.unique(key, return_inverse=True)
@@ -109,7 +118,7 @@ def repeated_anchors(asks: list[dict], parts: np.ndarray) -> Iterator[tuple[int,
     for k in np.unique(by[total > 1]):
         own = np.flatnonzero((by == k) & (total > 1))
         own = own[np.argsort(key[own])]
-        yield int(k), {"key": key[own], "hot": (total[own] > HOT).astype(np.uint8)}
+        yield int(k), {"key": key[own], "hot": (total[own] > hot).astype(np.uint8)}
 
 
 def ask_segments(batch: pa.RecordBatch, said: list[bytes]) -> dict:
@@ -128,18 +137,23 @@ def ask_segments(batch: pa.RecordBatch, said: list[bytes]) -> dict:
     width = own.high[warm] - own.low[warm] + 1
     shift = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
     at = np.repeat(own.low[warm], width) + shift
-    digests = [spans_hash(s, at, at + LENGTH, b) for s, b in zip(own.sums, _BASES, strict=True)]
+    digests = [own.strings(at, lane) for lane in range(2)]
     texts += [x.tobytes() for x in np.stack(digests, 1)] if len(at) else []
     seg = np.concatenate([cool, np.repeat(warm, width)])
-    order = pa.array(texts, pa.binary())
     return {
         "key": np.concatenate([own.anchor[cool], digests[0]]), "seg": seg.astype(np.uint32), "doc_id": own.doc_id[seg],
         "shift": np.concatenate([np.zeros(len(cool), np.uint8), shift.astype(np.uint8)]),
         "starts": np.concatenate([(own.high[cool] - own.low[cool] + 1), np.ones(len(at), np.int64)]).astype(np.uint8),
-        "text": np.array(order.to_pylist(), dtype=object),
+        "text": as_objects(texts),
     }
 
 
+def as_objects(texts: list[bytes]) -> np.ndarray:
+    out = np.empty(len(texts), object)
+    out[:] = texts
+    return out
+
+
 def cover_shifts() -> np.ndarray:
     """shift[a, b]: the least shift that takes both residues into the cover."""
     out = np.zeros((PERIOD, PERIOD), np.int64)
@@ -203,6 +217,35 @@ def suffix_order(text: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndar
         yield block[order], np.r_[False, group[order][1:] == group[order][:-1]]
 
 
+def anchor_groups(key: np.ndarray, sizes: np.ndarray) -> Iterator[slice]:
+    """Runs of the sorted keys, never parting equal ones, of TEXT bytes or one key's."""
+    edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, np.int64)
+    before = np.r_[0, np.cumsum(sizes)][edges]
+    i = 0
+    while i < len(edges) - 1:
+        j = max(i + 1, int(np.searchsorted(before, before[i] + TEXT, "right")) - 1)
+        yield slice(int(edges[i]), int(edges[j]))
+        i = j
+
+
+def later_starts(data: np.ndarray, offsets: np.ndarray, left: np.ndarray, count: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(segment, start in it) of the strings that repeat an earlier one, of the given segments."""
+    sizes = offsets[left + 1] - offsets[left]
+    begin = np.cumsum(sizes) - sizes
+    text = data[np.repeat(offsets[left] - begin, sizes) + np.arange(sizes.sum())]
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at, owner = np.repeat(begin, count) + step, np.repeat(left, count)
+    strings = [prefix_sums(byte_table(90 + lane)[text], b) for lane, b in enumerate(_BASES)]
+    for block, tied in suffix_order(text, at):
+        p = at[block]
+        hashes = [spans_hash(s, p, p + LENGTH, b) for s, b in zip(strings, _BASES, strict=True)]
+        equal = tied & np.r_[False, (hashes[0][1:] == hashes[0][:-1]) & (hashes[1][1:] == hashes[1][:-1])]
+        kind = np.cumsum(~equal)
+        by_age = np.lexsort((step[block], rank[owner[block]], kind))
+        later = by_age[np.r_[False, kind[by_age][1:] == kind[by_age][:-1]]]
+        yield owner[block][later], step[block][later]
+
+
 def repeats_in_bucket(asks: list[dict], parts: np.ndarray) -> Iterator[tuple[int, dict]]:
     """For each part, the starts (seg, low to high from the segment's first) that repeat an earlier string."""
     size = [len(a["seg"]) for a in asks]
@@ -225,25 +268,13 @@ def repeats_in_bucket(asks: list[dict], parts: np.ndarray) -> Iterator[tuple[int
     left = np.flatnonzero(~again)
     left = left[repeated_here(key[left])]  # alone with its anchor, a segment repeats nothing
     left = left[offsets[left + 1] - offsets[left] >= LENGTH]
-    if len(left):
-        sizes = offsets[left + 1] - offsets[left]
-        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        text = data[np.repeat(offsets[left], sizes) + inside]
-        begin = np.cumsum(sizes) - sizes
-        count = starts[left]
-        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        at, owner = np.repeat(begin, count) + step, np.repeat(left, count)
-        strings = [prefix_sums(byte_table(90 + lane)[text], b) for lane, b in enumerate(_BASES)]
-        for block, tied in suffix_order(text, at):
-            p = at[block]
-            hashes = [spans_hash(s, p, p + LENGTH, b) for s, b in zip(strings, _BASES, strict=True)]
-            equal = tied & np.r_[False, (hashes[0][1:] == hashes[0][:-1]) & (hashes[1][1:] == hashes[1][:-1])]
-            kind = np.cumsum(~equal)
-            by_age = np.lexsort((step[block], rank[owner[block]], kind))
-            later = by_age[np.r_[False, kind[by_age][1:] == kind[by_age][:-1]]]
-            low.append(step[block][later])
-            high.append(step[block][later])
-            whose.append(owner[block][later])
+    left = left[np.argsort(key[left], kind="stable")]
+    for some in anchor_groups(key[left], (offsets[left + 1] - offsets[left])):
+        mine = left[some]
+        for owner, place in later_starts(data, offsets, mine, starts[mine], rank):
+            low.append(place)
+            high.append(place)
+            whose.append(owner)
     low, high, whose = np.concatenate(low), np.concatenate(high), np.concatenate(whose)
     order = np.lexsort((low, whose))
     low, high, whose = low[order], high[order], whose[order]
@@ -269,14 +300,14 @@ def removed_bytes(own: Segments, said: list[bytes]) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary), the remaining bytes. docs: a stored table."""
-    parts = parts_of(docs, text)
+    parts = parts_of(docs, text, PART_BYTES)
     per_byte = 2.2 / (STARTS + 1)
-    anchors = answers(asked(parts, ask_anchors, bucket_count(docs, per_byte, text)), repeated_anchors)
+    anchors = answers(asked(parts, ask_anchors, bucket_count(docs, per_byte, text)), functools.partial(repeated_anchors, hot=hot))
     again = parts.join(anchors, "part", "left")
-    # a quarter of the segments, and a tenth as many to a bucket
-    repeats = answers(asked(again, ask_segments, bucket_count(docs, per_byte * 2.5, text)), repeats_in_bucket)
+    # a quarter of the segments, and a fortieth as many to a bucket
+    repeats = answers(asked(again, ask_segments, bucket_count(docs, per_byte * 10, text)), repeats_in_bucket)
     schema = with_fields(docs.select("doc_id").schema, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +326,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                 kept = [left[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([docs_here.column("doc_id"), pa.array(np.diff(own.offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], schema.names)
 
-    return parts.join(repeats, "part", "left").mapInArrow(cut, schema)
+    return parts.join(repeats, "part", "left").mapInArrow(frugal(cut), schema)
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

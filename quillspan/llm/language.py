@@ -33,7 +33,6 @@ LEVEL = 6
 #: Relative margin under which a prediction is marked as rejected.
 NARROW = 0.01
 
-_LETTER = re.compile(r"[^\W\d_]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -88,7 +87,7 @@ class Judge:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score from 0 to 1, rejected)."""
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not any(map(str.isalpha, text)):
             return "und", 0.0, True
         raw = plain(text).encode()
         sizes = self.sizes(raw)

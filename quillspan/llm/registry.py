@@ -1,5 +1,6 @@
 """Queries of this subpackage, and the SQL of those that SQL can express."""
 
+from . import oracles
 from .language import op4_language_id
 from .mixing import op10_mixing
 from .near_duplicates import op7_near_duplicates
@@ -23,5 +24,9 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-#: None of these can be told in SQL (models, hashes of spans, random rounding); tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The others can't be told in SQL (models, token ids, random rounding, classes); tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": oracles.REPEATED_WORDS,
+    "op5_suffix_array_dedup": oracles.REPEATED_BYTES,
+    "op8_exact_top_k": oracles.EXACT_TOP_K,
+}

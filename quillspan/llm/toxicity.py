@@ -2,7 +2,8 @@
 
 A document is a bag of sentences. A sentence's score is a logistic function of its words; the document's score
 is the noisy-or of its sentences and a leak, 1 - (1 - leak) * prod(1 - s_i). Only document labels are learned
-from; the sentence scores then locate the offending sentences.
+from; the sentence scores then locate the offending sentences. A sentence's features are its words and itself as a
+whole, so that copies of a labelled text are known again without their words being held against other texts.
 
 Defined results: null or empty text has no sentences and scores the leak; repeated rows score alike; extra
 columns are ignored; an empty table gives an empty result; with nothing to learn from, every score is 0.
@@ -19,14 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_table, documents, learnable, prefix_sums, runs_of, spans_hash, text_buffers, with_fields
+from .common import byte_table, documents, learnable, mix, prefix_sums, runs_of, spans_hash, text_buffers, with_fields
 
 #: Labelled rows that the classifier is fitted on at most: those with the smallest hashes of their ids.
 SAMPLE_ROWS = 12_000
 THRESHOLD = 0.3
-#: A word is a feature if it stands in so many sampled texts and leans to one label by so many deviations.
-LEAST_TEXTS = 4
-LEAST_LEAN = 4.0
+#: A word or whole sentence weighs if the chance of any such lean to the label among all of them is below this.
+CHANCE = 0.05
+#: Words that a sentence needs to weigh as a whole.
+SENTENCE_WORDS = 3
 #: Weight that every sentence starts from: a sentence of unknown words is all but surely clean.
 CLEAN = -12.0
 ROUNDS = 300
@@ -67,31 +69,63 @@ def sentence_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return hashes, sentence, text, cuts
 
 
+def with_sentences(hashes: np.ndarray, sentence: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, sentence, text, kind): the words (kind 0), and each sentence of some words as a whole (kind 1)."""
+    if not len(hashes):
+        return hashes, sentence, text, np.zeros(0, np.int8)
+    first = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
+    size = np.diff(np.r_[first, len(sentence)])
+    place = (np.arange(len(hashes)) - np.repeat(first, size)).astype(np.uint64)
+    whole = mix(np.add.reduceat(mix(hashes + place * np.uint64(_BASE)), first) + np.uint64(1))
+    use = size >= SENTENCE_WORDS
+    kind = np.r_[np.zeros(len(hashes), np.int8), np.ones(int(use.sum()), np.int8)]
+    return np.r_[hashes, whole[use]], np.r_[sentence, sentence[first][use]], np.r_[text, text[first][use]], kind
+
+
+def leaning(known: int, unit: np.ndarray, feature: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(units, toxic units, whether it weighs) of each feature; each unit counts once for a feature. The chance that a
+    feature leans so far to the label is bounded by exp(-n * divergence) and shared out among all features seen."""
+    pair = np.unique(unit.astype(np.int64) * known + feature)
+    held, of = pair % known, pair // known
+    has = np.bincount(held, minlength=known).astype(float)
+    hits = np.bincount(held, weights=label[of], minlength=known)
+    rate = min(max(float(label[np.unique(unit)].mean()), 1e-6), 1 - 1e-6) if len(unit) else 0.5
+    p = np.clip(hits / np.maximum(has, 1), 1e-12, 1 - 1e-12)
+    divergence = p * np.log(p / rate) + (1 - p) * np.log((1 - p) / (1 - rate))
+    return has, hits, (p > rate) & (has * divergence >= np.log(max(int((has > 0).sum()), 1) / CHANCE))
+
+
 def train(texts: pa.Array, toxic: np.ndarray) -> Model:
     """Noisy-or log likelihood by Adam over the words that lean to a label."""
     data, offsets = text_buffers(texts)
-    words, sents, docs = [], [], []
+    words, sents, docs, kinds = [], [], [], []
     first = 0
     for i, j in runs_of(offsets):
         h, s, d, cuts = sentence_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        h, s, d, k = with_sentences(h, s, d)
         words.append(h)
         sents.append(s + first)
         docs.append(d + i)
+        kinds.append(k)
         first += len(cuts) + 1
     word = np.concatenate([*words, np.zeros(0, np.uint64)])
     sent = np.concatenate([*sents, np.zeros(0, np.int64)])
     doc = np.concatenate([*docs, np.zeros(0, np.int64)])
+    kind = np.concatenate([*kinds, np.zeros(0, np.int8)])
     n, positive = len(toxic), float(toxic.sum())
     rate = min(max(positive / max(n, 1), 1e-6), 1 - 1e-6)
     if not len(word) or positive in (0.0, float(n)):
         return Model(np.zeros(0, np.uint64), np.zeros(0), rate if n else 0.0)
     known, word = np.unique(word, return_inverse=True)
-    pair = np.unique(doc.astype(np.int64) * len(known) + word)
-    held, label = pair % len(known), toxic[pair // len(known)]
-    has = np.bincount(held, minlength=len(known))
-    hits = np.bincount(held, weights=label, minlength=len(known))
-    lean = (hits - has * rate) / np.sqrt(np.maximum(has * rate * (1 - rate), 1e-9))
-    use = np.flatnonzero((has >= LEAST_TEXTS) & (np.abs(lean) >= LEAST_LEAN))
+    # a word counts once for each different sentence, so that copies of a text teach it no words; a sentence once a text
+    content = np.full(first, -1)
+    content[sent[kind == 1]] = word[kind == 1]
+    inside = (kind == 0) & (content[sent] >= 0)
+    marks = np.bincount(content[sent[kind == 1]], weights=toxic[doc[kind == 1]], minlength=len(known)) / np.maximum(np.bincount(content[sent[kind == 1]], minlength=len(known)), 1)
+    has, hits, weighs = leaning(len(known), content[sent[inside]], word[inside], (marks > 0.5).astype(float))
+    whole_has, whole_hits, whole_weighs = leaning(len(known), doc[kind == 1], word[kind == 1], toxic.astype(float))
+    has, hits, weighs = np.where(whole_has > 0, whole_has, has), np.where(whole_has > 0, whole_hits, hits), weighs | whole_weighs
+    use = np.flatnonzero(weighs)
     slot = np.full(len(known), -1)
     slot[use] = np.arange(len(use))
     keep = slot[word] >= 0
@@ -125,6 +159,7 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Model:
 def sentence_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, end, score) of the sentences that hold a word which weighs."""
     h, s, d, cuts = sentence_words(data, offsets)
+    h, s, d, _ = with_sentences(h, s, d)
     at = np.minimum(np.searchsorted(model.words, h), max(len(model.words) - 1, 0))
     hit = np.flatnonzero(model.words[at] == h) if len(model.words) else np.zeros(0, np.int64)
     once, index = np.unique(s[hit].astype(np.int64) * max(len(model.words), 1) + at[hit], return_index=True)

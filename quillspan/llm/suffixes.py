@@ -43,7 +43,7 @@ COVER = (0, 1, 3)
 BLOCK = 200_000
 TEXT = 1_000_000
 #: Bytes of text that a worker holds with all their hashes, some hundred times as many bytes.
-PART_BYTES = 700_000
+PART_BYTES = 1_000_000
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _NONE = np.uint64(2**64 - 1)
@@ -138,12 +138,13 @@ def ask_segments(batch: pa.RecordBatch, said: list[bytes]) -> dict:
     shift = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
     at = np.repeat(own.low[warm], width) + shift
     digests = [own.strings(at, lane) for lane in range(2)]
-    texts += [x.tobytes() for x in np.stack(digests, 1)] if len(at) else []
+    texts += [b""] * len(at)
     seg = np.concatenate([cool, np.repeat(warm, width)])
     return {
         "key": np.concatenate([own.anchor[cool], digests[0]]), "seg": seg.astype(np.uint32), "doc_id": own.doc_id[seg],
         "shift": np.concatenate([np.zeros(len(cool), np.uint8), shift.astype(np.uint8)]),
         "starts": np.concatenate([(own.high[cool] - own.low[cool] + 1), np.ones(len(at), np.int64)]).astype(np.uint8),
+        "content": np.concatenate([own.content[0][cool], digests[0]]), "check": np.concatenate([own.content[1][cool], digests[1]]),
         "text": as_objects(texts),
     }
 
@@ -250,16 +251,14 @@ def repeats_in_bucket(asks: list[dict], parts: np.ndarray) -> Iterator[tuple[int
     """For each part, the starts (seg, low to high from the segment's first) that repeat an earlier string."""
     size = [len(a["seg"]) for a in asks]
     by = np.repeat(np.arange(len(asks)), size)
-    key, seg, doc, shift, starts = (np.concatenate([a[c] for a in asks]) for c in ("key", "seg", "doc_id", "shift", "starts"))
+    key, content, check, seg, doc, shift, starts = (np.concatenate([a[c] for a in asks]) for c in ("key", "content", "check", "seg", "doc_id", "shift", "starts"))
     texts = pa.concat_arrays([a["text"] for a in asks])
     seg, shift, starts = seg.astype(np.int64), shift.astype(np.int64), starts.astype(np.int64)
     rank = np.empty(len(seg), np.int64)
     rank[np.lexsort((shift, seg, by, doc))] = np.arange(len(seg))  # parts come in order
     data, offsets = text_buffers(texts.cast(pa.large_binary()))
-    sums = [prefix_sums(byte_table(70 + lane)[data], b) for lane, b in enumerate(_BASES)]
-    content = [spans_hash(s, offsets[:-1], offsets[1:], b) for s, b in zip(sums, _BASES, strict=True)]
-    order = np.lexsort((rank, content[1], content[0], key))
-    same = (key[order][1:] == key[order][:-1]) & (content[0][order][1:] == content[0][order][:-1]) & (content[1][order][1:] == content[1][order][:-1])
+    order = np.lexsort((rank, check, content, key))
+    same = (key[order][1:] == key[order][:-1]) & (content[order][1:] == content[order][:-1]) & (check[order][1:] == check[order][:-1])
     again = np.zeros(len(seg), bool)
     again[order[1:][same]] = True
     low = [shift[again]]
@@ -306,8 +305,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataF
     per_byte = 2.2 / (STARTS + 1)
     anchors = answers(asked(parts, ask_anchors, bucket_count(docs, per_byte, text)), functools.partial(repeated_anchors, hot=hot))
     again = parts.join(anchors, "part", "left")
-    # a quarter of the segments, and a fortieth as many to a bucket
-    repeats = answers(asked(again, ask_segments, bucket_count(docs, per_byte * 10, text)), repeats_in_bucket)
+    # a quarter of the segments, and a tenth as many to a bucket
+    repeats = answers(asked(again, ask_segments, bucket_count(docs, per_byte * 2.5, text)), repeats_in_bucket)
     schema = with_fields(docs.select("doc_id").schema, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,13 +26,16 @@ def tail(text: Column) -> Column:
 def repeats(text: Column) -> Column:
     """Whether a phrase of the text's tail stands there three times or more. Phrases are taken every STRIDE code
     points; all-blank ones don't count, nor do texts with a short tail."""
-    t = tail(text)
-    n = F.length(t)
-    starts = F.when(n >= PHRASE, F.sequence(F.lit(0), n - PHRASE, F.lit(STRIDE))).otherwise(F.array().cast("array<int>"))
 
-    def again(i: Column) -> Column:
-        phrase = F.substring(t, i + 1, F.lit(PHRASE))
-        blank = F.regexp_replace(phrase, r"(?U)\s", "") == ""
-        return ~blank & ((n - F.length(F.replace(t, phrase, F.lit("")))) / PHRASE >= REPEATS)
+    def judge(t: Column) -> Column:
+        n = F.length(t)
+        starts = F.when(n >= PHRASE, F.sequence(F.lit(0), n - PHRASE, F.lit(STRIDE))).otherwise(F.array().cast("array<int>"))
 
-    return (F.octet_length(t) >= LEAST_BYTES) & F.exists(starts, again)
+        def again(i: Column) -> Column:
+            phrase = F.substring(t, i + 1, F.lit(PHRASE))
+            return phrase.rlike(r"(?U)\S") & ((n - F.length(F.replace(t, phrase, F.lit("")))) / PHRASE >= REPEATS)
+
+        return (F.octet_length(t) >= LEAST_BYTES) & F.exists(starts, again)
+
+    # bound once; inlined, the tail would be cut anew for every phrase
+    return F.transform(F.array(tail(text)), judge)[0]

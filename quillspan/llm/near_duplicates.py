@@ -5,12 +5,13 @@ are a Poisson process of its weight, dealt to REGISTERS registers; a register ke
 shingle stops once its next arrival comes after every register's. Equal registers estimate the probability
 Jaccard similarity. Bands of registers give candidate buckets.
 
-A bucket's members are compared with its pivot only, never pairwise: the pivot is the most central member, the
-one whose buckets are largest together, so that the source of many edited copies comes first. While rounds
-still find many links (GAIN), a bucket's next PIVOTS pivots are the most central members that have neither a link nor
-been a pivot. Each comparison is exact: probability Jaccard of the whole multisets, SIMILAR or more. Rows of a part
-(neighbouring rows of the table) with equal words are one node, and a part asks for a bucket once, however many
-copies there are.
+A bucket's members are first compared with its pivot: the most central member, the one whose buckets are largest
+together, so that the source of many edited copies comes first. While rounds still find many links (GAIN), a bucket's
+next PIVOTS pivots are the most central members that have neither a link nor been a pivot. Then all pairs of a bucket
+whose members are in different classes are compared, but for those that a bound rules out (unlinked_pairs()), so every
+pair of SIMILAR or more that shares a bucket ends in one class. Each comparison is exact: probability Jaccard of the
+whole multisets. Rows of a part (neighbouring rows of the table) with equal words are one node, and a part asks for a
+bucket once, however many copies there are.
 
 Defined results: null text or text without words is in a class of its own; repeated rows share a class; a class
 is named by its least doc_id (null counts last); extra columns are ignored; an empty table gives an empty result.
@@ -36,7 +37,7 @@ REGISTERS = ROWS * BANDS
 #: Bytes of text that make a part, whose shingles are hashed at once.
 CHUNK = 1_000_000
 PART_SHIFT = 32
-#: Rounds go on while a round finds a link for this share of the members of buckets.
+#: Rounds go on while a round finds a link for this share of the members of buckets; the rest is for unlinked_pairs().
 GAIN = 0.02
 #: Pivots of a bucket in each round after the first.
 PIVOTS = 3
@@ -281,7 +282,8 @@ def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, parts: DataFrame, text: str = "text") -> DataFrame:
-    """a, b: verified links between heads."""
+    """a, b: links between heads that make the classes: every pair of SIMILAR or more that shares a bucket is linked
+    over some of them."""
     own = members(parts)
 
     def uids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,12 +299,54 @@ def links(docs: DataFrame, parts: DataFrame, text: str = "text") -> DataFrame:
         found = fresh.where("similar").select("a", "b")
         every = found if every is None else every.unionByName(found)
         if found.count() <= GAIN * size:
-            return every
+            break
         # closed: members with a link, and spent pivots
         mine = fresh.select(F.col("a").alias("uid")).unionByName(found.select(F.col("b").alias("uid")))
         spent = mine if spent is None else spent.unionByName(mine)
         closed = packed_uids(spent.groupBy(F.shiftright("uid", 33).alias("scan")).agg(F.collect_set("uid").alias("uids")))
         most = PIVOTS
+    roots = components(every)
+    rest = verified(unlinked_pairs(own, table, roots), table).where("similar")
+    return roots.select(F.col("uid").alias("a"), F.col("root").alias("b")).unionByName(rest.select("a", "b"))
+
+
+def unlinked_pairs(parts: DataFrame, table: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b: the pairs of members of a bucket that are in different classes and may be SIMILAR or more.
+
+    alone is the share of a member's weight in shingles that no live member of another class has. With p and q the
+    shares of weight of two members and A, B what they have alone, J_P is the sum over shared d of at most
+    p q / (p + A q), which is concave and homogeneous: J_P <= (1 - A) (1 - B) / (1 - A B). So a member with more than
+    1 - SIMILAR alone has no pair, and pages of one template with texts of their own need no comparison."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0):
+                own = arrays_of(payload.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(own["key"].view(np.int64)), pa.array(own["uid"][own["row"]])], ["key", "uid"])
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uid, root, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                x = np.frombuffer(own, np.uint32)
+                x, share = x[: len(x) // 2], x[len(x) // 2 :] / x[len(x) // 2 :].sum(dtype=float)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), uid)), pa.array(np.full(len(x), root)), pa.array(x.view(np.int32)), pa.array(share)], ["uid", "root", "shingle", "share"])
+
+    def in_many(rows: DataFrame, by: str) -> DataFrame:
+        return rows.groupBy(by).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(by)
+
+    member_keys = parts.select("payload").mapInArrow(keys, "key bigint, uid bigint")
+    labelled = written(member_keys.join(roots.hint("merge"), "uid", "left").select("key", "uid", F.coalesce("root", "uid").alias("root")), "near-labelled")
+    live = written(labelled.join(in_many(labelled, "key").hint("merge"), "key"), "near-live")
+    rooted = live.select("uid", "root").distinct()
+    shares = table.join(rooted.hint("merge"), "uid").select("uid", "root", "own").mapInArrow(held, "uid bigint, root bigint, shingle int, share double")
+    shares = written(shares, "near-shares")
+    common = shares.join(in_many(shares, "shingle").hint("merge"), "shingle").groupBy("uid").agg(F.sum("share").alias("common"))
+    alone = common.select("uid", F.greatest(F.lit(0.0), 1 - F.col("common")).alias("alone")).where(F.col("alone") <= 1 - SIMILAR + 1e-6)
+    able = written(live.join(alone.hint("merge"), "uid"), "near-able")
+    x = able.select("key", F.col("uid").alias("a"), F.col("root").alias("ra"), F.col("alone").alias("la"))
+    y = able.select("key", F.col("uid").alias("b"), F.col("root").alias("rb"), F.col("alone").alias("lb"))
+    most = (1 - F.col("la")) * (1 - F.col("lb")) / (1 - F.col("la") * F.col("lb"))
+    return x.join(y.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (most >= SIMILAR - 1e-6)).select("a", "b").distinct()
 
 
 def packed_uids(by_scan: DataFrame) -> DataFrame:

@@ -144,6 +144,19 @@ def test_hub_of_many_edited_copies(spark, tmp_path):
     assert set(got.values()) == {0}
 
 
+def test_pairs_among_pages_of_one_template(spark, tmp_path):
+    """Few pairs among many pages that share buckets but aren't near-duplicates: each is found, whatever the rest is."""
+    template = [f"t{i}" for i in range(176)]
+    rows = [(k, " ".join(template + [f"p{k}x{i}" for i in range(28)])) for k in range(600)]
+    for k in range(10):
+        rows.append((1000 + k, " ".join(template + [f"p{k}x{i}" for i in range(7)] + [f"q{k}x{i}" for i in range(21)])))
+    assert brute.probability_jaccard(brute.shingles(rows[0][1]), brute.shingles(rows[600][1])) >= 0.8
+    assert brute.probability_jaccard(brute.shingles(rows[0][1]), brute.shingles(rows[1][1])) < 0.8
+    spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(3, "doc_id").write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: r.class_id for r in near_duplicates.classes(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert got == {k: k for k in range(600)} | {1000 + k: k for k in range(10)}
+
+
 def test_probability_jaccard_of_weighted_shingles():
     a, b = Counter({"x": 3, "y": 1, "z": 2}), Counter({"x": 1, "y": 4, "q": 1})
     pack = lambda c: (np.array(sorted(map(hash32, c)), np.uint32).tobytes() + np.array([v for _, v in sorted((hash32(k), v) for k, v in c.items())], np.uint32).tobytes())

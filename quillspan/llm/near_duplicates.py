@@ -249,8 +249,6 @@ def similarity(a: bytes, b: bytes) -> float:
     the two ratios of weights."""
     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
     x, u, y, v = x[: len(x) // 2], x[len(x) // 2 :].astype(float), y[: len(y) // 2], y[len(y) // 2 :].astype(float)
-    if min(len(x), len(y)) < SIMILAR * max(len(x), len(y)) * 0.25:
-        return 0.0
     keys = np.union1d(x, y)
     wx, wy = np.zeros(len(keys)), np.zeros(len(keys))
     np.add.at(wx, np.searchsorted(keys, x), u)
@@ -268,6 +266,15 @@ def similarity(a: bytes, b: bytes) -> float:
     return float((1 / total).sum())
 
 
+def similar(a: bytes, b: bytes) -> bool:
+    """Whether two packed multisets are SIMILAR or more. First by the bound of unlinked_pairs(): with p and q the
+    shares of weight in shingles of both, J_P <= p q / (p + q - p q)."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    x, u, y, v = x[: len(x) // 2], x[len(x) // 2 :], y[: len(y) // 2], y[len(y) // 2 :]
+    p, q = u[member(x, y)].sum(dtype=float) / u.sum(dtype=float), v[member(y, x)].sum(dtype=float) / v.sum(dtype=float)
+    return p * q >= (SIMILAR - 1e-6) * (p + q - p * q) and similarity(a, b) >= SIMILAR - 1e-9
+
+
 def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """pairs (a, b) with similar, whether they are SIMILAR or more, stored."""
     left, right = table.select(F.col("uid").alias("a"), F.col("own").alias("x")), table.select(F.col("uid").alias("b"), F.col("own").alias("y"))
@@ -275,7 +282,7 @@ def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = [similarity(x.as_py(), y.as_py()) >= SIMILAR - 1e-9 for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            said = [similar(x.as_py(), y.as_py()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(said, pa.bool_())], ["a", "b", "similar"])
 
     return written(joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, similar boolean"), "near-verified")

@@ -157,6 +157,16 @@ def test_pairs_among_pages_of_one_template(spark, tmp_path):
     assert got == {k: k for k in range(600)} | {1000 + k: k for k in range(10)}
 
 
+def test_heavy_repeats_with_a_varied_tail(spark, tmp_path):
+    """Distinct shingles differ in number, their weights hardly: still near-duplicates."""
+    line = "one two three four five " * 400
+    rows = [(0, line), (1, line + " ".join(f"t{i}" for i in range(100)))]
+    assert brute.probability_jaccard(*(brute.shingles(t) for _, t in rows)) >= 0.8
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: r.class_id for r in near_duplicates.classes(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert got == {0: 0, 1: 0}
+
+
 def test_probability_jaccard_of_weighted_shingles():
     a, b = Counter({"x": 3, "y": 1, "z": 2}), Counter({"x": 1, "y": 4, "q": 1})
     pack = lambda c: (np.array(sorted(map(hash32, c)), np.uint32).tobytes() + np.array([v for _, v in sorted((hash32(k), v) for k, v in c.items())], np.uint32).tobytes())

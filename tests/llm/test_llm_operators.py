@@ -157,6 +157,19 @@ def test_pairs_among_pages_of_one_template(spark, tmp_path):
     assert got == {k: k for k in range(600)} | {1000 + k: k for k in range(10)}
 
 
+def test_long_chain_of_versions(spark, tmp_path):
+    """Only neighbours resemble each other, and each may have been linked to another pivot first."""
+    rng, words, rows = random.Random(3), [f"w{i}" for i in range(204)], []
+    for k in range(3000):
+        for at in rng.sample(range(4, 200), 4):
+            words[at] = f"v{k}x{at}"
+        rows.append((k, " ".join(words)))
+    assert all(brute.probability_jaccard(brute.shingles(rows[k][1]), brute.shingles(rows[k + 1][1])) >= 0.8 for k in range(20))
+    spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(3, "doc_id").write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: r.class_id for r in near_duplicates.classes(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert set(got.values()) == {0}
+
+
 def test_heavy_repeats_with_a_varied_tail(spark, tmp_path):
     """Distinct shingles differ in number, their weights hardly: still near-duplicates."""
     line = "one two three four five " * 400

@@ -8,6 +8,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,9 +28,12 @@ CHUNK_BYTES = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode (tests)
+    and an error on a cluster, whose machines see only their own temporary folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quillspan-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -42,6 +46,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The internal row number of a keyed table, and the text in what goes to Python.
+ROW = "__quillspan_row"
+TEXT = "__quillspan_text"
+
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number for each row, ROW, as a stored table. Numbers are given once and read from then on, so a
+    changed cluster, split size or lost executor between two passes can't join a decision to another row."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def arrow_of(docs: DataFrame, keep: list[str], added: str) -> T.StructType:
+    """The schema of the kept columns and the added ones; a kept column of an added name gives way."""
+    extra = T.StructType.fromDDL(added).fields
+    names = {f.name for f in extra}
+    return T.StructType([*(f for f in docs.select(*keep).schema.fields if f.name not in names), *extra])
+
+
 def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
     """The schema and the fields that the DDL string names."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
@@ -51,11 +73,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def row_key() -> "F.Column":
-    """Identity of a row of a scan. A file scan deals its rows alike each time, so a second scan gives equal keys."""
-    return F.monotonically_increasing_id()
-
-
 def learnable(doc_id) -> "F.Column":
     """Rows from which models may learn: crc32 of the id's text, modulo 4, is not 2. A null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 != 2
@@ -171,13 +188,32 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    sums = prefix_sums(byte_table(lane * 77 + 1)[data], _BASES[lane])
-    return spans_hash(sums, starts, ends, _BASES[lane]) + (ends - starts).astype(np.uint64)
-
-
-def window_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """Hashes of the windows [start, end) of a sequence of word hashes."""
-    return spans_hash(prefix_sums(values, _BASES[lane]), starts, ends, _BASES[lane])
+    """64-bit hashes of the words: each byte is mixed with its place in the word before the sum, so unlike a
+    polynomial modulo 2**64 no pattern of a word makes terms cancel."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    at = np.repeat(starts, size) + place
+    mixed = mix(byte_table(lane * 77 + 1)[data[at]] + place.astype(np.uint64) * np.uint64(_BASES[lane]))
+    return mix(np.add.reduceat(mixed, first) + size.astype(np.uint64))
+
+
+def window_hashes(values: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
+    """Hashes of values[i : i + width] for each i that has so many: windows of twice the width are mixed from two of
+    half, so every step is nonlinear."""
+    if len(values) < width:
+        return np.zeros(0, np.uint64)
+    base = np.uint64(_BASES[lane])
+    out, span = values, 1
+    while span * 2 <= width:
+        out = mix(out[:-span] + out[span:] * base)
+        span *= 2
+    if span < width:
+        rest = width - span
+        out = mix(out[:-rest] + out[rest:] * base + np.uint64(rest))
+    return out
 
 
 def int64(x: np.ndarray) -> pa.Array:

@@ -5,7 +5,7 @@ texts moves few, large, well-compressed rows. A pass reads every part, sends has
 part and bucket, each hash once), and every bucket answers the parts that asked. A hash that fills a corpus
 reaches a bucket once from each part, never once from each place.
 
-Parts must be cut alike in each pass, so the table read must be a stored one.
+Parts are cut once and stored; later passes read them and can't cut them in another way.
 """
 
 from __future__ import annotations
@@ -18,15 +18,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, trim
+from .common import frugal, trim, written
 
 PART_BYTES = 1_000_000
 #: Hashes that a bucket should hold.
 BUCKET = 400_000
+#: Bytes of parts that a task of a join by part should read.
+TASK_BYTES = 128_000_000
 
 
 def parts_of(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
-    """part, payload: rows (doc_id, text) of docs, whole, in parts of about part_bytes or one longer text."""
+    """part, payload: rows (doc_id, text) of docs, whole, in parts of about part_bytes or one longer text; stored."""
     cols = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +43,17 @@ def parts_of(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES)
                 yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([packed(batch.slice(i, j - i))], pa.binary())], ["part", "payload"])
                 part, i = part + 1, j
 
-    return cols.mapInArrow(frugal(pack), "part bigint, payload binary")
+    return written(cols.mapInArrow(frugal(pack), "part bigint, payload binary"), "parts")
+
+
+def with_answers(parts: DataFrame, said: DataFrame) -> DataFrame:
+    """parts with their answers. The exchange has a task for each TASK_BYTES at least, however many the session sets."""
+    size = parts.agg(F.sum(F.octet_length("payload").cast("long"))).first()[0] or 0
+    least = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(least, int(size / TASK_BYTES))
+    if n > least:
+        parts, said = parts.repartition(n, "part"), said.repartition(n, "part")
+    return parts.join(said, "part", "left")
 
 
 def packed(batch: pa.RecordBatch) -> bytes:
@@ -127,26 +139,15 @@ def answers(sent: DataFrame, answer: Callable[[list[dict], np.ndarray], Iterator
 
 
 def repeated_keys(asks: list[dict], parts: np.ndarray) -> Iterator[tuple[int, dict]]:
-    """The keys that two parts or more have sent. With `check`, keys whose checks differ count as different."""
+    """The keys that two parts or more have sent. With `check`, a key is the pair of both."""
     key = np.concatenate([a["key"] for a in asks])
+    check = np.concatenate([a["check"] for a in asks]) if "check" in asks[0] else None
     by = np.repeat(np.arange(len(asks)), [len(a["key"]) for a in asks])
-    if "check" in asks[0]:
-        check = np.concatenate([a["check"] for a in asks])
-        order = np.lexsort((check, key))
-        same = (key[order][1:] == key[order][:-1]) & (check[order][1:] == check[order][:-1])
-    else:
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-    hit = np.zeros(len(key), bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
+    hit = repeated_here(key, check)
     for k in np.unique(by[hit]):
-        yield int(k), {"key": np.sort(key[hit & (by == k)])}
-
-
-def answered_keys(blobs: list[bytes]) -> np.ndarray:
-    """All keys of the answers, sorted."""
-    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(arrays_of(b)["key"] for b in blobs)]))
+        own = np.flatnonzero(hit & (by == k))
+        own = own[np.argsort(key[own], kind="stable")]
+        yield int(k), {"key": key[own]} | ({} if check is None else {"check": check[own]})
 
 
 def member(x: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -156,16 +157,23 @@ def member(x: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, x), len(among) - 1)] == x
 
 
-def repeated_here(keys: np.ndarray) -> np.ndarray:
-    """Which keys stand more than once in the array."""
-    order = np.argsort(keys, kind="stable")
+def member_pairs(x: np.ndarray, check: np.ndarray, among: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Which pairs (x, check) are among the pairs sorted by their first. Of equal firsts two are looked at: with 64
+    bits in a part, three don't occur."""
+    if not len(among):
+        return np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(among, x), len(among) - 1)
+    after = np.minimum(at + 1, len(among) - 1)
+    return ((among[at] == x) & (checks[at] == check)) | ((among[after] == x) & (checks[after] == check))
+
+
+def repeated_here(keys: np.ndarray, check: np.ndarray | None = None) -> np.ndarray:
+    """Which keys (or pairs of key and check) stand more than once in the array."""
+    order = np.argsort(keys, kind="stable") if check is None else np.lexsort((check, keys))
     same = keys[order][1:] == keys[order][:-1]
+    if check is not None:
+        same &= check[order][1:] == check[order][:-1]
     out = np.zeros(len(keys), bool)
     out[order[1:][same]] = True
     out[order[:-1][same]] = True
     return out
-
-
-def first_each(keys: np.ndarray) -> np.ndarray:
-    """Places of the first of each key."""
-    return np.unique(keys, return_index=True)[1]

@@ -5,18 +5,20 @@ same document). Three steps keep the suffix array to what matters:
 
 1. Each LENGTH-byte string has an anchor, its GRAM-byte string of least hash; neighbouring starts share one and
    form a segment. Only segments whose anchor stands elsewhere too can hold a repeat; anchors are exchanged by hash.
-2. Segments are dealt to buckets by anchor. Of equal segments the earliest stays. The others' suffixes are sorted,
-   one suffix bucket (by leading bytes) at a time: by their first 16 bytes, and where these tie by the ranks of the
-   suffixes at cover positions, computed beforehand by prefix doubling on the cover sample alone. Any two suffixes
+2. Segments are dealt to buckets by anchor. Of segments with equal bytes the earliest stays. The others' suffixes are
+   sorted, one suffix bucket (by leading bytes) at a time: by their first 16 bytes, and where these tie by the ranks of
+   the suffixes at cover positions, computed beforehand by prefix doubling on the cover sample alone. Any two suffixes
    have a sample position at a common shift, so no tie needs more than one comparison of ranks.
-3. Neighbours in the suffix array that agree in LENGTH bytes form a class; all but its earliest start are repeats.
+3. Neighbours in the suffix array whose common prefix, compared byte by byte, reaches LENGTH form a class; all but its
+   earliest start are repeats.
 
-An anchor with more than HOT segments (the edge of a passage that stands in much of the corpus) would fill one
-bucket; its segments are dealt start by start, by the hash of the whole string, instead.
+Hashes only deal the work; what is removed was compared by its bytes. An anchor with more than HOT segments (the edge
+of a passage that stands in much of the corpus) would fill one bucket; its segments are dealt start by start, each
+LENGTH-byte string to the bucket of its own hash, and go through the same sort there.
 
 Defined results: null text is empty; rows of one doc_id are ordered as the table is read; the first of repeated
 rows stays; a null doc_id comes first; texts of fewer than LENGTH bytes keep all; extra columns are ignored; an
-empty table gives an empty result.
+empty table gives an empty result; a very long text is one row, worked through in runs of RUN_BYTES.
 """
 
 from __future__ import annotations
@@ -26,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import byte_table, documents, frugal, mix, prefix_sums, spans_hash, text_buffers, with_fields
-from .parts import answers, arrays_of, asked, bucket_count, member, parts_of, repeated_here, unpacked
+from .parts import answers, arrays_of, asked, bucket_count, member, parts_of, repeated_here, unpacked, with_answers
 
 LENGTH = 100
 GRAM = 36
@@ -42,11 +45,11 @@ COVER = (0, 1, 3)
 #: Suffixes sorted at once, and bytes of text whose suffixes are ranked at once (all segments of some anchors).
 BLOCK = 200_000
 TEXT = 1_000_000
-#: Bytes of text that a worker holds with all their hashes, some hundred times as many bytes.
+#: Bytes of text in a part, and bytes that a worker hashes at once, which takes some hundred times as many.
 PART_BYTES = 1_000_000
+RUN_BYTES = 2_000_000
 
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_NONE = np.uint64(2**64 - 1)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def least_places(keys: np.ndarray, width: int) -> np.ndarray:
@@ -66,47 +69,66 @@ def least_places(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 class Segments:
-    """A part's segments: first and last start, anchor hash, document; `again`: an earlier one has the same content."""
+    """A part's segments: first and last start, anchor hash, document; `again`: an earlier one has the same bytes.
+    A segment that crosses the end of a run is two of the same anchor."""
 
     def __init__(self, batch: pa.RecordBatch):
         self.data, self.offsets = text_buffers(batch.column("text"))
-        n = len(self.data)
-        self.sums = [prefix_sums(byte_table(50 + lane)[self.data], base) for lane, base in enumerate(_BASES)]
-        starts = np.arange(max(n - GRAM + 1, 0))
-        grams = spans_hash(self.sums[0], starts, starts + GRAM, _BASES[0])
+        low, high, anchor, content = ([np.zeros(0, t)] for t in (np.int64, np.int64, np.uint64, np.uint64))
+        for a in range(0, len(self.data), RUN_BYTES):
+            for column, x in zip((low, high, anchor, content), self.run(a, min(a + RUN_BYTES, len(self.data))), strict=True):
+                column.append(x)
+        self.low, self.high, self.anchor = np.concatenate(low), np.concatenate(high), np.concatenate(anchor)
+        self.doc = np.searchsorted(self.offsets, self.low, "right") - 1
+        ids = batch.column("doc_id").cast(pa.int64())
+        own = np.where(ids.is_null().to_numpy(zero_copy_only=False), np.iinfo(np.int64).min, ids.fill_null(0).to_numpy(zero_copy_only=False))
+        self.doc_id = own[self.doc] if len(own) else np.zeros(0, np.int64)
+        self.again = self.repeated(np.concatenate(content))
+
+    def run(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(low, high, anchor, hash of the bytes) of the segments of the starts in [begin, end)."""
+        data = self.data[begin : min(end + LENGTH - 1, len(self.data))]
+        sums = prefix_sums(byte_table(50)[data], _BASE)
+        starts = np.arange(max(len(data) - GRAM + 1, 0))
+        grams = spans_hash(sums, starts, starts + GRAM, _BASE)
         del starts
-        at = least_places(grams, STARTS)  # one for each start at which LENGTH bytes follow in the part
-        sizes = np.diff(self.offsets)
-        last = np.repeat(self.offsets[1:], sizes)[: len(at)] - LENGTH
-        sound = np.arange(len(at)) <= last
+        at = least_places(grams, STARTS)[: end - begin]  # one for each start at which LENGTH bytes follow in the part
+        edges = np.clip(self.offsets - begin, 0, len(at))
+        last = np.repeat(self.offsets[1:], np.diff(edges)) - begin - LENGTH
+        sound = np.arange(len(last)) <= last
+        at = at[: len(last)]
         change = np.ones(len(at) + 1, bool)
         change[1:-1] = (at[1:] != at[:-1]) | (sound[1:] != sound[:-1])
-        # starts of the next document have later anchors, so a change stands between any two documents
-        edges = np.flatnonzero(change)
-        low, high = edges[:-1], edges[1:] - 1
+        change[edges[edges < len(change)]] = True
+        cuts = np.flatnonzero(change)
+        low, high = cuts[:-1], cuts[1:] - 1
         keep = sound[low] if len(low) else np.zeros(0, bool)
-        self.low, self.high = low[keep], high[keep]
+        low, high = low[keep], high[keep]
         # least hashes crowd near 0; mixed once more, they fill the buckets evenly
-        self.anchor = mix(grams[at[self.low]]) if len(self.low) else np.zeros(0, np.uint64)
-        self.doc = np.searchsorted(self.offsets, self.low, "right") - 1
-        ids = batch.column("doc_id").cast(pa.int64())
-        own = np.where(ids.is_null().to_numpy(zero_copy_only=False), np.iinfo(np.int64).min, ids.fill_null(0).to_numpy(zero_copy_only=False))
-        self.doc_id = own[self.doc] if len(own) else np.zeros(0, np.int64)
-        self.content = [spans_hash(s, self.low, self.high + LENGTH, b) for s, b in zip(self.sums, _BASES, strict=True)]
-        # the place of the anchor in the segment is told by its content
-        order = np.lexsort((np.arange(len(self.low)), self.doc_id, self.content[1], self.content[0]))
-        same = (self.content[0][order][1:] == self.content[0][order][:-1]) & (self.content[1][order][1:] == self.content[1][order][:-1])
-        self.again = np.zeros(len(self.low), bool)
-        self.again[order[1:][same]] = True
-
-    def strings(self, at: np.ndarray, lane: int) -> np.ndarray:
-        return spans_hash(self.sums[lane], at, at + LENGTH, _BASES[lane])
+        anchor = mix(grams[at[low]]) if len(low) else np.zeros(0, np.uint64)
+        return low + begin, high + begin, anchor, spans_hash(sums, low, high + LENGTH, _BASE)
+
+    def bytes_of(self, i: int) -> bytes:
+        return self.data[self.low[i] : self.high[i] + LENGTH].tobytes()
+
+    def repeated(self, content: np.ndarray) -> np.ndarray:
+        """Which segments have the same bytes as one that comes first among those of their hash."""
+        order = np.lexsort((np.arange(len(content)), self.doc_id, content))
+        same = np.flatnonzero(np.r_[False, content[order][1:] == content[order][:-1]])
+        out = np.zeros(len(content), bool)
+        first, head = -2, b""
+        for k in same.tolist():
+            if k != first + 1:
+                head = self.bytes_of(order[k - 1])
+            first = k
+            out[order[k]] = self.bytes_of(order[k]) == head
+        return out
 
 
 def ask_anchors(batch: pa.RecordBatch, _: list) -> dict[str, np.ndarray]:
     own = Segments(batch)
     key, count = np.unique(own.anchor[~own.again], return_counts=True)
-    return {"key": key, "count": np.minimum(count, 255).astype(np.uint8)}
+    return {"key": key, "count": count.astype(np.uint32)}
 
 
 def repeated_anchors(asks: list[dict], parts: np.ndarray, hot: int = HOT) -> Iterator[tuple[int, dict]]:
@@ -130,23 +152,19 @@ def ask_segments(batch: pa.RecordBatch, said: list[bytes]) -> dict:
     known = np.sort(known, kind="stable")
     use = np.flatnonzero(~own.again & member(own.anchor, known))
     is_hot = hot[np.searchsorted(known, own.anchor[use])] > 0 if len(use) else np.zeros(0, bool)
-    raw = own.data.tobytes()
     cool, warm = use[~is_hot], use[is_hot]
-    texts = [raw[a:b] for a, b in zip(own.low[cool].tolist(), (own.high[cool] + LENGTH).tolist(), strict=True)]
-    # start by start: the string's hash stands for its text
+    # start by start: each string is a segment of its own, dealt by its own hash
     width = own.high[warm] - own.low[warm] + 1
     shift = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-    at = np.repeat(own.low[warm], width) + shift
-    digests = [own.strings(at, lane) for lane in range(2)]
-    texts += [b""] * len(at)
     seg = np.concatenate([cool, np.repeat(warm, width)])
+    low = np.concatenate([own.low[cool], np.repeat(own.low[warm], width) + shift])
+    high = np.concatenate([own.high[cool], low[len(cool) :]])
+    texts = [own.data[a:b].tobytes() for a, b in zip(low.tolist(), (high + LENGTH).tolist(), strict=True)]
+    key = np.concatenate([own.anchor[cool], np.array([xxhash.xxh3_64_intdigest(t) for t in texts[len(cool) :]], np.uint64)])
     return {
-        "key": np.concatenate([own.anchor[cool], digests[0]]), "seg": seg.astype(np.uint32), "doc_id": own.doc_id[seg],
-        "shift": np.concatenate([np.zeros(len(cool), np.uint8), shift.astype(np.uint8)]),
-        "starts": np.concatenate([(own.high[cool] - own.low[cool] + 1), np.ones(len(at), np.int64)]).astype(np.uint8),
-        "content": np.concatenate([own.content[0][cool], digests[0]]), "check": np.concatenate([own.content[1][cool], digests[1]]),
-        "text": as_objects(texts),
-    }
+        "key": key, "seg": seg.astype(np.uint32), "doc_id": own.doc_id[seg], "shift": np.concatenate([np.zeros(len(cool), np.uint8), shift.astype(np.uint8)]),
+        "starts": (high - low + 1).astype(np.uint8), "text": as_objects(texts),
+    }
 
 
 def as_objects(texts: list[bytes]) -> np.ndarray:
@@ -177,8 +195,8 @@ def sample_ranks(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def suffix_order(text: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Suffix bucket after suffix bucket: places in starts by rising suffix, and whether the first 16 bytes and all
-    that the ranks tell agree with the one before."""
+    """Suffix bucket after suffix bucket: places in starts by rising suffix, and whether LENGTH bytes or more agree with
+    the one before. At least LENGTH bytes follow each start."""
     n = len(text)
     padded = np.zeros(n + 256, np.uint64)
     padded[:n] = text
@@ -215,7 +233,14 @@ def suffix_order(text: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndar
                     found = np.searchsorted(keys[d], group[mine[a]] * span + ranks[p[mine[a]] + d])
                     before[mine[a]] += found - less[group[mine[a]]]
         order = np.lexsort((before, group))
-        yield block[order], np.r_[False, group[order][1:] == group[order][:-1]]
+        q = p[order]
+        # neighbours with 16 bytes in common, then the rest of LENGTH, eight bytes after eight
+        near = np.flatnonzero(group[order][1:] == group[order][:-1]) + 1
+        for k in (*range(16, LENGTH - 8, 8), LENGTH - 8):
+            near = near[words[q[near] + k] == words[q[near - 1] + k]]
+        equal = np.zeros(len(q), bool)
+        equal[near] = True
+        yield block[order], equal
 
 
 def anchor_groups(key: np.ndarray, sizes: np.ndarray) -> Iterator[slice]:
@@ -236,43 +261,52 @@ def later_starts(data: np.ndarray, offsets: np.ndarray, left: np.ndarray, count:
     text = data[np.repeat(offsets[left] - begin, sizes) + np.arange(sizes.sum())]
     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     at, owner = np.repeat(begin, count) + step, np.repeat(left, count)
-    strings = [prefix_sums(byte_table(90 + lane)[text], b) for lane, b in enumerate(_BASES)]
-    for block, tied in suffix_order(text, at):
-        p = at[block]
-        hashes = [spans_hash(s, p, p + LENGTH, b) for s, b in zip(strings, _BASES, strict=True)]
-        equal = tied & np.r_[False, (hashes[0][1:] == hashes[0][:-1]) & (hashes[1][1:] == hashes[1][:-1])]
+    for block, equal in suffix_order(text, at):
         kind = np.cumsum(~equal)
         by_age = np.lexsort((step[block], rank[owner[block]], kind))
         later = by_age[np.r_[False, kind[by_age][1:] == kind[by_age][:-1]]]
         yield owner[block][later], step[block][later]
 
 
+def first_of_equals(raw: memoryview, offsets: list[int], order: list[int]) -> list[int]:
+    """The segments that have the bytes of one before them in the order."""
+    seen: set[bytes] = set()
+    out = []
+    for i in order:
+        text = bytes(raw[offsets[i] : offsets[i + 1]])
+        if text in seen:
+            out.append(i)
+        else:
+            seen.add(text)
+    return out
+
+
 def repeats_in_bucket(asks: list[dict], parts: np.ndarray) -> Iterator[tuple[int, dict]]:
     """For each part, the starts (seg, low to high from the segment's first) that repeat an earlier string."""
     size = [len(a["seg"]) for a in asks]
     by = np.repeat(np.arange(len(asks)), size)
-    key, content, check, seg, doc, shift, starts = (np.concatenate([a[c] for a in asks]) for c in ("key", "content", "check", "seg", "doc_id", "shift", "starts"))
+    key, seg, doc, shift, starts = (np.concatenate([a[c] for a in asks]) for c in ("key", "seg", "doc_id", "shift", "starts"))
     texts = pa.concat_arrays([a["text"] for a in asks])
     seg, shift, starts = seg.astype(np.int64), shift.astype(np.int64), starts.astype(np.int64)
+    by_age = np.lexsort((shift, seg, by, doc))  # parts come in order
     rank = np.empty(len(seg), np.int64)
-    rank[np.lexsort((shift, seg, by, doc))] = np.arange(len(seg))  # parts come in order
+    rank[by_age] = np.arange(len(seg))
     data, offsets = text_buffers(texts.cast(pa.large_binary()))
-    order = np.lexsort((rank, check, content, key))
-    same = (key[order][1:] == key[order][:-1]) & (content[order][1:] == content[order][:-1]) & (check[order][1:] == check[order][:-1])
-    again = np.zeros(len(seg), bool)
-    again[order[1:][same]] = True
+    twice = repeated_here(key)
+    again = np.array(first_of_equals(memoryview(data), offsets.tolist(), by_age[twice[by_age]].tolist()), np.int64)
     low = [shift[again]]
     high = [shift[again] + starts[again] - 1]
-    whose = [np.flatnonzero(again)]
-    left = np.flatnonzero(~again)
+    whose = [again]
+    left = twice.copy()
+    left[again] = False
+    left = np.flatnonzero(left)
     left = left[repeated_here(key[left])]  # alone with its anchor, a segment repeats nothing
-    left = left[offsets[left + 1] - offsets[left] >= LENGTH]
     left = left[np.argsort(key[left], kind="stable")]
     for some in anchor_groups(key[left], (offsets[left + 1] - offsets[left])):
         mine = left[some]
         for owner, place in later_starts(data, offsets, mine, starts[mine], rank):
-            low.append(place)
-            high.append(place)
+            low.append(shift[owner] + place)
+            high.append(shift[owner] + place)
             whose.append(owner)
     low, high, whose = np.concatenate(low), np.concatenate(high), np.concatenate(whose)
     order = np.lexsort((low, whose))
@@ -300,13 +334,12 @@ def removed_bytes(own: Segments, said: list[bytes]) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (binary), the remaining bytes. docs: a stored table."""
+    """doc_id, n_bytes, n_removed, n_spans and kept (binary), the remaining bytes."""
     parts = parts_of(docs, text, PART_BYTES)
     per_byte = 2.2 / (STARTS + 1)
     anchors = answers(asked(parts, ask_anchors, bucket_count(docs, per_byte, text)), functools.partial(repeated_anchors, hot=hot))
-    again = parts.join(anchors, "part", "left")
     # a quarter of the segments, and a tenth as many to a bucket
-    repeats = answers(asked(again, ask_segments, bucket_count(docs, per_byte * 2.5, text)), repeats_in_bucket)
+    repeats = answers(asked(with_answers(parts, anchors), ask_segments, bucket_count(docs, per_byte * 2.5, text)), repeats_in_bucket)
     schema = with_fields(docs.select("doc_id").schema, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +358,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataF
                 kept = [left[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([docs_here.column("doc_id"), pa.array(np.diff(own.offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], schema.names)
 
-    return parts.join(repeats, "part", "left").mapInArrow(frugal(cut), schema)
+    return with_answers(parts, repeats).mapInArrow(frugal(cut), schema)
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

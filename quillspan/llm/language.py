@@ -1,11 +1,14 @@
 """Language identification by compression.
 
-Each language gets a zstandard raw-content dictionary built from learned texts. A text is cut into blocks of
-BLOCK bytes, each block is compressed under every dictionary, and the language with the smallest total wins.
-Where the winner's margin is narrow the row is marked `rejected`; lang_pred still names the best language.
+Each language gets a zstandard raw-content dictionary of stretches of learned texts, drawn by hash from the whole of
+each text. A text is cut into blocks of BLOCK bytes, each block is compressed under every dictionary, and the language
+with the smallest total wins. Where the winner's margin is narrow the row is marked `rejected`; lang_pred still names
+the best language.
 
 Defined results: null text or text without a letter gives `und` with score 0, as does a corpus with nothing to
-learn from; repeated rows are predicted alike; extra columns are ignored; an empty table gives an empty result.
+learn from; equal sizes go to the language that comes first by code point, as rejected; repeated rows are predicted
+alike; columns of the names of the results give way to them, other extra columns are kept if asked for; an empty table
+gives an empty result; a very long text is compressed whole, block by block.
 """
 
 from __future__ import annotations
@@ -20,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, learnable
+from .common import TEXT, arrow_of, documents, learnable
 
 #: Learned texts per language at most, and bytes of a dictionary: documented bounds of the training sample.
-SAMPLE_TEXTS = 120
+SAMPLE_TEXTS = 480
 DICTIONARY_BYTES = 96 * 1024
-#: Bytes of a learned text that a dictionary holds at most, so that one long text doesn't fill it.
-TEXT_BYTES = 4096
+#: Code points of a stretch. Learned texts are cut up whole, and each stretch has the same chance to be held.
+STRETCH = 400
 #: Blocks are compressed apart, so that a long text's own repeats don't outweigh the dictionaries.
 BLOCK = 4096
 LEVEL = 6
@@ -45,29 +48,27 @@ def parameters() -> zstandard.ZstdCompressionParameters:
     return zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=4, window_log=17, source_size=BLOCK, dict_size=DICTIONARY_BYTES)
 
 
-def fit(docs: DataFrame) -> dict[str, bytes]:
-    """A dictionary for each non-null lang of the given rows, from the texts with the smallest hashes of their ids."""
+def fit(docs: DataFrame, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+    """A dictionary for each non-null lang of the given rows: of the texts with the smallest hashes of their ids, the
+    stretches with the smallest hashes, as many as it holds."""
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(4)), F.col("doc_id"), F.xxhash64("text")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    picked = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", F.expr(f"substring(text, 1, {TEXT_BYTES})").alias("text"))
-    rows = picked.withColumn("r", rank).where(F.col("r") <= SAMPLE_TEXTS).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("r", "text"))).alias("texts"))
-    # bounded: SAMPLE_TEXTS texts of TEXT_BYTES for each language
-    return {r.lang: dictionary([t.text for t in r.texts]) for r in rows.toLocalIterator()}
-
-
-def dictionary(texts: list[str]) -> bytes:
-    """The texts one after another, whole lines once, up to DICTIONARY_BYTES."""
-    seen, parts, size = set(), [], 0
-    for text in texts:
-        for line in text.split("\n"):
-            line = plain(line)
-            raw = line.encode() + b" "
-            if line in seen or size + len(raw) > DICTIONARY_BYTES:
-                continue
-            seen.add(line)
-            parts.append(raw)
-            size += len(raw)
-    return b"".join(parts)
+    picked = docs.select("lang", "doc_id", "text").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = picked.withColumn("r", rank).where(F.col("r") <= SAMPLE_TEXTS)
+    starts = F.sequence(F.lit(1), F.length("text"), F.lit(STRETCH))
+    cut = rows.select("lang", F.explode(F.transform(starts, lambda i: F.substring("text", i, F.lit(STRETCH)))).alias("stretch")).distinct()
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("stretch", F.lit(4)), "stretch")
+    before = F.coalesce(F.sum(F.octet_length("stretch")).over(by_hash.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = cut.withColumn("place", F.row_number().over(by_hash)).withColumn("before", before).where(F.col("before") < size)
+    texts: dict[str, list[str]] = {}
+    for r in held.select("lang", "stretch").orderBy("lang", "place").toLocalIterator():  # about `size` bytes a language
+        texts.setdefault(r.lang, []).append(r.stretch)
+    return {lang: dictionary(some, size) for lang, some in texts.items()}
+
+
+def dictionary(stretches: list[str], size: int = DICTIONARY_BYTES) -> bytes:
+    """The stretches one after another, at most so many bytes."""
+    return b" ".join(plain(s).encode() for s in stretches)[:size]
 
 
 class Judge:
@@ -103,8 +104,9 @@ class Judge:
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns with lang_pred, score and rejected."""
     sent = docs.sparkSession.sparkContext.broadcast(dictionaries)  # DICTIONARY_BYTES for each language
-    cols = docs.select(*keep, F.col(text).alias("__text"))
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    schema = arrow_of(docs, keep, "lang_pred string, score double, rejected boolean")
+    keep = schema.names[:-3]
+    cols = docs.select(*keep, F.col(text).alias(TEXT))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Judge(sent.value)

@@ -2,11 +2,17 @@
 
 A document is a bag of sentences. A sentence's score is a logistic function of its words; the document's score
 is the noisy-or of its sentences and a leak, 1 - (1 - leak) * prod(1 - s_i). Only document labels are learned
-from; the sentence scores then locate the offending sentences. A sentence's features are its words and itself as a
-whole, so that copies of a labelled text are known again without their words being held against other texts.
+from; the sentence scores then locate the offending sentences. A sentence's features are its words and, from
+SENTENCE_WORDS words on, itself as a whole, so that copies of a labelled text are known again without their words being
+held against other texts.
 
-Defined results: null or empty text has no sentences and scores the leak; repeated rows score alike; extra
-columns are ignored; an empty table gives an empty result; with nothing to learn from, every score is 0.
+Texts become hashes of words where they are read. Which features weigh is counted by distributed aggregates; only the
+sentences that hold one, as numbers of features, go to the driver, where the weights are fitted.
+
+Defined results: null or empty text has no sentences and scores the leak; repeated rows score alike; of rows with one
+doc_id the least text is learned from, and of labels the largest; ties of the sample go by doc_id; columns named like a
+result give way to it in score() and are kept by without_toxic(); an empty table gives an empty result; with nothing to
+learn from, every score is 0; a very long text is worked through in stretches that end with a sentence.
 """
 
 from __future__ import annotations
@@ -15,18 +21,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_table, documents, learnable, mix, prefix_sums, runs_of, spans_hash, text_buffers, with_fields
+from .common import CHUNK_BYTES, TEXT, arrow_of, documents, frugal, learnable, mix, runs_of, text_buffers, word_hashes, written
 
 #: Labelled rows that the classifier is fitted on at most: those with the smallest hashes of their ids.
 SAMPLE_ROWS = 12_000
 THRESHOLD = 0.3
 #: A word or whole sentence weighs if the chance of any such lean to the label among all of them is below this.
 CHANCE = 0.05
+#: And if it leans to the label by this factor at least (or halfway to always): in a large sample a word that is hardly
+#: commoner in toxic sentences is no chance either, but a long text holds it a thousand times.
+LEAN = 2.0
 #: Words that a sentence needs to weigh as a whole.
 SENTENCE_WORDS = 3
 #: Weight that every sentence starts from: a sentence of unknown words is all but surely clean.
@@ -61,105 +69,129 @@ def sentence_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     after[:-1] = letter[1:]
     starts = np.flatnonzero(letter & (~before | edge[:-1]))
     ends = np.flatnonzero(letter & (~after | edge[1:])) + 1
-    low = _LOWER[data]
-    hashes = spans_hash(prefix_sums(byte_table(6)[low], _BASE), starts, ends, _BASE)
+    hashes = word_hashes(_LOWER[data], starts, ends)
     cuts = np.flatnonzero(_STOP[data] | edge[1:]) + 1
     sentence = np.searchsorted(cuts, starts, "right")
     text = np.searchsorted(offsets, starts, "right") - 1
     return hashes, sentence, text, cuts
 
 
-def with_sentences(hashes: np.ndarray, sentence: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, sentence, text, kind): the words (kind 0), and each sentence of some words as a whole (kind 1)."""
+def with_sentences(hashes: np.ndarray, sentence: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, sentence, text): the words, and each sentence of some words as a whole."""
     if not len(hashes):
-        return hashes, sentence, text, np.zeros(0, np.int8)
+        return hashes, sentence, text
     first = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
     size = np.diff(np.r_[first, len(sentence)])
-    place = (np.arange(len(hashes)) - np.repeat(first, size)).astype(np.uint64)
-    whole = mix(np.add.reduceat(mix(hashes + place * np.uint64(_BASE)), first) + np.uint64(1))
     use = size >= SENTENCE_WORDS
-    kind = np.r_[np.zeros(len(hashes), np.int8), np.ones(int(use.sum()), np.int8)]
-    return np.r_[hashes, whole[use]], np.r_[sentence, sentence[first][use]], np.r_[text, text[first][use]], kind
+    return np.r_[hashes, whole_hashes(hashes, first, size)[use]], np.r_[sentence, sentence[first][use]], np.r_[text, text[first][use]]
 
 
-def leaning(known: int, unit: np.ndarray, feature: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(units, toxic units, whether it weighs) of each feature; each unit counts once for a feature. The chance that a
-    feature leans so far to the label is bounded by exp(-n * divergence) and shared out among all features seen."""
-    pair = np.unique(unit.astype(np.int64) * known + feature)
-    held, of = pair % known, pair // known
-    has = np.bincount(held, minlength=known).astype(float)
-    hits = np.bincount(held, weights=label[of], minlength=known)
-    rate = min(max(float(label[np.unique(unit)].mean()), 1e-6), 1 - 1e-6) if len(unit) else 0.5
-    p = np.clip(hits / np.maximum(has, 1), 1e-12, 1 - 1e-12)
-    divergence = p * np.log(p / rate) + (1 - p) * np.log((1 - p) / (1 - rate))
-    return has, hits, (p > rate) & (has * divergence >= np.log(max(int((has > 0).sum()), 1) / CHANCE))
+def stretches(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first text, last text, first byte, last byte) of runs of texts; a long text comes in stretches that each end
+    with a sentence."""
+    for i, j in runs_of(offsets):
+        begin, end = int(offsets[i]), int(offsets[j])
+        while j == i + 1 and end - begin > CHUNK_BYTES:
+            cut = begin + CHUNK_BYTES
+            while cut < end and not _STOP[data[cut : cut + 4096]].any():
+                cut += 4096
+            if cut >= end:
+                break
+            cut += int(np.argmax(_STOP[data[cut : cut + 4096]])) + 1
+            yield i, j, begin, cut
+            begin = cut
+        yield i, j, begin, end
 
 
-def train(texts: pa.Array, toxic: np.ndarray) -> Model:
-    """Noisy-or log likelihood by Adam over the words that lean to a label."""
-    data, offsets = text_buffers(texts)
-    words, sents, docs, kinds = [], [], [], []
-    first = 0
-    for i, j in runs_of(offsets):
-        h, s, d, cuts = sentence_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        h, s, d, k = with_sentences(h, s, d)
-        words.append(h)
-        sents.append(s + first)
-        docs.append(d + i)
-        kinds.append(k)
-        first += len(cuts) + 1
-    word = np.concatenate([*words, np.zeros(0, np.uint64)])
-    sent = np.concatenate([*sents, np.zeros(0, np.int64)])
-    doc = np.concatenate([*docs, np.zeros(0, np.int64)])
-    kind = np.concatenate([*kinds, np.zeros(0, np.int8)])
+def bags(rows: DataFrame) -> DataFrame:
+    """doc_id, toxic, content (a hash of the sentence's words), n (times that the document holds it), whole (whether it
+    weighs as a whole), words (its different ones) of every different sentence of rows (doc_id, toxic, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "toxic", "content", "n", "whole", "words"]
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(2))
+            for i, j, a, b in stretches(data, offsets):
+                own = np.clip(offsets[i : j + 1], a, b) - a
+                word, sentence, text, _ = sentence_words(data[a:b], own)
+                if not len(word):
+                    continue
+                first = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
+                size = np.diff(np.r_[first, len(sentence)])
+                content = whole_hashes(word, first, size)
+                pair, at, count = np.unique(np.stack([text[first].astype(np.uint64), content], 1), axis=0, return_index=True, return_counts=True)
+                words = [np.unique(word[first[k] : first[k] + size[k]]).view(np.int64) for k in at.tolist()]
+                edges = np.r_[0, np.cumsum([len(w) for w in words])].astype(np.int32)
+                row = pa.array(pair[:, 0].astype(np.int64) + i)
+                held = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(words)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(pair[:, 1].astype(np.int64)), pa.array(count, pa.int64()), pa.array(size[at] >= SENTENCE_WORDS), held], names)
+
+    schema = "doc_id bigint, toxic int, content bigint, n bigint, whole boolean, words array<bigint>"
+    return rows.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text").mapInArrow(frugal(run), schema)
+
+
+def whole_hashes(word: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each sentence's words in order."""
+    place = (np.arange(len(word)) - np.repeat(first, size)).astype(np.uint64)
+    return mix(np.add.reduceat(mix(word + place * np.uint64(_BASE)), first) + np.uint64(1))
+
+
+def leans(has: Column, hits: Column, rate: float, features: int) -> Column:
+    """Whether a feature leans to the label, of `features` that a chance is shared out among: the chance that one held
+    by `has` units leans so far is bounded by exp(-has * divergence)."""
+    rate = min(max(rate, 1e-6), 1 - 1e-6)
+    p = F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), hits / has))
+    divergence = p * F.log(p / rate) + (1 - p) * F.log((1 - p) / (1 - rate))
+    return (p >= min(LEAN * rate, (1 + rate) / 2)) & (has * divergence >= float(np.log(max(features, 1) / CHANCE)))
+
+
+def weighing(held: DataFrame) -> list[tuple[int, float, float]]:
+    """(feature, units that hold it, toxic ones) of the features that weigh. A word's units are the different sentences,
+    so that copies of a text teach it no words, and those are toxic that stand mostly in toxic texts; a whole sentence's
+    units are the texts."""
+    n = F.sum("n")
+    toxic = F.sum(F.col("n") * F.col("toxic"))
+    sentences = held.groupBy("content").agg(F.count(F.lit(1)).alias("has"), F.sum("toxic").alias("hits"), (toxic / n > 0.5).cast("int").alias("mark"), F.first("whole").alias("whole"), F.first("words").alias("words"))
+    sentences = written(sentences, "toxic-sentences")
+    per = sentences.agg(F.avg("mark"), F.count_if("whole")).first()
+    words = written(sentences.select(F.explode("words").alias("feature"), "mark").groupBy("feature").agg(F.count(F.lit(1)).alias("has"), F.sum("mark").alias("hits")), "toxic-words")
+    texts = held.where("whole").select("doc_id", "toxic").distinct().agg(F.avg("toxic")).first()[0]
+    chosen = words.where(leans(F.col("has"), F.col("hits"), per[0] or 0.5, words.count()))
+    if per[1]:
+        wholes = sentences.where("whole").select(F.col("content").alias("feature"), "has", "hits")
+        chosen = chosen.unionByName(wholes.where(leans(F.col("has"), F.col("hits"), texts, per[1])))
+    return [(r.feature, float(r.has), float(r.hits)) for r in chosen.toLocalIterator()]  # bounded by the sample
+
+
+def train(feature: np.ndarray, has: np.ndarray, hits: np.ndarray, sent: np.ndarray, held: np.ndarray, of: np.ndarray, times: np.ndarray, toxic: np.ndarray) -> Model:
+    """Noisy-or log likelihood by Adam. Sentence sent[i] holds feature held[i]; sentence s stands times[s] times in text
+    of[s]; toxic: the texts' labels."""
     n, positive = len(toxic), float(toxic.sum())
     rate = min(max(positive / max(n, 1), 1e-6), 1 - 1e-6)
-    if not len(word) or positive in (0.0, float(n)):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), rate if n else 0.0)
-    known, word = np.unique(word, return_inverse=True)
-    # a word counts once for each different sentence, so that copies of a text teach it no words; a sentence once a text
-    content = np.full(first, -1)
-    content[sent[kind == 1]] = word[kind == 1]
-    inside = (kind == 0) & (content[sent] >= 0)
-    marks = np.bincount(content[sent[kind == 1]], weights=toxic[doc[kind == 1]], minlength=len(known)) / np.maximum(np.bincount(content[sent[kind == 1]], minlength=len(known)), 1)
-    has, hits, weighs = leaning(len(known), content[sent[inside]], word[inside], (marks > 0.5).astype(float))
-    whole_has, whole_hits, whole_weighs = leaning(len(known), doc[kind == 1], word[kind == 1], toxic.astype(float))
-    has, hits, weighs = np.where(whole_has > 0, whole_has, has), np.where(whole_has > 0, whole_hits, hits), weighs | whole_weighs
-    use = np.flatnonzero(weighs)
-    slot = np.full(len(known), -1)
-    slot[use] = np.arange(len(use))
-    keep = slot[word] >= 0
-    feature, sent, doc = slot[word[keep]], sent[keep], doc[keep]
-    sentences, sent = np.unique(sent, return_inverse=True)
-    of = np.zeros(len(sentences), np.int64)
-    of[sent] = doc
-    # a word counts once in a sentence
-    once = np.unique(sent.astype(np.int64) * max(len(use), 1) + feature)
-    sent, feature = once // max(len(use), 1), once % max(len(use), 1)
-    odds = np.log((hits[use] + 0.1) / (positive + 0.2)) - np.log((has[use] - hits[use] + 0.1) / (n - positive + 0.2))
+    odds = np.log((hits + 0.1) / (positive + 0.2)) - np.log((has - hits + 0.1) / (n - positive + 0.2))
     w = np.where(odds > 0, -CLEAN + odds - 4, odds)
     leak = np.log(rate / 2 / (1 - rate / 2))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     y = toxic.astype(float)
     for step in range(1, ROUNDS + 1):
-        z = CLEAN + np.bincount(sent, weights=w[feature], minlength=len(sentences))
+        z = CLEAN + np.bincount(sent, weights=w[held], minlength=len(times))
         s = 1 / (1 + np.exp(-np.clip(z, -40, 30)))
         q = 1 / (1 + np.exp(-leak))
-        clean = np.bincount(of, weights=np.log1p(-np.minimum(s, 1 - 1e-12)), minlength=n) + np.log1p(-q)
+        clean = np.bincount(of, weights=times * np.log1p(-np.minimum(s, 1 - 1e-12)), minlength=n) + np.log1p(-q)
         p = np.clip(-np.expm1(clean), 1e-9, 1)
         pull = y / p - 1  # derivative of the log likelihood by each -log(1 - s)
-        grad = np.bincount(feature, weights=(pull[of] * s)[sent], minlength=len(w)) - 0.05 * (w - np.where(odds > 0, -CLEAN, 0))
+        grad = np.bincount(held, weights=(pull[of] * s * times)[sent], minlength=len(w)) - 0.05 * (w - np.where(odds > 0, -CLEAN, 0))
         g = np.append(grad, (pull * q).sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, leak = w + move[:-1], min(leak + move[-1], -0.9)
-    return Model(known[use], w, float(1 / (1 + np.exp(-leak))))
+    return Model(feature, w, float(1 / (1 + np.exp(-leak))))
 
 
 def sentence_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, end, score) of the sentences that hold a word which weighs."""
     h, s, d, cuts = sentence_words(data, offsets)
-    h, s, d, _ = with_sentences(h, s, d)
+    h, s, d = with_sentences(h, s, d)
     at = np.minimum(np.searchsorted(model.words, h), max(len(model.words) - 1, 0))
     hit = np.flatnonzero(model.words[at] == h) if len(model.words) else np.zeros(0, np.int64)
     once, index = np.unique(s[hit].astype(np.int64) * max(len(model.words), 1) + at[hit], return_index=True)
@@ -173,55 +205,101 @@ def sentence_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> tupl
     return text, np.maximum(starts, offsets[text]), ends, 1 / (1 + np.exp(-np.clip(z, -40, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """From a bounded sample of labelled rows; it is fitted in one executor task and only its weights come back."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
+    """From a bounded sample of labelled rows."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.least(F.greatest(F.max("toxic"), F.lit(0)), F.lit(1)).alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id").limit(SAMPLE_ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")  # SAMPLE_ROWS small rows
+    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")  # SAMPLE_ROWS small rows
+    rows = written(rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")), "toxic-rows")
+    texts = [tuple(r) for r in rows.select("doc_id", "toxic").orderBy("doc_id").collect()]  # SAMPLE_ROWS
+    toxic = np.array([t for _, t in texts], np.int64)
+    rate = float(toxic.mean()) if len(texts) else 0.0
+    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), rate)
+    if rate in (0.0, 1.0):
+        return nothing
+    held = written(bags(rows), "toxic-bags")
+    features = sorted((np.int64(f).astype(np.uint64), has, hits) for f, has, hits in weighing(held))
+    if not features:
+        return nothing
+    known_features = np.array([f for f, _, _ in features], np.uint64)
+    sent = docs.sparkSession.sparkContext.broadcast(known_features)  # features that weigh, bounded by the sample
 
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-        model = train(pa.array(pdf["text"], pa.string()), pdf["toxic"].to_numpy(np.int64).clip(0, 1))
-        return pd.DataFrame({"words": [model.words.tobytes()], "weights": [model.weights.astype(float).tobytes()], "leak": [model.leak]})
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = sent.value
+        for batch in batches:
+            words = batch.column(3)
+            flat = words.flatten().to_numpy().view(np.uint64)
+            at = np.repeat(np.arange(batch.num_rows), np.diff(words.offsets.to_numpy()))
+            whole = batch.column(4).to_numpy(zero_copy_only=False)
+            content = batch.column(1).to_numpy().view(np.uint64)
+            value, row = np.r_[flat, content[whole]], np.r_[at, np.flatnonzero(whole)]
+            place = np.minimum(np.searchsorted(every, value), len(every) - 1)
+            hit = every[place] == value
+            row, place = row[hit], place[hit]
+            order = np.argsort(row, kind="stable")
+            row, place = row[order], place[order]
+            rows, first = np.unique(row, return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)], pa.int32()), pa.array(place, pa.int64()))
+            picked = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), batch.column(2).take(picked), lists], ["doc_id", "n", "held"])
 
-    got = rows.groupBy().applyInPandas(learn, "words binary, weights binary, leak double").collect()
-    if not got:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
-    return Model(np.frombuffer(got[0].words, np.uint64), np.frombuffer(got[0].weights), got[0].leak)
+    found = held.select("doc_id", "content", "n", "words", "whole").mapInArrow(marked, "doc_id bigint, n bigint, held array<bigint>")
+    doc, times, lists = [], [], []
+    for r in found.orderBy("doc_id", "n", "held").toLocalIterator():  # sentences of the sample that hold a feature that weighs
+        doc.append(r.doc_id)
+        times.append(r.n)
+        lists.append(r.held)
+    sizes = np.array([len(x) for x in lists], np.int64)
+    ids = np.array([d for d, _ in texts], np.int64)
+    of = np.searchsorted(ids, np.array(doc, np.int64))
+    return train(known_features, np.array([h for _, h, _ in features]), np.array([t for _, _, t in features]), np.repeat(np.arange(len(lists)), sizes), np.concatenate([np.zeros(0, np.int64), *map(np.array, lists)]).astype(np.int64), of, np.array(times, float), toxic)
+
+
+def document_scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, list[tuple[int, int, int, float]]]:
+    """The score of each text, and (text, start, end, score) in its bytes of the sentences that score THRESHOLD or more."""
+    data, offsets = text_buffers(texts)
+    clean = np.full(len(offsets) - 1, np.log1p(-model.leak))
+    places = []
+    for i, j, a, b in stretches(data, offsets):
+        d, start, end, s = sentence_scores(model, data[a:b], np.clip(offsets[i : j + 1], a, b) - a)
+        clean[i:j] += np.bincount(d, weights=np.log1p(-np.minimum(s, 1 - 1e-12)), minlength=j - i)
+        shift = a - offsets[i:j][d]
+        places += [(int(i + d[k]), int(start[k] + shift[k]), int(end[k] + shift[k]), float(s[k])) for k in np.flatnonzero(s >= THRESHOLD)]
+    return -np.expm1(clean), places
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", locate: bool = False) -> DataFrame:
     """The kept columns with score; with locate also `sentences`, array<struct<start,end,score>> in UTF-8 bytes, of
     the sentences that score THRESHOLD or more."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # some hundred weights
-    keep = [c for c in keep if c not in ("score", "sentences")]
-    cols = docs.select(*keep, F.col(text).alias("__text"))
-    schema = docs.select(*keep).schema.add("score", "double")
-    if locate:
-        schema = with_fields(schema, "sentences array<struct<start:bigint,end:bigint,score:double>>")
+    schema = arrow_of(docs, keep, "score double" + ", sentences array<struct<start:bigint,end:bigint,score:double>>" * locate)
+    keep = schema.names[: -1 - locate]
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for batch in batches:
-            data, offsets = text_buffers(batch.column(len(keep)))
-            clean = np.full(batch.num_rows, np.log1p(-m.leak))
-            places: list[list[dict]] = [[] for _ in range(batch.num_rows)] if locate else []
-            for i, j in runs_of(offsets):
-                own = offsets[i : j + 1] - offsets[i]
-                d, a, b, s = sentence_scores(m, data[offsets[i] : offsets[j]], own)
-                clean[i:j] += np.bincount(d, weights=np.log1p(-np.minimum(s, 1 - 1e-12)), minlength=j - i)
-                if locate:
-                    for k in np.flatnonzero(s >= THRESHOLD):
-                        places[i + d[k]].append({"start": int(a[k] - own[d[k]]), "end": int(b[k] - own[d[k]]), "score": float(s[k])})
-            out = [batch.column(c) for c in range(len(keep))] + [pa.array(-np.expm1(clean))]
-            names = [*keep, "score"]
+            scores, places = document_scores(sent.value, batch.column(len(keep)))
+            out = [*(batch.column(c) for c in range(len(keep))), pa.array(scores)]
             if locate:
-                out.append(pa.array(places, kind))
-                names.append("sentences")
-            yield pa.RecordBatch.from_arrays(out, names)
+                lists: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+                for d, a, b, s in places:
+                    lists[d].append({"start": a, "end": b, "score": s})
+                out.append(pa.array(lists, kind))
+            yield pa.RecordBatch.from_arrays(out, schema.names)
+
+    return docs.select(*keep, F.col(text).alias(TEXT)).mapInArrow(frugal(run), schema)
+
+
+def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs, all columns as they are, without the rows that score THRESHOLD or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # some hundred weights
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(document_scores(sent.value, batch.column(at))[0] < THRESHOLD))
 
-    return cols.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

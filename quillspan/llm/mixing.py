@@ -17,13 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, row_key, written
+from .common import ROW, documents, keyed, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_COPIES = 2
 FAN = 256
 SEED = 10
+_COPIES = "__quillspan_copies"
 
 _ITEM = "struct<h:bigint,doc_id:bigint,rid:bigint,size:bigint,mass:double,toss:double>"
 _DONE = "array<struct<doc_id:bigint,rid:bigint,size:bigint,up:int>>"
@@ -92,9 +93,16 @@ def round_copies(sized: DataFrame, per: DataFrame, fan: int = FAN, seed: int = S
         "source", "doc_id", "rid", "size", (F.col("part") * F.col("size")).alias("mass"),
         F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.ceil(F.col("n") / fan)).alias("chunk"),
     )
-    level = 0
+    folds = max(1, -(-most // fan))
+    counts = pending.groupBy("source", "chunk").count().where(F.col("count") > 4 * fan)
+    over = written(counts.select(F.col("source").alias("s"), F.col("chunk").alias("c"), F.ceil(F.col("count") / fan).alias("pieces")), "mix-over")
+    widest = over.agg(F.max("pieces")).first()[0] or 1
+    if widest > 1:
+        apart = pending.join(over.hint("merge"), pending["source"].eqNullSafe(over["s"]) & (pending["chunk"] == over["c"]), "left")
+        piece = F.pmod(F.xxhash64("rid", F.lit(seed)), F.coalesce("pieces", F.lit(1)))
+        pending = apart.select("source", "doc_id", "rid", "size", "mass", (F.col("chunk") + F.lit(folds) * piece).alias("chunk"))
+    level, chunks = 0, folds * widest
     while True:
-        last = most <= fan ** (level + 1)
         # larger documents trade first, so that the last residual is a small one
         order = -F.col("size") * (1 << 20) - F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + 1 + level)), F.lit(1 << 20))
         item = F.struct(order.alias("h"), "doc_id", "rid", "size", "mass", _random(seed + 1001 + level).alias("toss"))
@@ -102,27 +110,29 @@ def round_copies(sized: DataFrame, per: DataFrame, fan: int = FAN, seed: int = S
         start = F.struct(F.lit(None).cast(_ITEM).alias("carry"), F.array().cast(_DONE).alias("done"))
         folded = written(pending.groupBy("source", "chunk").agg(items.alias("items")).select("source", "chunk", F.aggregate("items", start, _trade).alias("r")), f"mix-level{level}")
         settled = settled.unionByName(folded.select(F.explode("r.done").alias("x")).select("x.rid", "x.up"))
-        if last:
+        if chunks <= 1:
             break
         pending = folded.select("source", "r.carry.doc_id", "r.carry.rid", "r.carry.size", "r.carry.mass", F.floor(F.col("chunk") / fan).alias("chunk"))
-        level += 1
+        level, chunks = level + 1, -(-chunks // fan)
     final = folded.select("r.carry.*").select("rid", F.when(_random(seed + 2001) * F.col("size") < F.col("mass"), 1).otherwise(0).alias("up"))
     settled = settled.unionByName(final)
     return rows.join(settled, "rid").select("rid", "doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("up")).cast("int").alias("copies"))
 
 
-def mix(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The decision for each row of docs: rid (its row_key()), doc_id, source, size, source_size, target, copies."""
-    sized = written(docs.select(row_key().alias("rid"), F.col("doc_id").cast("long"), "source", word_count(text).alias("size")), "mix-sizes")
+def mix(docs: DataFrame, text: str = "text", row: Column | None = None) -> DataFrame:
+    """The decision for each row of docs: rid (its number, or row if given), doc_id, source, size, source_size, target,
+    copies."""
+    rid = F.monotonically_increasing_id() if row is None else row
+    sized = written(docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(text).alias("size")), "mix-sizes")
     per = written(targets(sized), "mix-targets")
     return round_copies(sized, per)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs with each row as often as the mix takes it."""
-    copies = mix(docs).where("copies > 0").select("rid", "copies")
-    rows = docs.withColumn("rid", row_key()).join(copies, "rid")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rows = keyed(docs, "mix-rows")
+    taken = mix(rows, row=F.col(ROW)).where("copies > 0").select(F.col("rid").alias(ROW), F.sequence(F.lit(1), F.col("copies")).alias(_COPIES))
+    return rows.join(taken, ROW).withColumn(_COPIES, F.explode(_COPIES)).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

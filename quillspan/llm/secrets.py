@@ -1,13 +1,14 @@
 """Secret scans by multipart credential linking.
 
 Strong spans (kinds assign, access, hex) stand by themselves. Weak parts - an identifier, a secret-looking
-value, an endpoint - are reported only when all complementary parts meet in one scope: every part reaches
-SCOPE code points to either side, parts whose reaches overlap are interval-joined into one scope, and a
-scope is reported when an identifier (or strong access key), a secret and, if the identifier is weak, an
-endpoint stand in it.
-
-Defined results: null text counts as empty; repeated rows are scanned alike; extra columns are ignored;
-an empty table gives an empty result. Texts are scanned whole.
+value, an endpoint - are reported only when all complementary parts meet in one scope: SCOPE code points, in which a
+part lies whole (of a longer part, its first SCOPE). A scope completes a credential if a secret (weak or strong) and
+either a strong access key, or a weak identifier and an endpoint, lie in it. Parts are joined by position: a weak part
+is reported if some scope that holds it completes a credential. A scope doesn't grow by what it holds.
+
+Defined results: null text counts as empty; repeated rows are scanned alike; parts that start together are told in
+the order of their kinds; columns named like a result give way to it where find_secrets() adds it, and are kept by
+redacted_documents(); an empty table gives an empty result. Texts are scanned whole, however long.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, with_fields
+from .common import TEXT, arrow_of, documents
 
 BASE_KINDS = ("assign", "access", "hex")
 WEAK_KINDS = ("weak_id", "weak_secret", "endpoint")
 KINDS = BASE_KINDS + WEAK_KINDS
-#: Code points that a weak part reaches to either side.
-SCOPE = 160
+#: Code points that a scope spans.
+SCOPE = 320
 
 # All patterns are ASCII, so they run on UTF-8 bytes; positions are turned into code points afterwards.
 _ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
@@ -52,7 +54,7 @@ def strong_spans(raw: bytes) -> list[tuple[int, int, str]]:
 
 
 def linked_spans(raw: bytes, strong: list[tuple[int, int, str]], scope: int = SCOPE) -> list[tuple[int, int, str]]:
-    """Weak parts whose scope holds the complementary parts. Parts are swept in order of their reach, in n log n."""
+    """(start, end, kind) in bytes of the weak parts that complete a credential. strong: in bytes too."""
     low = raw.lower()
     points = [m.span() + ("endpoint",) for m in _ENDPOINT.finditer(raw)] if any(h in low for h in _ENDPOINT_HINTS) else []
     access = [s for s in strong if s[2] == "access"]
@@ -61,22 +63,45 @@ def linked_spans(raw: bytes, strong: list[tuple[int, int, str]], scope: int = SC
     weak_ids = [m.span() + ("weak_id",) for m in _WEAK_ID.finditer(raw)]
     if not access and not weak_ids:
         return []
-    covered = [(a, b) for a, b, _ in strong]
     weak = [m.span() + ("weak_secret",) for m in _WEAK_SECRET.finditer(raw)]
-    weak = [w for w in weak if not any(a < w[1] and w[0] < b for a, b in covered)]
-    parts = sorted([*points, *access, *weak_ids, *weak, *(s for s in strong if s[2] != "access")])
-    found, group, reach = [], [], -1
-    for part in [*parts, None]:
-        if part is None or (group and part[0] - scope > reach):
-            kinds = {k for _, _, k in group}
-            secret = kinds & {"weak_secret", "assign", "hex"}
-            if secret and ("access" in kinds or {"weak_id", "endpoint"} <= kinds):
-                found += [p for p in group if p[2] in WEAK_KINDS]
-            group, reach = [], -1
-        if part is not None:
-            group.append(part)
-            reach = max(reach, part[1] + scope)
-    return found
+    if weak and strong:
+        # a weak secret that overlaps a strong span adds nothing: of the spans that start before its end, one ends after its start
+        begins, ends = map(np.array, zip(*sorted((a, b) for a, b, _ in strong), strict=True))
+        reach = np.r_[-1, np.maximum.accumulate(ends)]
+        weak = [w for w in weak if reach[np.searchsorted(begins, w[1], "left")] <= w[0]]
+    parts = sorted([*points, *strong, *weak_ids, *weak])
+    start, end = code_points(raw, np.array([p[0] for p in parts])), code_points(raw, np.array([p[1] for p in parts]))
+    last = np.minimum(end, start + scope)
+    return [parts[i] for i in np.flatnonzero(in_scope(start, last, [p[2] for p in parts], scope)) if parts[i][2] in WEAK_KINDS]
+
+
+def code_points(raw: bytes, at: np.ndarray) -> np.ndarray:
+    """The code points before each of the bytes."""
+    if raw.isascii():
+        return at
+    lead = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+    edges = np.unique(np.r_[0, at[at < len(raw)]])
+    before = np.r_[0, np.cumsum(np.add.reduceat(lead, edges, dtype=np.int64))]
+    return before[np.searchsorted(edges, at)]
+
+
+def in_scope(start: np.ndarray, last: np.ndarray, kinds: list[str], scope: int) -> np.ndarray:
+    """Which parts lie in a scope that completes a credential; parts by start. The scopes that matter begin at a part's
+    start, so each is an interval [start, start + scope]; of each kind, the part from there on that ends first tells
+    whether one lies in it. A part lies in a complete scope if one begins at most scope before its end and not after
+    its start: n log n in all."""
+    n = len(start)
+    edge = start + scope
+    ends = {}
+    for kind in {*kinds}:
+        own = np.array([k == kind for k in kinds])
+        least = np.where(own, last, np.iinfo(np.int64).max)
+        ends[kind] = np.minimum.accumulate(least[::-1])[::-1]
+    none = np.full(n, np.iinfo(np.int64).max)
+    holds = lambda *some: np.minimum.reduce([ends.get(k, none) for k in some]) <= edge
+    complete = holds("weak_secret", "assign", "hex") & (holds("access") | (holds("weak_id") & holds("endpoint")))
+    begins = np.r_[0, np.cumsum(complete)]
+    return begins[np.searchsorted(start, start, "right")] > begins[np.searchsorted(start, last - scope, "left")]
 
 
 def scan_text(raw: bytes) -> list[tuple[int, int, str]]:
@@ -87,9 +112,8 @@ def scan_text(raw: bytes) -> list[tuple[int, int, str]]:
     spans = strong + linked_spans(raw, strong)
     if not spans:
         return []
-    if not raw.isascii():
-        at = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-        spans = [(int(at[a]), int(at[b]), k) for a, b, k in spans]
+    start, end = (code_points(raw, np.array([s[i] for s in spans])).tolist() for i in (0, 1))
+    spans = [(a, b, k) for a, b, (_, _, k) in zip(start, end, spans, strict=True)]
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -100,29 +124,38 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     """The kept columns with `spans`, array<struct<kind,start,end>> in code points; with redact, `text` with every
     span replaced by that string (overlapping spans become one)."""
     keep = docs.columns if keep is None else keep
-    keep = [c for c in keep if c not in ("spans", *([text] if redact is not None else []))]
-    cols = docs.select(*keep, F.col(text).alias("__text"))
-    schema = with_fields(docs.select(*keep).schema, SPAN_FIELD)
-    if redact is not None:
-        schema = schema.add(text, "string")
+    added = SPAN_FIELD if redact is None else f"{SPAN_FIELD}, `{text}` string"
+    schema = arrow_of(docs, keep, added)
+    return _scanned(docs, text, schema, redact, True)
+
+
+def redacted_documents(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
+    """docs, all columns as they are but for the text, in which every span is replaced by that string."""
+    others = [c for c in docs.columns if c != text]
+    return _scanned(docs, text, arrow_of(docs, others, f"`{text}` string"), by, False).select(*docs.columns)
+
+
+def _scanned(docs: DataFrame, text: str, schema: T.StructType, redact: str | None, spans_too: bool) -> DataFrame:
+    """The schema's columns: those of docs, then the spans and the text with its spans replaced, as asked for."""
+    keep = schema.names[: -(spans_too + (redact is not None))]
+    cols = docs.select(*keep, F.col(text).alias(TEXT))
     arrow_span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(keep))
             spans, clean = [], []
-            for t in texts:
+            for t in batch.column(len(keep)):
                 t = t.as_py()
                 found = scan_text(t.encode()) if t else []
-                spans.append([{"kind": k, "start": a, "end": b} for a, b, k in found])
+                spans.append([{"kind": k, "start": a, "end": b} for a, b, k in found] if spans_too else None)
                 if redact is not None:
                     clean.append(redacted(t, found, redact))
-            out = [batch.column(i) for i in range(len(keep))] + [pa.array(spans, arrow_span)]
-            names = [*keep, "spans"]
+            out = [batch.column(i) for i in range(len(keep))]
+            if spans_too:
+                out.append(pa.array(spans, arrow_span))
             if redact is not None:
                 out.append(pa.array(clean, pa.string()))
-                names.append(text)
-            yield pa.RecordBatch.from_arrays(out, names)
+            yield pa.RecordBatch.from_arrays(out, schema.names)
 
     return cols.mapInArrow(scan, schema)
 

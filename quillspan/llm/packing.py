@@ -3,16 +3,20 @@
 Documents become token ids; a document longer than a sequence is cut into full pieces, its first piece being
 the shorter rest. Full pieces are sequences of their own. All other pieces are dealt by hash to shards of about
 SHARD pieces; every shard is evolved on ISLANDS islands, in tasks of their own. A solution is a set of bins;
-crossover injects whole well-filled bins of the other parent, drops the bins that hold a repeated piece, and
-best-fits the displaced pieces. Between rounds each island's elite migrates to the next island. The shards'
-poorly filled bins are opened and packed once more together.
-
-Defined results: null text is empty and becomes the lone end token; repeated rows are packed apart; extra
-columns are ignored; an empty table gives an empty result; very long texts are cut, never dropped.
+crossover injects whole well-filled bins of the other parent, drops the bins that hold a repeated piece, swaps smaller
+pieces of the kept bins for displaced ones that fill them better, and best-fits the rest. Plain best fit by falling size
+is one of the first solutions, and evolution goes on until the bound that no packing can pass, or until PLATEAU
+generations in a row bring nothing. Between rounds each island's elite migrates to the next island. The shards' poorly
+filled bins, and LOOSE others for small pieces, are opened and evolved once more together, in shards that end level by
+level, until one shard holds them or nothing is gained.
+
+Defined results: null text is empty and becomes the lone end token; repeated rows are packed apart; equal sizes go by
+uid; extra columns are ignored; an empty table gives an empty result; very long texts are cut, never dropped.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import zlib
 from collections.abc import Iterator
@@ -31,10 +35,14 @@ END = 2
 SHARD = 4096
 ISLANDS = 2
 ROUNDS = 2
-GENERATIONS = 4
-POPULATION = 4
-#: Bins of a shard below this fill are opened for the common last round.
+GENERATIONS = 24
+PLATEAU = 5
+POPULATION = 6
+#: Bins of a shard below this fill are opened for the common rounds at the end, and this share of the others.
 POOR = 0.97
+LOOSE = 0.02
+#: Common rounds at most; each deals the opened bins to fewer shards.
+COMMON = 4
 
 #: How a byte-level vocabulary of this family parts a text into words.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -53,7 +61,8 @@ _BYTES = _byte_letters()
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes. The vocabulary's ranks drive a byte-pair encoder that
-    gives the same ids as the tokenizer file; a text that spells out a special token goes to the tokenizer itself."""
+    gives the same ids as the tokenizer file; a text that spells out a special token, or that this encoder can't part
+    (a very long run of blanks outgrows its stack), goes to the tokenizer itself."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -67,9 +76,12 @@ class Encoder:
         self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        if not any(s in text for s in self.special):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:
+                pass  # the tokenizer takes any text
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def tokenizer_path() -> str:
@@ -154,30 +166,55 @@ def from_scratch(sizes: np.ndarray, length: int, rng: np.random.Generator | None
     return bins
 
 
+def swapped(child: np.ndarray, displaced: np.ndarray, sizes: np.ndarray, room: list[int]) -> np.ndarray:
+    """Displaced pieces take the places of smaller ones in bins that they fill better; changes child and room, and
+    returns what is displaced then."""
+    free = sorted((int(sizes[i]), i) for i in displaced.tolist())
+    spare = np.array(room)
+    held = np.flatnonzero(child >= 0)
+    held = held[spare[child[held]] > 0]
+    for i in held[np.argsort(-spare[child[held]], kind="stable")].tolist():
+        r = room[child[i]]
+        if r <= 0 or not free:
+            continue
+        size = int(sizes[i])
+        at = bisect.bisect_right(free, (size + r, len(sizes))) - 1
+        if at >= 0 and free[at][0] > size:
+            larger, j = free.pop(at)
+            child[j], child[i] = child[i], -1
+            room[child[j]] = r - (larger - size)
+            bisect.insort(free, (size, i))
+    return np.array([i for _, i in free], np.int64)
+
+
 def crossover(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, length: int, rng: np.random.Generator) -> np.ndarray:
     """A child of a with well-filled bins of b."""
     fill = np.bincount(b, weights=sizes)
     good = np.flatnonzero(fill >= np.quantile(fill[fill > 0], rng.uniform(0.3, 0.9)))
     chosen = np.zeros(len(fill), bool)
-    chosen[good[rng.random(len(good)) < rng.uniform(0.3, 1.0)]] = True
+    chosen[good[rng.random(len(good)) < rng.uniform(0.1, 1.0)]] = True
     injected = chosen[b]
+    # bins of a that hold an injected piece go; so do some of its poorest, which is the mutation
     broken = np.zeros(int(a.max()) + 1, bool)
     broken[a[injected]] = True
+    own = np.bincount(a, weights=sizes)
+    broken[np.argsort(own, kind="stable")[: int(rng.integers(1, 2 + len(own) // 20))]] = True
     kept = ~injected & ~broken[a]
     key = np.where(injected, b, np.where(kept, a + len(fill), -1))
     used, renamed = np.unique(key, return_inverse=True)
     shift = int(used[0] == -1)
     child = renamed - shift
     room = (length - np.bincount(child[child >= 0], weights=sizes[child >= 0], minlength=len(used) - shift)).astype(int).tolist()
-    displaced = np.flatnonzero(child < 0)
+    displaced = swapped(child, np.flatnonzero(child < 0), sizes, room)
     best_fit(displaced[largest_first(sizes[displaced])], sizes, child, room, length)
     return child
 
 
 def worth(bins: np.ndarray, sizes: np.ndarray, length: int) -> float:
-    """Fewer bins first; among equals, the more unevenly filled leave better gaps."""
+    """Fewer bins first; among equals, the more unevenly filled leave better gaps. The emptier the poorest bins, the
+    nearer is a solution with one less."""
     fill = np.bincount(bins, weights=sizes) / length
-    return -len(fill) + float((fill**2).sum()) / max(len(fill), 1)
+    return -len(fill) + float((fill**4).sum()) / max(len(fill), 1)
 
 
 def evolve(sizes: np.ndarray, seeds: list[np.ndarray], length: int, generations: int, rng: np.random.Generator) -> np.ndarray:
@@ -191,9 +228,10 @@ def evolve(sizes: np.ndarray, seeds: list[np.ndarray], length: int, generations:
     while len(pool) < POPULATION and max(pool[0].max(), 0) + 1 > bound:
         pool.append(from_scratch(sizes, length, rng))
     scored = sorted(((worth(p, sizes, length), k, p) for k, p in enumerate(pool)), key=lambda x: (-x[0], x[1]))
-    count = len(scored)
+    count, still = len(scored), 0
     for _ in range(generations):
-        if int(scored[0][2].max()) + 1 <= bound:
+        best = scored[0]
+        if int(best[2].max()) + 1 <= bound or still >= PLATEAU:
             break
         for _ in range(POPULATION // 2):
             i, j = rng.choice(len(scored), 2, replace=False) if len(scored) > 1 else (0, 0)
@@ -201,6 +239,7 @@ def evolve(sizes: np.ndarray, seeds: list[np.ndarray], length: int, generations:
             scored.append((worth(child, sizes, length), count, child))
             count += 1
         scored = sorted(scored, key=lambda x: (-x[0], x[1]))[:POPULATION]
+        still = 0 if scored[0][0] > best[0] + 1e-9 else still + 1
     return scored[0][2]
 
 
@@ -255,15 +294,26 @@ def pack(pieces: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFra
     n = short.count()
     alone = pieces.where(F.col("length") >= length).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     dealt = short.select(F.pmod(F.xxhash64("uid"), F.lit(-(-n // shard) or 1)).alias("shard"), "uid", "length")
-    first = written(islands(dealt, length), "pack-first")
-    poor = first.where(F.col("fill") < POOR * length)
-    left = poor.count()
-    again = poor.select((F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(-(-left // shard) or 1)) + (1 << 24)).alias("shard"), "uid", "length")
-    packed = first.where(F.col("fill") >= POOR * length).select("shard", "uid", "length", "bin").unionByName(islands(again, length, 1).select("shard", "uid", "length", "bin"))
+    current = written(islands(dealt, length), "pack-first")
+    done = []
+    many = n > shard  # a single shard has been evolved whole
+    for turn in range(1, COMMON + 1) if many else ():
+        open_ = (F.col("fill") < POOR * length) | (F.pmod(F.xxhash64("shard", "bin", F.lit(turn)), F.lit(1000)) < int(1000 * LOOSE))
+        opened = current.where(open_)
+        left = opened.count()
+        shards = -(-left // shard) or 1
+        again = opened.select((F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(shards)) + F.lit(turn << 24)).alias("shard"), "uid", "length")
+        done.append(current.where(~open_).select("shard", "uid", "length", "bin"))
+        current = written(islands(again, length), f"pack-common{turn}")
+        if shards == 1:
+            break
+    packed = current.select("shard", "uid", "length", "bin")
+    for rows in done:
+        packed = packed.unionByName(rows)
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("uid")
-        return pd.DataFrame({"uid": pdf["uid"], "sequence_id": pdf["shard"] * (1 << 32) + pdf["bin"], "offset": offsets_in(pdf["bin"].to_numpy(np.int64), pdf["length"].to_numpy(np.int64))})
+        return pd.DataFrame({"uid": pdf["uid"], "sequence_id": pdf["shard"] * (1 << 20) + pdf["bin"], "offset": offsets_in(pdf["bin"].to_numpy(np.int64), pdf["length"].to_numpy(np.int64))})
 
     return packed.groupBy("shard").applyInPandas(place, "uid bigint, sequence_id bigint, offset bigint").unionByName(alone)
 

@@ -1,47 +1,61 @@
 """Vector search over blocks: an exact pivot-distance index and an approximate stable-projection index.
 
-Both searches cut the rows into bounded blocks (index rows of their own), the stated queries into bounded query
-blocks, and bring a query block to a block by an equi-join on the block's number. Each visit returns a query's
-best few, which a window ranks by (score, smaller vec_id). No block, query set or group is held whole anywhere.
+Both indexes deal the rows to cells (the nearest pivot; a cell of a kd-tree over projections) and cut each cell into
+blocks of BLOCK rows. A directory of the cells, of bounded size, tells each block of the stated queries which cells it
+must visit; a cell's blocks are dealt to slices, and a query block meets a block by an equi-join on cell and slice, so
+a cell that holds a third of all rows is many keys. Each visit returns a query's best few, which a window ranks by
+(score, smaller vec_id). No block, query set or group is held whole anywhere.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows
-with a null vec_id or of another length than most; ties go to the smaller vec_id; a repeated row is a row of its
-own (only the query's own row is left out); extra columns are ignored; an empty table gives an empty result.
+with a null vec_id or of another length than `dimension` (if that isn't given: than most; of equally many, the longer);
+ties go to the smaller vec_id, then to the row read first; a repeated row is a row of its own (only the query's own row
+is left out); extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import row_key, written
+from .common import written
 
 PIVOTS = 64
 #: Rows from whose scores a query's first threshold comes.
 SEED_ROWS = 2048
 BLOCK = 2048
 QUERY_BLOCK = 256
+#: Blocks of a cell in one slice, about.
+SLICE = 4
 
-PROJECTED = 8
-SHARD = 8192
+PROJECTED = 24
+#: Cells of the kd-tree at most, and projected rows that it is built from.
+CELLS = 1024
+TREE_ROWS = 16_384
 LEAF = 64
-#: A row at the k-th distance would have been met with this probability when the search of a shard stops.
-CONFIDENCE = 0.9
-
-
-def vector_rows(table: DataFrame, scale=None, zero: bool = True) -> DataFrame:
-    """vec_id, uid, vec (binary float64) of the rows that take part. scale: applied to the components; zero: whether
-    zero vectors take part."""
-    uid = table.select(F.col("vec_id").cast("long").alias("vec_id"), row_key().alias("uid"), F.col("embedding").cast("array<double>").alias("e"))
-    sound = uid.where(F.col("vec_id").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
-    common = sound.groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    sound = sound.where(F.size("e") == (common[0].n if common else 0))
+#: A row as near as a query's k-th would have been projected within the radius that is searched with this probability.
+CONFIDENCE = 0.83
+#: Rows of a cell, about, while there are no more than CELLS.
+CELL_ROWS = 2048
+#: The share of all rows, in a query's nearest cells, that the rounds of the search have reached.
+REACHES = (0.05, 0.2, 1.0)
+
+_LEAST = np.iinfo(np.int64).min
+
+
+def vector_rows(table: DataFrame, scale: float | None = None, zero: bool = True, dimension: int | None = None) -> DataFrame:
+    """vec_id, uid, vec (binary float64) of the rows that take part, stored. scale: components are floor(scale * x), and
+    rows in which one leaves the doubles take no part; zero: whether zero vectors take part."""
+    uid = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("uid"), F.col("embedding").cast("array<double>").alias("e"))
+    sound = uid.where(F.col("vec_id").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & (F.abs(x) * (scale or 1.0) < float("inf"))))
+    if dimension is None:
+        common = sound.groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
+        dimension = common[0].n if common else 0
+    sound = sound.where(F.size("e") == dimension)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,75 +86,149 @@ def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each query row, from the best of its visits."""
+    """query_id, query_uid, rank, vec_id, uid, score: the k best of each query row, from the best of its visits."""
     rank = F.row_number().over(Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id", "uid"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def query_blocks(queries: DataFrame, order: list[str], extra: str, make) -> DataFrame:
-    """Queries packed to blocks of QUERY_BLOCK at most, near ones together; make adds the extra columns."""
+# ---------------------------------------------------------------- cells, blocks and visits
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_HELD = "block bigint, cell bigint, rows bigint, ids binary, uids binary, vecs binary, keys binary"
+_KINDS = {"bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    return pa.schema([(f.split()[0], _KINDS[f.split()[1]]) for f in ddl.split(", ")])
+
+
+def blocks_of(celled: DataFrame, order: list[str], keys: Callable[[np.ndarray, pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Index rows of _HELD, stored: BLOCK rows of one cell at most, with what keys(vectors, rows) makes of them: their
+    order, and an array. celled: vec_id, uid, vec, cell and what the order needs."""
+    n = max(1, -(-celled.count() // (8 * BLOCK)))
+    schema = arrow_schema(_HELD)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            edges = np.r_[0, np.flatnonzero(np.diff(cell)) + 1, len(cell)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                for i in range(a, b, BLOCK):
+                    part = batch.slice(i, min(b, i + BLOCK) - i)
+                    vecs = matrix(part.column("vec"))
+                    at, held = keys(vecs, part)
+                    ids, uids = part.column("vec_id").to_numpy()[at], part.column("uid").to_numpy()[at]
+                    out = {"block": block, "cell": int(cell[i]), "rows": len(at), "ids": ids.tobytes(), "uids": uids.tobytes(), "vecs": vecs[at].tobytes(), "keys": held.tobytes()}
+                    block += 1
+                    yield pa.RecordBatch.from_pylist([out], schema)
+
+    return written(celled.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(cut, _HELD), "vector-blocks")
+
+
+def sliced(index: DataFrame) -> tuple[DataFrame, dict[int, int], dict[int, int]]:
+    """(the index with slice, slices of each cell, rows of each cell)."""
+    per = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices"), F.sum("rows").alias("n"))
+    cells = per.collect()  # PIVOTS or CELLS rows at most
+    slice_of = F.pmod(F.xxhash64("block"), F.col("slices"))
+    return index.join(F.broadcast(per.select("cell", "slices")), "cell").withColumn("slice", slice_of).drop("slices"), {c.cell: c.slices for c in cells}, {c.cell: c.n for c in cells}
+
+
+def visits(queries: DataFrame, slices: dict[int, int], wants: Callable[[pa.RecordBatch, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """cell, slice and the queries of a block that must visit it: q_id, q_uid, q_vec, q_extra. wants(rows, vectors) gives
+    a matrix queries x cells (by rising cell), and an array whose rows go along."""
+    ddl = "cell bigint, slice bigint, q_id binary, q_uid binary, q_vec binary, q_extra binary"
+    schema, cells = arrow_schema(ddl), sorted(slices)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, QUERY_BLOCK):
                 part = batch.slice(i, QUERY_BLOCK)
                 vecs = matrix(part.column("vec"))
-                ids = part.column("vec_id").to_numpy(), part.column("uid").to_numpy()
-                for row in make(part, vecs):
-                    yield pa.RecordBatch.from_pylist([{"qblock": block, "q_id": ids[0].tobytes(), "q_uid": ids[1].tobytes(), "q_vec": vecs.tobytes(), **row}], schema)
-                block += 1
+                ids, uids = part.column("vec_id").to_numpy(), part.column("uid").to_numpy()
+                wanted, extra = wants(part, vecs)
+                for c, cell in enumerate(cells):
+                    who = np.flatnonzero(wanted[:, c])
+                    if len(who):
+                        row = {"cell": cell, "q_id": ids[who].tobytes(), "q_uid": uids[who].tobytes(), "q_vec": vecs[who].tobytes(), "q_extra": extra[who].tobytes()}
+                        for s in range(slices[cell]):
+                            yield pa.RecordBatch.from_pylist([row | {"slice": s}], schema)
+
+    return queries.mapInArrow(run, ddl)
+
 
-    ddl = "qblock bigint, q_id binary, q_uid binary, q_vec binary, " + extra
-    types = {"bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
-    schema = pa.schema([(f.split()[0], types[f.split()[1]]) for f in ddl.split(", ")])
-    return queries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, ddl)
+class Visit:
+    """A query block and a block that meet."""
+
+    def __init__(self, batch: pa.RecordBatch, r: int):
+        raw = lambda c, t: np.frombuffer(batch.column(c)[r].as_buffer(), t)
+        self.cell = batch.column("cell")[r].as_py()
+        self.ids, self.uids, self.q_id, self.q_uid = (raw(c, np.int64) for c in ("ids", "uids", "q_id", "q_uid"))
+        self.vecs, self.q = raw("vecs", np.float64).reshape(len(self.ids), -1), raw("q_vec", np.float64).reshape(len(self.q_id), -1)
+        self.keys = raw("keys", np.float64).reshape(len(self.ids), -1)
+        self.extra = raw("q_extra", np.float64).reshape(len(self.q_id), -1)
+
+    def hits(self, best: list[np.ndarray], scores: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
+        """best: places in the block for each query, scores: theirs."""
+        n = [len(b) for b in best]
+        at = np.concatenate([np.zeros(0, np.int64), *best]).astype(np.int64)
+        said = np.concatenate([np.zeros(0), *scores]) if not pa.types.is_integer(kind) else np.concatenate([np.zeros(0, np.int64), *scores])
+        cols = [np.repeat(self.q_id, n), np.repeat(self.q_uid, n), self.ids[at], self.uids[at]]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(said, kind)], ["query_id", "query_uid", "vec_id", "uid", "score"])
+
+
+def met(visiting: DataFrame, index: DataFrame, search: Callable[[Visit], pa.RecordBatch], kind: str) -> DataFrame:
+    """query_id, query_uid, vec_id, uid, score: what search finds where query blocks and blocks meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                yield search(Visit(batch, r))
+
+    pairs = visiting.hint("merge").join(index.select("cell", "slice", "ids", "uids", "vecs", "keys"), ["cell", "slice"])
+    return pairs.mapInArrow(run, f"query_id bigint, query_uid bigint, vec_id bigint, uid bigint, score {kind}")
 
 
 # ---------------------------------------------------------------- exact: pivots and annuli
 
 
+def nearest(vecs: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    d2 = (vecs**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None] - 2 * vecs @ pivots.T
+    at = d2.argmin(axis=1)
+    return at, np.sqrt(((vecs - pivots[at]) ** 2).sum(axis=1))
+
+
 def pivot_index(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Index rows: block, pivot, low, high (least and greatest distance from the pivot), norm2 (greatest squared
-    length), ids, uids, dists, vecs. A block is an annulus of one pivot of BLOCK rows at most, sorted by distance."""
+    """Blocks of the rows by nearest pivot, each an annulus sorted by distance; keys: the distances."""
     sent = rows.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS vectors
-    n = max(1, -(-rows.count() // (8 * BLOCK)))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, dist = nearest(matrix(batch.column("vec")), sent.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64()), pa.array(dist)], ["vec_id", "uid", "vec", "pivot", "dist"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64()), pa.array(dist)], ["vec_id", "uid", "vec", "cell", "dist"])
 
-    keyed = rows.mapInArrow(near, "vec_id bigint, uid bigint, vec binary, pivot bigint, dist double")
-    order = ["pivot", "dist", "uid"]  # the uid parts the copies of one vector
+    celled = rows.mapInArrow(near, "vec_id bigint, uid bigint, vec binary, cell bigint, dist double")
+    # the uid parts the copies of one vector
+    return blocks_of(celled, ["cell", "dist", "uid"], lambda vecs, part: (np.arange(len(vecs)), part.column("dist").to_numpy()))
 
-    def rings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            pivot, dist = batch.column("pivot").to_numpy(), batch.column("dist").to_numpy()
-            edges = np.r_[0, np.flatnonzero(np.diff(pivot)) + 1, len(pivot)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                for i in range(a, b, BLOCK):
-                    j = min(b, i + BLOCK)
-                    vecs = matrix(batch.column("vec").slice(i, j - i))
-                    out = {"block": block, "pivot": int(pivot[i]), "low": dist[i], "high": dist[j - 1], "norm2": float((vecs**2).sum(axis=1).max()), "vecs": vecs.tobytes(), "dists": dist[i:j].tobytes()}
-                    out |= {"ids": batch.column("vec_id")[i:j].to_numpy().tobytes(), "uids": batch.column("uid")[i:j].to_numpy().tobytes()}
-                    block += 1
-                    yield pa.RecordBatch.from_pylist([out], schema)
-
-    schema = pa.schema([("block", pa.int64()), ("pivot", pa.int64()), ("low", pa.float64()), ("high", pa.float64()), ("norm2", pa.float64()), ("ids", pa.binary()), ("uids", pa.binary()), ("dists", pa.binary()), ("vecs", pa.binary())])
-    ddl = "block bigint, pivot bigint, low double, high double, norm2 double, ids binary, uids binary, dists binary, vecs binary"
-    return written(keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(rings, ddl), "annuli")
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers, exactly, as 64-bit integers. In doubles while they stay below 2**53, in 64-bit
+    integers below 2**63, else in whole numbers of any size; a product beyond the range of a long is told as its end."""
+    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    if most < 2.0**53:
+        return (a @ b.T).astype(np.int64)
+    if most < 2.0**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = lambda m: np.array([[int(x) for x in row] for row in m], object).reshape(m.shape)
+    exact = whole(a) @ whole(b).T
+    return np.clip(exact, _LEAST + 1, np.iinfo(np.int64).max).astype(np.int64)
 
 
-def nearest(vecs: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    d2 = (vecs**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None] - 2 * vecs @ pivots.T
-    at = d2.argmin(axis=1)
-    return at, np.sqrt(((vecs - pivots[at]) ** 2).sum(axis=1))
+def within_reach(q2: np.ndarray, longest2: float, floor: np.ndarray) -> np.ndarray:
+    """How far from a query a row of the score `floor` can be: |q - x|^2 = |q|^2 + |x|^2 - 2 q x. With room for rounding."""
+    return np.sqrt(np.maximum((q2 + longest2) * (1 + 1e-9) - 2 * floor * (1 - 1e-9 * np.sign(floor)) + 2.0, 0)) * (1 + 1e-9) + 1e-6
 
 
 def exact_top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -151,63 +239,40 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     seeds, seed_uids = matrix([r.vec for r in some]), np.array([r.uid for r in some])
     pivots = seeds[:PIVOTS]
-    index = pivot_index(rows, pivots)
-    sent = rows.sparkSession.sparkContext.broadcast((pivots, seeds, seed_uids))  # SEED_ROWS vectors
+    index, slices, _ = sliced(pivot_index(rows, pivots))
+    cells = sorted(slices)
+    place = {c: i for i, c in enumerate(cells)}
+    sent = rows.sparkSession.sparkContext.broadcast((pivots[cells], seeds, seed_uids))  # SEED_ROWS vectors
 
-    def first(part: pa.RecordBatch, vecs: np.ndarray) -> Iterator[dict]:
-        """The block's thresholds, and for each pivot its distances."""
+    def wants(part: pa.RecordBatch, vecs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All cells: which annuli are in reach is told by their distances. With each query its threshold and distances."""
         pivots, seeds, seed_uids = sent.value
         scores = products(vecs, seeds)
-        scores[part.column("uid").to_numpy()[:, None] == seed_uids[None]] = -np.inf
-        least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(vecs), -np.inf)
-        far = np.sqrt(np.maximum(((vecs[:, None, :] - pivots[None]) ** 2).sum(axis=2), 0)) if len(vecs) * pivots.size < 1 << 24 else np.stack([np.sqrt(((vecs - p) ** 2).sum(axis=1)) for p in pivots], 1)
-        norm2 = float((vecs**2).sum(axis=1).max())
-        for p in range(len(pivots)):
-            yield {"pivot": p, "near": float(far[:, p].min()), "far": float(far[:, p].max()), "q_norm2": norm2, "floor": float(least.min()), "q_dist": far[:, p].tobytes(), "q_floor": least.tobytes()}
-
-    blocks = query_blocks(queries, ["uid"], "pivot bigint, near double, far double, q_norm2 double, floor double, q_dist binary, q_floor binary", first)
-    # triangle inequality: |q - x| is at least the gap between the annulus and the queries' distances
-    gap = F.greatest(F.lit(0.0), F.col("low") - F.col("far") - 1e-6, F.col("near") - F.col("high") - 1e-6)
-    may = (F.col("q_norm2") + F.col("norm2") - gap * gap) / 2 >= F.col("floor") - 1.0
-    visits = blocks.join(index.select("block", "pivot", "low", "high", "norm2"), "pivot").where(may).select("block", "q_id", "q_uid", "q_vec", "q_dist", "q_floor")
-    pairs = visits.join(index.select("block", "norm2", "ids", "uids", "dists", "vecs"), "block")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {name: batch.column(name)[r].as_py() for name in batch.schema.names}
-                ids, uids, dists = (np.frombuffer(row[c], t) for c, t in (("ids", np.int64), ("uids", np.int64), ("dists", np.float64)))
-                q_id, q_uid, q_dist, floor = (np.frombuffer(row[c], t) for c, t in (("q_id", np.int64), ("q_uid", np.int64), ("q_dist", np.float64), ("q_floor", np.float64)))
-                vecs, q = np.frombuffer(row["vecs"]).reshape(len(ids), -1), np.frombuffer(row["q_vec"]).reshape(len(q_id), -1)
-                # of the annulus only the rows whose distance from the pivot is within reach of the query's
-                reach = np.sqrt(np.maximum((q**2).sum(axis=1) + row["norm2"] - 2 * floor + 2.0, 0)) + 1e-6
-                a, b = np.searchsorted(dists, q_dist - reach, "left"), np.searchsorted(dists, q_dist + reach, "right")
-                use = np.flatnonzero(b > a)
-                if not len(use):
-                    continue
-                lo, hi = int(a[use].min()), int(b[use].max())
-                scores = products(q[use], vecs[lo:hi])
-                out = []
-                for i, s in zip(use, scores, strict=True):
-                    s[uids[lo:hi] == q_uid[i]] = -np.inf
-                    s[: a[i] - lo] = -np.inf
-                    s[b[i] - lo :] = -np.inf
-                    best = top(s, ids[lo:hi], k)
-                    best = best[s[best] >= floor[i]]
-                    best = best[np.isfinite(s[best])]
-                    out.append((np.full(len(best), q_id[i]), np.full(len(best), q_uid[i]), ids[lo:hi][best], uids[lo:hi][best], s[best].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["query_id", "query_uid", "vec_id", "uid", "score"])
-
-    found = pairs.mapInArrow(search, "query_id bigint, query_uid bigint, vec_id bigint, uid bigint, score bigint")
-    return ranked(found, k)
-
-
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers, as floats: exact while they stay below 2**53, else through integers."""
-    most = (np.abs(a).max(initial=0) * np.abs(b).max(initial=0)) * a.shape[1]
-    if most < 2.0**53:
-        return a @ b.T
-    return np.array([[float(sum(int(x) * int(y) for x, y in zip(u, v, strict=True))) for v in b] for u in a])
+        scores[part.column("uid").to_numpy()[:, None] == seed_uids[None]] = _LEAST
+        least = np.partition(scores, -k, axis=1)[:, -k].astype(float) if scores.shape[1] > k else np.full(len(vecs), -np.inf)
+        far = np.stack([np.sqrt(((vecs - p) ** 2).sum(axis=1)) for p in pivots], 1)
+        return np.ones(far.shape, bool), np.hstack([least[:, None], far])
+
+    def search(v: Visit) -> pa.RecordBatch:
+        # the triangle inequality: of the annulus only rows whose distance from the pivot is near the query's are in reach
+        dists, floor, q_dist = v.keys[:, 0], v.extra[:, 0], v.extra[:, 1 + place[v.cell]]
+        reach = within_reach((v.q**2).sum(axis=1), float((v.vecs**2).sum(axis=1).max()), np.maximum(floor, -1e300))
+        reach[np.isneginf(floor)] = np.inf
+        a, b = np.searchsorted(dists, q_dist - reach, "left"), np.searchsorted(dists, q_dist + reach, "right")
+        use = np.flatnonzero(b > a)
+        best, said = [np.zeros(0, np.int64)] * len(v.q), [np.zeros(0, np.int64)] * len(v.q)
+        if len(use):
+            lo, hi = int(a[use].min()), int(b[use].max())
+            scores = products(v.q[use], v.vecs[lo:hi])
+            for i, s in zip(use, scores, strict=True):
+                open_ = np.arange(a[i], b[i])[v.uids[a[i] : b[i]] != v.q_uid[i]]
+                open_ = open_[s[open_ - lo] >= floor[i] * (1 - 1e-9 * np.sign(floor[i])) - 1] if np.isfinite(floor[i]) else open_
+                best[i] = open_[top(s[open_ - lo], v.ids[open_], k)]
+                said[i] = s[best[i] - lo]
+        return v.hits(best, said, pa.int64())
+
+    found = met(visits(queries, slices, wants), index, search, "bigint")
+    return ranked(found, k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,6 +313,34 @@ def kd_order(points: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, list[int
     return np.concatenate(done), edges
 
 
+def kd_tree(points: np.ndarray, leaves: int) -> list[tuple[int, float]]:
+    """A balanced tree of about so many leaves: the (axis, value) of each node, the children of node i at 2i + 1 and
+    2i + 2. Rows up to the value go left."""
+    depth = max(0, int(np.log2(max(leaves, 1))))
+    out: list[tuple[int, float]] = []
+    level = [np.arange(len(points))]
+    for _ in range(depth):
+        below = []
+        for node in level:
+            own = points[node]
+            axis = int(np.argmax(own.max(axis=0) - own.min(axis=0))) if len(own) else 0
+            value = float(np.median(own[:, axis])) if len(own) else 0.0
+            out.append((axis, value))
+            right = own[:, axis] > value if len(own) else np.zeros(0, bool)
+            below += [node[~right], node[right]]
+        level = below
+    return out
+
+
+def kd_cell(tree: list[tuple[int, float]], points: np.ndarray) -> np.ndarray:
+    """The leaf of each point."""
+    axis, value = np.array([a for a, _ in tree], np.int64), np.array([v for _, v in tree])
+    at = np.zeros(len(points), np.int64)
+    while len(at) and at.min() < len(tree):
+        at = 2 * at + 1 + (points[np.arange(len(points)), axis[at]] > value[at])
+    return at - len(tree)
+
+
 def projection(dim: int, m: int = PROJECTED) -> np.ndarray:
     return np.random.default_rng(9).standard_normal((dim + 1, m))
 
@@ -257,98 +350,155 @@ def lifted(vecs: np.ndarray, longest: float) -> np.ndarray:
     return np.hstack([vecs, np.sqrt(np.maximum(longest**2 - (vecs**2).sum(axis=1), 0))[:, None]])
 
 
-def projection_index(rows: DataFrame, longest: float, shard: int = SHARD) -> DataFrame:
-    """One index row for each shard of about SHARD rows: its kd-tree's leaves over the projections, and the vectors."""
-    n = max(1, -(-rows.count() // shard))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(n)))
+def projected_queries(q: np.ndarray, longest: float) -> np.ndarray:
+    unit = q / np.sqrt((q**2).sum(axis=1, keepdims=True)) * longest
+    return np.hstack([unit, np.zeros((len(q), 1))]) @ projection(q.shape[1])
+
+
+def radius2(q: np.ndarray, kth: np.ndarray, longest: float, limit: float) -> np.ndarray:
+    """The squared projected distance at which the chi-square test stops a query: a row as near as its k-th would, with
+    the given confidence, have been projected nearer."""
+    dist2 = 2 * longest**2 - 2 * longest * kth / np.sqrt((q**2).sum(axis=1))
+    return np.where(np.isneginf(kth), np.inf, limit * np.maximum(dist2, 1e-12) * (1 + 1e-9))
+
+
+def box_distance2(p: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances of points from boxes, points x boxes."""
+    out = np.zeros((len(p), len(low)))
+    for m in range(p.shape[1]):
+        out += np.maximum(np.maximum(low[None, :, m] - p[:, None, m], p[:, None, m] - high[None, :, m]), 0) ** 2
+    return out
+
+
+def projected_neighbours(q: np.ndarray, kth: np.ndarray, points: np.ndarray, longest: float, limit: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the rows of a block that are projected within its radius, nearest first, and their squared
+    projected distances. The block's rows are in the order of its kd-tree's leaves; only leaves whose boxes come within
+    some query's radius are looked into."""
+    p, r2 = projected_queries(q, longest), radius2(q, kth, longest, limit)
+    edges = np.r_[np.arange(0, len(points), LEAF), len(points)]
+    low, high = np.minimum.reduceat(points, edges[:-1]), np.maximum.reduceat(points, edges[:-1])
+    wanted = (box_distance2(p, low, high) <= r2[:, None]).any(axis=0)
+    some = np.flatnonzero(np.repeat(wanted, np.diff(edges)))
+    own = points[some]
+    d2 = (p**2).sum(axis=1)[:, None] + (own**2).sum(axis=1)[None] - 2 * p @ own.T
+    out = []
+    for i in range(len(q)):
+        near = np.flatnonzero(d2[i] <= r2[i])
+        near = near[np.argsort(d2[i, near], kind="stable")]
+        out.append((some[near], d2[i, near]))
+    return out
+
+
+def verified(q: np.ndarray, own: int, kth: float, near: tuple[np.ndarray, np.ndarray], vecs: np.ndarray, ids: np.ndarray, uids: np.ndarray, k: int, longest: float, limit: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(places, scores) of the k best by exact inner products that reach the k-th so far, and the rows verified. Rows
+    come by rising projected distance, ever more at a time; the search stops when the next is beyond the radius that the
+    k-th best so far leaves."""
+    rows, away = near
+    keep = uids[rows] != own
+    rows, away = rows[keep], away[keep]
+    best, scores, seen, step = np.zeros(0, np.int64), np.zeros(0), 0, 4 * k
+    while seen < len(rows) and away[seen] <= radius2(q[None], np.array([kth]), longest, limit)[0]:
+        some = rows[seen : seen + step]
+        best, scores = np.r_[best, some], np.r_[scores, (vecs[some] * q).sum(axis=1)]
+        keep = top(scores, ids[best], k)
+        best, scores = best[keep], scores[keep]
+        if len(best) == k:
+            kth = max(kth, float(scores[-1]))
+        seen, step = seen + len(some), step * 2
+    keep = scores >= kth
+    return best[keep], scores[keep], seen
+
+
+def projection_index(rows: DataFrame, longest: float, cells: int = CELLS) -> DataFrame:
+    """Blocks of the rows by cell of a kd-tree over their projections; within a block by the leaves of another. The tree
+    is built from TREE_ROWS rows and only deals the rows; keys: the projections."""
+    n = rows.count()
+    some = rows.orderBy(F.xxhash64("uid"), "uid").limit(TREE_ROWS).collect()  # bounded
+    vecs = matrix([r.vec for r in some])
+    tree = kd_tree(lifted(vecs, longest) @ projection(vecs.shape[1]), min(cells, max(1, n // CELL_ROWS)))
+    sent = rows.sparkSession.sparkContext.broadcast(tree)  # CELLS nodes
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vecs = matrix(batch.column("vec"))
+            cell = kd_cell(sent.value, lifted(vecs, longest) @ projection(vecs.shape[1])) if len(vecs) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64())], ["vec_id", "uid", "vec", "cell"])
 
-    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        vecs = matrix(pdf["vec"])
+    def keys(vecs: np.ndarray, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         points = lifted(vecs, longest) @ projection(vecs.shape[1])
-        order, edges = kd_order(points)
-        points = points[order]
-        boxes = np.stack([np.stack([points[a:b].min(axis=0), points[a:b].max(axis=0)]) for a, b in zip(edges, edges[1:], strict=False)])
-        return pd.DataFrame({"shard": [key[0]], "ids": [pdf["vec_id"].to_numpy()[order].tobytes()], "uids": [pdf["uid"].to_numpy()[order].tobytes()], "vecs": [vecs[order].tobytes()], "edges": [np.array(edges).tobytes()], "boxes": [boxes.tobytes()]})
-
-    return written(dealt.groupBy("shard").applyInPandas(build, "shard bigint, ids binary, uids binary, vecs binary, edges binary, boxes binary"), "kd-shards")
-
-
-def search_shard(q: np.ndarray, q_uid: np.ndarray, vecs: np.ndarray, uids: np.ndarray, edges: np.ndarray, boxes: np.ndarray, longest: float, k: int, confidence: float) -> np.ndarray:
-    """Scores (float32) of the verified rows, -inf elsewhere. Leaves are taken in order of their projected distance;
-    a query stops when the next leaf lies so far that a row as near as its k-th would, with the given confidence,
-    have been projected nearer."""
-    length = np.sqrt((q**2).sum(axis=1, keepdims=True))
-    unit = q / length * longest
-    p = np.hstack([unit, np.zeros((len(q), 1))]) @ projection(q.shape[1])
-    away = np.maximum(np.maximum(boxes[None, :, 0] - p[:, None], p[:, None] - boxes[None, :, 1]), 0)
-    away = (away**2).sum(axis=2)
-    order = np.argsort(away, axis=1, kind="stable")
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), axis=1)
-    small, q32 = vecs.astype(np.float32), unit.astype(np.float32)
-    scores = np.full((len(q), len(vecs)), -np.inf, np.float32)
-    limit = chi_square_quantile(confidence, boxes.shape[2])
-    active, seen, step = np.arange(len(q)), 0, 8
-    while len(active) and seen < order.shape[1]:
-        wanted = (place[active] >= seen) & (place[active] < seen + step)
-        for leaf in np.flatnonzero(wanted.any(axis=0)):
-            who = active[wanted[:, leaf]]
-            a, b = edges[leaf], edges[leaf + 1]
-            scores[who, a:b] = q32[who] @ small[a:b].T
-        seen, step = seen + step, step * 2
-        if seen >= order.shape[1]:
-            break
-        kth = np.partition(scores[active], -k - 1, axis=1)[:, -k - 1] if scores.shape[1] > k else np.full(len(active), -np.inf)
-        dist2 = np.maximum(2 * longest**2 - 2 * kth, 1e-12)  # one place is left for the query's own row
-        after = away[active, order[active, seen]]
-        active = active[after < limit * dist2]
-    return scores * (length / longest).astype(np.float32)
-
-
-def approximate_top_k(rows: DataFrame, queries: DataFrame, k: int, confidence: float = CONFIDENCE) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest found by largest inner product."""
-    longest = rows.select(F.max(F.sqrt(square("vec")))).first()[0] if rows.head(1) else None
-    if not longest:
-        return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    index = projection_index(rows, longest)
-    shards = index.count()
-    blocks = query_blocks(queries, ["uid"], "one bigint", lambda part, vecs: [{"one": 1}]).drop("one")
-    visits = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-    pairs = visits.join(index, "shard")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = kd_order(points)[0]
+        return order, points[order]
+
+    return blocks_of(rows.mapInArrow(deal, "vec_id bigint, uid bigint, vec binary, cell bigint"), ["cell", "uid"], keys)
+
+
+def boxes(index: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The least box around the projections of each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                row = {name: batch.column(name)[r].as_py() for name in batch.schema.names}
-                ids, uids, edges = (np.frombuffer(row[c], np.int64) for c in ("ids", "uids", "edges"))
-                q_id, q_uid = np.frombuffer(row["q_id"], np.int64), np.frombuffer(row["q_uid"], np.int64)
-                vecs, q = np.frombuffer(row["vecs"]).reshape(len(ids), -1), np.frombuffer(row["q_vec"]).reshape(len(q_id), -1)
-                boxes = np.frombuffer(row["boxes"]).reshape(len(edges) - 1, 2, -1)
-                scores = search_shard(q, q_uid, vecs, uids, edges, boxes, longest, k, confidence)
-                out = []
-                for i in range(len(q)):
-                    s = scores[i]
-                    s[uids == q_uid[i]] = -np.inf
-                    kth = np.partition(s, -k)[-k] if len(s) > k else -np.inf
-                    some = np.flatnonzero((s >= kth - 1e-5 * (abs(kth) + 1)) & (s > -np.inf)) if np.isfinite(kth) else np.flatnonzero(s > -np.inf)
-                    exact = (vecs[some] * q[i]).sum(axis=1)
-                    best = top(exact, ids[some], k)
-                    out.append((np.full(len(best), q_id[i]), np.full(len(best), q_uid[i]), ids[some][best], uids[some][best], exact[best]))
-                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.float64())], ["query_id", "query_uid", "vec_id", "uid", "score"])
-
-    found = pairs.mapInArrow(search, "query_id bigint, query_uid bigint, vec_id bigint, uid bigint, score double")
-    return ranked(found, k)
-
-
-def square(vec: str):
-    """Squared length of a packed vector."""
-
-    @F.pandas_udf("double")
-    def run(column: pd.Series) -> pd.Series:
-        return pd.Series((matrix(column) ** 2).sum(axis=1)) if len(column) else pd.Series([], dtype=float)
-
-    return run(vec)
+            for cell, n, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                points = np.frombuffer(raw).reshape(n, -1)
+                axes = pa.array(np.arange(points.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(axes), cell)), axes, pa.array(points.min(axis=0)), pa.array(points.max(axis=0))], ["cell", "axis", "low", "high"])
+
+    sides = index.select("cell", "rows", "keys").mapInArrow(run, "cell bigint, axis bigint, low double, high double")
+    out: dict[int, list] = {}
+    for r in sides.groupBy("cell", "axis").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("cell", "axis").toLocalIterator():  # CELLS * PROJECTED
+        out.setdefault(r.cell, []).append((r.low, r.high))
+    return {c: (np.array([x for x, _ in s]), np.array([x for _, x in s])) for c, s in out.items()}
+
+
+def approximate_top_k(rows: DataFrame, queries: DataFrame, k: int, confidence: float = CONFIDENCE, reaches: tuple[float, ...] = REACHES) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest found by largest inner product. A round visits the cells nearest to
+    a query that hold the next share of all rows; its k-th score is carried to the next, whose visits it narrows."""
+    spark = rows.sparkSession
+    longest = rows.mapInArrow(lengths, "length double").agg(F.max("length")).first()[0]
+    if not longest:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    index, slices, held = sliced(projection_index(rows, longest))
+    cells = sorted(slices)
+    sides = boxes(index)
+    sent = spark.sparkContext.broadcast((np.stack([sides[c][0] for c in cells]), np.stack([sides[c][1] for c in cells]), np.array([held[c] for c in cells])))  # CELLS boxes
+    limit = chi_square_quantile(confidence, PROJECTED)
+    found, before = None, 0.0
+
+    def wants_of(least: float, most: float):
+        def wants(part: pa.RecordBatch, vecs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            low, high, size = sent.value
+            kth = part.column("kth").to_numpy(zero_copy_only=False)
+            away = box_distance2(projected_queries(vecs, longest), low, high)
+            order = np.argsort(away, axis=1, kind="stable")
+            reached = np.cumsum(size[order], axis=1) - size[order]  # rows in nearer cells
+            turn = np.empty(order.shape)
+            np.put_along_axis(turn, order, reached / size.sum(), axis=1)
+            return (turn >= least) & (turn < most) & (away <= radius2(vecs, kth, longest, limit)[:, None]), kth[:, None]
+
+        return wants
+
+    def search(v: Visit) -> pa.RecordBatch:
+        kth = v.extra[:, 0]
+        near = projected_neighbours(v.q, kth, v.keys, longest, limit)
+        got = [verified(v.q[i], v.q_uid[i], kth[i], near[i], v.vecs, v.ids, v.uids, k, longest, limit) for i in range(len(v.q))]
+        return v.hits([g[0] for g in got], [g[1] for g in got], pa.float64())
+
+    for reach in reaches:
+        asked = queries.withColumn("kth", F.lit(float("-inf")))
+        if found is not None:
+            kth = found.where(F.col("rank") == k).select(F.col("query_uid").alias("uid"), F.col("score").alias("kth"))
+            asked = queries.join(kth, "uid", "left").select("vec_id", "uid", "vec", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
+        hits = met(visits(asked, slices, wants_of(before, reach)), index, search, "double")
+        found = hits if found is None else hits.unionByName(found.drop("rank"))
+        found = written(ranked(found, k), "vector-found")
+        before = reach
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch (vec_id, uid, vec) the length of its longest vector."""
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([float(np.sqrt((matrix(batch.column(2)) ** 2).sum(axis=1)).max())])], ["length"])
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,15 +180,31 @@ def test_heavy_repeats_with_a_varied_tail(spark, tmp_path):
     assert got == {0: 0, 1: 0}
 
 
-def test_probability_jaccard_of_weighted_shingles():
-    a, b = Counter({"x": 3, "y": 1, "z": 2}), Counter({"x": 1, "y": 4, "q": 1})
-    pack = lambda c: (np.array(sorted(map(hash32, c)), np.uint32).tobytes() + np.array([v for _, v in sorted((hash32(k), v) for k, v in c.items())], np.uint32).tobytes())
-    assert near_duplicates.similarity(pack(a), pack(b)) == pytest.approx(brute.probability_jaccard(a, b))
-    assert near_duplicates.similarity(pack(a), pack(a)) == pytest.approx(1)
+def packed(c):
+    own = sorted((zlib.crc32(k.encode()) << 20, v) for k, v in c.items())
+    return np.array([k for k, _ in own], np.uint64).tobytes() + np.array([v for _, v in own], np.uint32).tobytes()
 
 
-def hash32(s):
-    return zlib.crc32(s.encode())
+def test_probability_jaccard_of_weighted_shingles():
+    a, b = Counter({"x": 3, "y": 1, "z": 2}), Counter({"x": 1, "y": 4, "q": 1})
+    assert near_duplicates.similarity(packed(a), packed(b)) == pytest.approx(brute.probability_jaccard(a, b))
+    assert near_duplicates.similarity(packed(a), packed(a)) == pytest.approx(1)
+
+
+def test_bounds_are_never_below_the_similarity():
+    """What the prefix join and the outlines rule out is never a near-duplicate."""
+    rng = random.Random(4)
+    for _ in range(300):
+        a = Counter({f"k{i}": rng.choice([1, 1, 1, 2, 9]) for i in range(rng.randint(1, 60))})
+        b = Counter({k: v if rng.random() < 0.9 else v + 1 for k, v in a.items() if rng.random() < 0.95})
+        b.update({f"b{i}": 1 for i in range(rng.randint(0, 8))})
+        (n, wa, *x), (m, wb, *y) = near_duplicates.outline(packed(a)), near_duplicates.outline(packed(b))
+        differ = sum((p ^ q).bit_count() if p >= 0 and q >= 0 else ((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x, y, strict=True))
+        lost = [1 - sum(u[k] for k in a.keys() & b.keys()) / u.total() for u in (a, b)]
+        assert (n, m, wa, wb) == (len(a), len(b), a.total(), b.total()) and differ <= len(a.keys() ^ b.keys())
+        for lacks in (lost, [max(0, (n - m + differ) / 2 / wa), max(0, (m - n + differ) / 2 / wb)]):
+            if lacks != [1.0, 1.0]:
+                assert brute.probability_jaccard(a, b) <= (1 - lacks[0]) * (1 - lacks[1]) / (1 - lacks[0] * lacks[1]) + 1e-9
 
 
 def test_registers_estimate_the_similarity():
@@ -342,8 +358,11 @@ def test_fewer_rows_than_k(spark, tmp_path):
 
 
 def test_large_components_stay_exact():
-    a, b = np.array([[2.0**40, 3.0]]), np.array([[2.0**40, 5.0]])
-    assert vectors.products(a, b)[0][0] == float(2**80 + 15)
+    for x in (3, 2**20 + 1, 2**26 + 1, 2**30 + 1):
+        a, b = np.array([[float(x), 3.0], [-1.0, 2.0]]), np.array([[float(x), 5.0]])
+        assert vectors.products(a, b).tolist() == [[x * x + 15], [10 - x]]
+    a, b = np.array([[2.0**40, 3.0]]), np.array([[2.0**40, 5.0], [-(2.0**40), 0.0]])
+    assert vectors.products(a, b).tolist() == [[2**63 - 1, -(2**63) + 1]]  # beyond a long: its end
 
 
 def test_neighbours(spark, tmp_path, vector_rows):
@@ -361,9 +380,9 @@ def test_neighbours(spark, tmp_path, vector_rows):
             assert s == pytest.approx(exact[q, i], rel=1e-12)
 
 
-@pytest.mark.parametrize("shard", [300])
-def test_recall_on_the_corpus(spark, monkeypatch, shard):
-    monkeypatch.setattr(vectors, "SHARD", shard)
+@pytest.mark.parametrize("rows", [300, 2048])
+def test_recall_on_the_corpus(spark, monkeypatch, rows):
+    monkeypatch.setattr(vectors, "CELL_ROWS", rows)
     path = "/root/testdata/sf0.1"
     table = spark.read.parquet(f"{path}/embeddings.parquet")
     v = {r.vec_id: np.array(r.embedding, float) for r in table.collect()}
@@ -388,6 +407,37 @@ def test_kd_order_keeps_every_point():
     assert vectors.chi_square_quantile(0.9, 8) == pytest.approx(13.3616, abs=1e-3)
 
 
+def test_kd_tree_deals_points_alike():
+    points = np.random.default_rng(2).standard_normal((4000, 6))
+    tree = vectors.kd_tree(points, 16)
+    cell = vectors.kd_cell(tree, points)
+    assert len(tree) == 15 and np.bincount(cell, minlength=16).min() >= 200
+    assert (vectors.kd_cell(tree, points[::7]) == cell[::7]).all()
+    assert (vectors.kd_cell([], points) == 0).all()
+
+
+def test_the_chi_square_test_spares_rows():
+    """In one block: the nearest are found, and the search stops before it has verified many."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((40, 64))
+    x = np.repeat(centres, 50, 0) + 0.3 * rng.standard_normal((2000, 64))
+    x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+    points = vectors.lifted(x, 1.0) @ vectors.projection(64)
+    order = vectors.kd_order(points)[0]
+    x, points, ids = x[order], points[order], np.arange(2000)
+    limit = vectors.chi_square_quantile(vectors.CONFIDENCE, vectors.PROJECTED)
+    near = vectors.projected_neighbours(x[::50], np.full(40, -np.inf), points, 1.0, limit)
+    seen = hit = 0
+    for q, own in zip(range(0, 2000, 50), near, strict=True):
+        rows, scores, n = vectors.verified(x[q], q, -np.inf, own, x, ids, ids, 20, 1.0, limit)
+        s = x @ x[q]
+        s[q] = -9
+        hit += len({*rows.tolist()} & {*np.argsort(-s)[:20].tolist()})
+        seen += n
+        assert (np.diff(scores) <= 0).all()
+    assert hit / 800 >= 0.9 and seen / 40 / 2000 < 0.3
+
+
 # ---------------------------------------------------------------- 1 and 10: packing and mixing
 
 
@@ -429,19 +479,39 @@ def test_packed_sequences_hold_the_tokens(docs, fixture_docs):
 
 def test_encoder_agrees_with_the_tokenizer():
     encoder = packing.Encoder(packing.tokenizer_path())
-    for text in ["", " ", "  a\n\n b\t", "it's we'll", "<|endoftext|> x", "naïve café €5 ١٢ 😀 x　y", "a" * 5000, "\x00\x1c\x85 z"]:
+    for text in ["", " ", "  a\n\n b\t", "it's we'll", "<|endoftext|> x", "naïve café €5 ١٢ 😀 x　y", "a" * 5000, "\x00\x1c\x85 z"]:
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokens_of(text)[:-1], text
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "a", " " * 5_000_000, "\n" * 1_000_000 + "x", "a" * 300_000, "\u3000 " * 400_000 + "b"])
+def test_very_long_runs_are_encoded(text):
+    own = np.frombuffer(packing.Encoder(packing.tokenizer_path()).encode(text), "<u4")
+    assert own.tolist() == tokens_of(text)[:-1]
+
+
+def filled(bins, sizes):
+    fill = np.bincount(bins, weights=sizes)
+    assert fill.max() <= 1024 and fill.min() > 0
+    return len(fill)
+
+
 def test_evolution_reaches_what_greedy_misses():
+    """Triples that fill 100 sequences exactly, and uniform sizes: best fit by falling size takes more than evolution."""
     rng = np.random.default_rng(0)
-    sizes = rng.integers(200, 500, 600)
-    greedy = packing.from_scratch(sizes, 1024)
-    better = packing.evolve(sizes, [], 1024, 40, np.random.default_rng(1))
-    assert better.max() <= greedy.max()
-    assert np.bincount(better, weights=sizes).max() <= 1024 and set(better) == set(range(better.max() + 1))
-    child = packing.crossover(greedy, packing.from_scratch(sizes, 1024, rng), sizes, 1024, rng)
-    assert np.bincount(child, weights=sizes).max() <= 1024 and (child >= 0).all()
+    a, b = rng.integers(256, 420, (2, 100))
+    triples, uniform = np.concatenate([a, b, 1024 - a - b]), rng.integers(200, 500, 600)
+    for sizes, least in ((triples, 100), (uniform, -(-uniform.sum() // 1024))):
+        greedy = packing.from_scratch(sizes, 1024)
+        better = packing.evolve(sizes, [], 1024, packing.GENERATIONS, np.random.default_rng(1))
+        assert least <= filled(better, sizes) <= 0.98 * filled(greedy, sizes)
+        child = packing.crossover(greedy, packing.from_scratch(sizes, 1024, rng), sizes, 1024, rng)
+        assert (child >= 0).all() and filled(child, sizes)
+
+
+def test_packing_is_never_above_best_fit_decreasing(spark):
+    rows = packing.op1_best_fit_packing(spark, "/root/testdata/sf0.01").select("sequence_id", "length").collect()
+    sizes = np.array([r.length for r in rows])
+    assert len({r.sequence_id for r in rows}) <= filled(packing.from_scratch(sizes, 1024), sizes)
 
 
 def mixed(df):

@@ -1,5 +1,10 @@
 """The corpus pipeline: toxic documents go, one document of each near-duplicate group stays, secrets are blacked
-out, sources are mixed to their target weights, and the rest is packed into sequences."""
+out, sources are mixed to their target weights, and the rest is packed into sequences.
+
+Defined results: null texts pass every stage (score the leak, class of their own, no secret, size 0, the lone end
+token), the mix takes them once or not at all as it does other rows without words; n_chars follows a blacked-out text;
+of repeated rows one stays, by least doc_id, null last, ties by the table's order; columns beyond those of documents are
+kept up to the mix, whatever their names; empty documents give an empty result; very long texts stay one row."""
 
 from __future__ import annotations
 
@@ -15,8 +20,7 @@ BLACKED_OUT = "[secret]"
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(learnable("doc_id"))
-    scored = toxicity.score(docs, toxicity.fit(docs, labels), docs.columns)
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.without_toxic(docs, toxicity.fit(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +28,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def black_out_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = secrets.find_secrets(docs, redact=BLACKED_OUT)
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    clean = secrets.redacted_documents(docs, BLACKED_OUT)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,14 +7,16 @@ Jaccard similarity. Bands of registers give candidate buckets.
 
 A bucket's members are first compared with its pivot: the most central member, the one whose buckets are largest
 together, so that the source of many edited copies comes first. While rounds still find many links (GAIN), a bucket's
-next PIVOTS pivots are the most central members that have neither a link nor been a pivot. Then all pairs of a bucket
-whose members are in different classes are compared, but for those that a bound rules out (unlinked_pairs()), so every
-pair of SIMILAR or more that shares a bucket ends in one class. Each comparison is exact: probability Jaccard of the
-whole multisets. Rows of a part (neighbouring rows of the table) with equal words are one node, and a part asks for a
-bucket once, however many copies there are.
+next PIVOTS pivots are the most central members that have neither a link nor been a pivot. GAIN parts the work between
+the two steps only: whatever the rounds leave, all members that share a bucket with another class go through
+unlinked_pairs(), an exact join of the whole multisets. So every pair of SIMILAR or more that shares a bucket ends in
+one class. Each comparison is exact: probability Jaccard of the whole multisets. Rows of a part (neighbouring rows of
+the table) with equal words are one node, and a part asks for a bucket once, however many copies there are.
 
 Defined results: null text or text without words is in a class of its own; repeated rows share a class; a class
-is named by its least doc_id (null counts last); extra columns are ignored; an empty table gives an empty result.
+is named by its least doc_id (null counts last; ties stay by the table's order); extra columns are ignored, and kept
+by without_near_duplicates(); an empty table gives an empty result; a very long text is one row, its shingles counted
+in runs of RUN_BYTES.
 """
 
 from __future__ import annotations
@@ -23,11 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import documents, mix, row_key, runs_of, text_buffers, window_hashes, word_hashes, word_spans, written
-from .parts import BUCKET, answers, arrays_of, asked, frame, member
+from .common import ROW, documents, frugal, keyed, mix, runs_of, text_buffers, window_hashes, word_hashes, word_spans, written
+from .parts import BUCKET, answers, arrays_of, asked, frame, member, packed, unpacked
+from .substrings import stretches
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -36,11 +41,16 @@ BANDS = 32
 REGISTERS = ROWS * BANDS
 #: Bytes of text that make a part, whose shingles are hashed at once.
 CHUNK = 1_000_000
-PART_SHIFT = 32
+#: A row's uid is its part and, in ROW_BITS, its place there; a part's number is its partition's and, in PART_BITS, its
+#: place there. Both are stored with the part.
+ROW_BITS = 20
+PART_BITS = 24
 #: Rounds go on while a round finds a link for this share of the members of buckets; the rest is for unlinked_pairs().
 GAIN = 0.02
 #: Pivots of a bucket in each round after the first.
 PIVOTS = 3
+#: Words of 64 bits in the outline of a multiset.
+OUTLINE = 12
 #: Edges that one task contracts at once.
 EDGES = 500_000
 
@@ -48,22 +58,52 @@ _STEP = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, hash, weight) of each distinct shingle by document, and each document's content hash (0: no words)."""
+def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, hash, weight) of each distinct shingle by document."""
     starts, ends, before = word_spans(data, offsets)
     words = word_hashes(data, starts, ends)
     count = np.diff(before)
-    size = np.minimum(count, SHINGLE)
-    many = np.where(count > 0, count - size + 1, 0)
+    many = np.maximum(count - SHINGLE + 1, 0)
     doc = np.repeat(np.arange(len(count)), many)
     at = np.repeat(before[:-1], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    keys = window_hashes(words, at, at + np.repeat(size, many))
+    keys = window_hashes(words, SHINGLE)[at] if len(at) else np.zeros(0, np.uint64)
+    few = np.flatnonzero((count > 0) & (count < SHINGLE))
+    short = [window_hashes(words[before[d] : before[d + 1]], int(count[d]))[0] + np.uint64(count[d]) for d in few.tolist()]
+    return counted(np.r_[doc, few], np.r_[keys, np.array(short, np.uint64)], np.ones(len(doc) + len(few)))
+
+
+def counted(doc: np.ndarray, keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal keys of a document once, with the sum of their weights."""
     order = np.lexsort((keys, doc))
-    doc, keys = doc[order], keys[order]
+    doc, keys, weight = doc[order], keys[order], weight[order]
     new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1])]) if len(doc) else np.zeros(0, np.int64)
-    weight = np.diff(np.r_[new, len(doc)]).astype(float)
-    content = np.where(count > 0, window_hashes(words, before[:-1], before[1:]) | np.uint64(1), np.uint64(0)) if len(words) else np.zeros(len(count), np.uint64)
-    return doc[new], keys[new], weight, content
+    return doc[new], keys[new], np.add.reduceat(weight, new) if len(new) else weight
+
+
+def shingles_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As shingles(); a long text alone is hashed stretch by stretch, each with the last words of the one before."""
+    if len(offsets) > 2 or len(data) <= 2 * CHUNK:
+        return shingles(data, offsets)
+    out, carried = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0))], np.zeros(0, np.uint64)
+    for a, b in stretches(data):
+        starts, ends, _ = word_spans(data[a:b], np.array([0, b - a]))
+        words = np.r_[carried, word_hashes(data[a:b], starts, ends)]
+        keys = window_hashes(words, SHINGLE)
+        out.append(counted(np.zeros(len(keys), np.int64), keys, np.ones(len(keys))))
+        carried = words[max(0, len(words) - SHINGLE + 1) :]
+    if sum(len(o[0]) for o in out):
+        return counted(*(np.concatenate(c) for c in zip(*out, strict=True)))
+    return shingles(data, offsets)  # one of few, very long words
+
+
+def contents(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A digest of 128 bits of each text's words, b"" without words."""
+    raw = data.tobytes()
+    out = np.empty(len(offsets) - 1, object)
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        said = b" ".join(raw[a:b].split())
+        out[i] = xxhash.xxh3_128_digest(said) if said else b""
+    return out
 
 
 def signatures(doc: np.ndarray, keys: np.ndarray, weight: np.ndarray, docs: int, registers: int = REGISTERS) -> np.ndarray:
@@ -98,34 +138,39 @@ def band_keys(kept: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out
 
 
-def signed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """part, payload: the rows of docs in parts, stored. A part holds uid, doc_id, known (whether doc_id isn't null),
-    head (the place of the first row of the same words; -1 without words) and, for each head, its bands."""
-    cols = docs.select(row_key().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("__text"))
+def signed(docs: DataFrame, text: str = "text", row: str | None = None) -> DataFrame:
+    """part, payload, body: the rows of docs in parts, stored. A part's payload holds uid, doc_id, known (whether doc_id
+    isn't null), row (the column of that name), head (the place of the first row of the same words; -1 without words)
+    and, for each head, its bands; its body, the heads' texts."""
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), (F.col(row) if row else F.lit(0)).cast("long").alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId() << PART_SHIFT
+        part = TaskContext.get().partitionId() << PART_BITS
         for batch in batches:
-            data, offsets = text_buffers(batch.column(2))
+            data, offsets = text_buffers(batch.column(1))
             for i, j in runs_of(offsets, CHUNK):
-                doc, keys, weight, content = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                own_data, own_offsets = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                content = contents(own_data, own_offsets)
                 first, back = np.unique(content, return_index=True, return_inverse=True)[1:]
-                head = np.where(content != 0, first[back], -1)
-                own = head == np.arange(j - i)
-                new = np.cumsum(own) - 1
-                mine = own[doc]
-                bands = band_keys(signatures(new[doc[mine]], keys[mine], weight[mine], int(own.sum())))
-                ids = batch.column(1)[i:j]
+                head = np.where(content != b"", first[back], -1)
+                heads = np.flatnonzero(head == np.arange(j - i))
+                new = np.full(j - i, -1)
+                new[heads] = np.arange(len(heads))
+                doc, keys, weight = shingles_of(own_data, own_offsets)
+                mine = new[doc] >= 0
+                bands = band_keys(signatures(new[doc[mine]], keys[mine], weight[mine], len(heads)))
+                ids = batch.column(0)[i:j]
                 blob = frame({
-                    "uid": batch.column(0)[i:j].to_numpy(), "doc_id": ids.fill_null(0).to_numpy(), "known": (~ids.is_null().to_numpy(zero_copy_only=False)).astype(np.uint8),
-                    "head": head, "bands": bands.ravel(),
+                    "uid": (part << ROW_BITS) + np.arange(j - i), "doc_id": ids.fill_null(0).to_numpy(), "known": (~ids.is_null().to_numpy(zero_copy_only=False)).astype(np.uint8),
+                    "row": batch.column(2)[i:j].to_numpy(), "head": head, "bands": bands.ravel(),
                 })
-                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([blob], pa.binary())], ["part", "payload"])
+                texts = pa.RecordBatch.from_arrays([batch.column(1)[i:j].fill_null("").take(pa.array(heads))], ["text"])
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([blob], pa.binary()), pa.array([packed(texts)], pa.binary())], ["part", "payload", "body"])
                 part += 1
 
-    return written(cols.mapInArrow(run, "part bigint, payload binary"), "near-signed")
+    return written(cols.mapInArrow(frugal(run), "part bigint, payload binary, body binary"), "near-signed")
 
 
 def ask_counts(own: dict, _: list) -> dict[str, np.ndarray]:
@@ -144,12 +189,14 @@ def bucket_sizes(asks: list[dict], parts: np.ndarray) -> Iterator[tuple[int, dic
         yield int(k), {"key": key[own], "total": total[own]}
 
 
-def members(parts: DataFrame) -> DataFrame:
-    """part, payload: the heads that share a bucket, stored: uid and central (the sum of the sizes of its buckets) of
-    each, and its buckets as key and row."""
+def members(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(part, payload) and (uid, own) of the heads that share a bucket, stored. A payload holds uid and central (the sum
+    of the sizes of its buckets) of each, and its buckets as key and row; own is a head's packed shingles: its sorted
+    hashes, then their weights."""
     sizes = answers(asked(parts, ask_counts, bucket_count_of(parts), arrays_of), bucket_sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.binary())
         for batch in batches:
             for r in range(batch.num_rows):
                 own = arrays_of(batch.column("payload")[r].as_py())
@@ -163,9 +210,24 @@ def members(parts: DataFrame) -> DataFrame:
                 used, place = np.unique(row, return_inverse=True)
                 heads = own["uid"][own["head"] == np.arange(len(own["head"]))]
                 blob = frame({"uid": heads[used], "central": central[used].astype(np.int64), "key": own["bands"][hit], "row": place})
-                yield pa.RecordBatch.from_arrays([batch.column("part")[r : r + 1], pa.array([blob], pa.binary())], ["part", "payload"])
+                data, offsets = text_buffers(unpacked(batch.column("body")[r].as_buffer()).column(0).take(pa.array(used)))
+                held = []
+                for i, j in runs_of(offsets, CHUNK):
+                    doc, keys, weight = shingles_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    edges = np.searchsorted(doc, np.arange(j - i + 1)).tolist()
+                    held += [keys[a:b].tobytes() + np.minimum(weight[a:b], 2**31).astype(np.uint32).tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column("part")[r : r + 1], pa.array([blob], pa.binary()), pa.array([held], kind)], ["part", "payload", "held"])
+
+    joined = parts.join(sizes, "part").select("part", "payload", "body", "answers")
+    own = written(joined.mapInArrow(frugal(run), "part bigint, payload binary, held array<binary>"), "near-members")
+
+    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload, held in zip(batch.column(0), batch.column(1), strict=True):
+                uid = arrays_of(payload.as_py())["uid"]
+                yield pa.RecordBatch.from_arrays([pa.array(uid), held.values], ["uid", "own"])
 
-    return written(parts.join(sizes, "part").mapInArrow(run, "part bigint, payload binary"), "near-members")
+    return own.select("part", "payload"), own.select("payload", "held").mapInArrow(one_by_one, "uid bigint, own binary")
 
 
 def bucket_count_of(parts: DataFrame) -> int:
@@ -183,7 +245,7 @@ def best_open(key: np.ndarray, central: np.ndarray, uid: np.ndarray, most: int)
 
 def pivot_pairs(parts: DataFrame, closed: DataFrame | None, most: int) -> DataFrame:
     """a, b: each bucket's pivots a and its other members b. A bucket's pivots are its most central members that
-    aren't closed. closed: scan, answers, blobs of uids by the partition of the scan that they come from."""
+    aren't closed. closed: part, answers: the closed uids of each part as a blob."""
 
     def ask(own: dict, said: list[bytes]) -> dict[str, np.ndarray]:
         """The part's best open members of each bucket, or -1 for one that has none."""
@@ -205,7 +267,7 @@ def pivot_pairs(parts: DataFrame, closed: DataFrame | None, most: int) -> DataFr
 
     state = parts
     if closed is not None:
-        state = parts.withColumn("scan", F.shiftright("part", PART_SHIFT)).join(closed, "scan", "left").select("part", "payload", "answers")
+        state = parts.join(closed, "part", "left").select("part", "payload", "answers")
     pivots = answers(asked(state, ask, bucket_count_of(parts), arrays_of), choose)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,33 +288,20 @@ def pivot_pairs(parts: DataFrame, closed: DataFrame | None, most: int) -> DataFr
     return parts.join(pivots, "part").mapInArrow(run, "a bigint, b bigint")
 
 
-def shingle_table(docs: DataFrame, uids: DataFrame, text: str = "text") -> DataFrame:
-    """uid, own: the packed shingles (sorted 32-bit hashes, then their weights) of the given rows, stored."""
-    # a merge join at every size: the list of candidates grows with the input, so it is never sent to all
-    rows = docs.select(row_key().alias("uid"), F.col(text).alias("text")).join(uids.hint("merge"), "uid")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
-            for i, j in runs_of(offsets, CHUNK):
-                doc, keys, weight, _ = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                short = (keys >> np.uint64(32)).astype(np.uint32)  # the upper half keeps the order
-                edges = np.searchsorted(doc, np.arange(j - i + 1))
-                own = [short[a:b].tobytes() + np.minimum(weight[a:b], 2**31).astype(np.uint32).tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column("uid")[i:j], pa.array(own, pa.binary())], ["uid", "own"])
-
-    return written(rows.select("uid", "text").mapInArrow(run, "uid bigint, own binary"), "near-shingles")
+def multiset(own: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes and weights of packed shingles."""
+    n = len(own) // 12
+    return np.frombuffer(own, np.uint64, n), np.frombuffer(own, np.uint32, n, 8 * n).astype(float)
 
 
 def similarity(a: bytes, b: bytes) -> float:
     """Probability Jaccard of two packed multisets: the sum over shared shingles of 1 / sum over all of the larger of
     the two ratios of weights."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    x, u, y, v = x[: len(x) // 2], x[len(x) // 2 :].astype(float), y[: len(y) // 2], y[len(y) // 2 :].astype(float)
+    (x, u), (y, v) = multiset(a), multiset(b)
     keys = np.union1d(x, y)
     wx, wy = np.zeros(len(keys)), np.zeros(len(keys))
-    np.add.at(wx, np.searchsorted(keys, x), u)
-    np.add.at(wy, np.searchsorted(keys, y), v)
+    wx[np.searchsorted(keys, x)] = u
+    wy[np.searchsorted(keys, y)] = v
     both = np.flatnonzero((wx > 0) & (wy > 0))
     if not len(both):
         return 0.0
@@ -269,9 +318,8 @@ def similarity(a: bytes, b: bytes) -> float:
 def similar(a: bytes, b: bytes) -> bool:
     """Whether two packed multisets are SIMILAR or more. First by the bound of unlinked_pairs(): with p and q the
     shares of weight in shingles of both, J_P <= p q / (p + q - p q)."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    x, u, y, v = x[: len(x) // 2], x[len(x) // 2 :], y[: len(y) // 2], y[len(y) // 2 :]
-    p, q = u[member(x, y)].sum(dtype=float) / u.sum(dtype=float), v[member(y, x)].sum(dtype=float) / v.sum(dtype=float)
+    (x, u), (y, v) = multiset(a), multiset(b)
+    p, q = u[member(x, y)].sum() / u.sum(), v[member(y, x)].sum() / v.sum()
     return p * q >= (SIMILAR - 1e-6) * (p + q - p * q) and similarity(a, b) >= SIMILAR - 1e-9
 
 
@@ -288,42 +336,54 @@ def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return written(joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, similar boolean"), "near-verified")
 
 
-def links(docs: DataFrame, parts: DataFrame, text: str = "text") -> DataFrame:
+def links(parts: DataFrame, gain: float = GAIN) -> DataFrame:
     """a, b: links between heads that make the classes: every pair of SIMILAR or more that shares a bucket is linked
-    over some of them."""
-    own = members(parts)
-
-    def uids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(arrays_of(payload.as_py())["uid"])], ["uid"])
-
-    table = shingle_table(docs, own.select("payload").mapInArrow(uids, "uid bigint"), text)
+    over some of them. gain: the share of links under which the pivot rounds end (0: once they find none)."""
+    own, table = members(parts)
     every = spent = closed = None
     most, size = 1, table.count()
     while True:
         fresh = verified(pivot_pairs(own, closed, most), table)
         found = fresh.where("similar").select("a", "b")
         every = found if every is None else every.unionByName(found)
-        if found.count() <= GAIN * size:
+        if found.count() <= gain * size:
             break
         # closed: members with a link, and spent pivots
         mine = fresh.select(F.col("a").alias("uid")).unionByName(found.select(F.col("b").alias("uid")))
         spent = mine if spent is None else spent.unionByName(mine)
-        closed = packed_uids(spent.groupBy(F.shiftright("uid", 33).alias("scan")).agg(F.collect_set("uid").alias("uids")))
+        closed = packed_uids(spent.groupBy(F.shiftright("uid", ROW_BITS).alias("part")).agg(F.collect_set("uid").alias("uids")))  # rows of a part
         most = PIVOTS
     roots = components(every)
     rest = verified(unlinked_pairs(own, table, roots), table).where("similar")
     return roots.select(F.col("uid").alias("a"), F.col("root").alias("b")).unionByName(rest.select("a", "b"))
 
 
+def largest(x: Column, y: Column) -> Column:
+    """The most that J_P can be of two multisets of which the shares x and y aren't shared. With p = 1 - x and
+    q = 1 - y, J_P is the sum over shared d of at most p q / (p + x q), so J_P <= p q / (p + q - p q)."""
+    return (1 - x) * (1 - y) / (1 - x * y)
+
+
+def outline(own: bytes) -> tuple[int, ...]:
+    """(shingles, weight, words) of a packed multiset: each bit of the OUTLINE words tells whether an odd number of its
+    shingles falls on it. Two outlines differ in no more bits than the multisets in shingles."""
+    keys, weight = multiset(own)
+    odd = np.bincount((keys >> np.uint64(7)) % np.uint64(64 * OUTLINE), minlength=64 * OUTLINE) & 1
+    words = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return len(keys), int(weight.sum()), *words.tolist()
+
+
 def unlinked_pairs(parts: DataFrame, table: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b: the pairs of members of a bucket that are in different classes and may be SIMILAR or more.
+    """a, b: the pairs, among the members that share a bucket with another class, that are in different classes and may
+    be SIMILAR or more: a prefix join, without loss.
 
-    alone is the share of a member's weight in shingles that no live member of another class has. With p and q the
-    shares of weight of two members and A, B what they have alone, J_P is the sum over shared d of at most
-    p q / (p + A q), which is concave and homogeneous: J_P <= (1 - A) (1 - B) / (1 - A B). So a member with more than
-    1 - SIMILAR alone has no pair, and pages of one template with texts of their own need no comparison."""
+    A shingle that only one class holds can't be shared; `alone` is a member's share of weight in such. Its other
+    shingles are ordered, the rarest first; `past` is the share that comes before one, `alone` included. If a pair's
+    first shared shingle is d, neither shares what comes before d, so largest(past, past) bounds its similarity. A pair
+    of SIMILAR or more therefore meets at a shingle where that bound holds, within 1 - SIMILAR of either's weight.
+    Pages of one template with texts of their own have spent that share before the template begins. Outlines bound
+    what two members don't share in another way: with n and m shingles that differ in d bits, the first has at least
+    (n - m + d) / 2 that the other lacks, each of weight 1 or more."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,37 +394,48 @@ def unlinked_pairs(parts: DataFrame, table: DataFrame, roots: DataFrame) -> Data
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uid, root, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                x = np.frombuffer(own, np.uint32)
-                x, share = x[: len(x) // 2], x[len(x) // 2 :] / x[len(x) // 2 :].sum(dtype=float)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), uid)), pa.array(np.full(len(x), root)), pa.array(x.view(np.int32)), pa.array(share)], ["uid", "root", "shingle", "share"])
+                x, weight = multiset(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), uid)), pa.array(np.full(len(x), root)), pa.array(x.view(np.int64)), pa.array(weight / weight.sum())], ["uid", "root", "shingle", "share"])
 
-    def in_many(rows: DataFrame, by: str) -> DataFrame:
-        return rows.groupBy(by).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(by)
+    bits = [f"bits{i}" for i in range(OUTLINE)]
+    lines = ["uid", "shingles", "weight", *bits]
+
+    def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = [outline(own) for own in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([s[i] for s in said], pa.int64()) for i in range(len(lines) - 1))], lines)
 
+    classes_of = (F.min("root").alias("low"), F.max("root").alias("high"))
     member_keys = parts.select("payload").mapInArrow(keys, "key bigint, uid bigint")
     labelled = written(member_keys.join(roots.hint("merge"), "uid", "left").select("key", "uid", F.coalesce("root", "uid").alias("root")), "near-labelled")
-    live = written(labelled.join(in_many(labelled, "key").hint("merge"), "key"), "near-live")
-    rooted = live.select("uid", "root").distinct()
-    shares = table.join(rooted.hint("merge"), "uid").select("uid", "root", "own").mapInArrow(held, "uid bigint, root bigint, shingle int, share double")
-    shares = written(shares, "near-shares")
-    common = shares.join(in_many(shares, "shingle").hint("merge"), "shingle").groupBy("uid").agg(F.sum("share").alias("common"))
-    alone = common.select("uid", F.greatest(F.lit(0.0), 1 - F.col("common")).alias("alone")).where(F.col("alone") <= 1 - SIMILAR + 1e-6)
-    able = written(live.join(alone.hint("merge"), "uid"), "near-able")
-    x = able.select("key", F.col("uid").alias("a"), F.col("root").alias("ra"), F.col("alone").alias("la"))
-    y = able.select("key", F.col("uid").alias("b"), F.col("root").alias("rb"), F.col("alone").alias("lb"))
-    most = (1 - F.col("la")) * (1 - F.col("lb")) / (1 - F.col("la") * F.col("lb"))
-    return x.join(y.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (most >= SIMILAR - 1e-6)).select("a", "b").distinct()
-
-
-def packed_uids(by_scan: DataFrame) -> DataFrame:
-    """scan, answers: the uids as one blob. A part's rows and its uids come from one partition of the scan."""
+    mixed = labelled.groupBy("key").agg(*classes_of).where("low != high").select("key")
+    live = labelled.join(mixed.hint("merge"), "key").select("uid", "root").distinct()
+    of_live = written(table.join(live.hint("merge"), "uid").select("uid", "root", "own"), "near-live")
+    shares = written(of_live.mapInArrow(held, "uid bigint, root bigint, shingle bigint, share double"), "near-shares")
+    met = shares.groupBy("shingle").agg(*classes_of, F.count(F.lit(1)).alias("members")).where("low != high").select("shingle", "members")
+    common = shares.join(met.hint("merge"), "shingle")
+    own = Window.partitionBy("uid").orderBy("members", "shingle")  # the shingles of one document
+    alone = 1 - F.sum("share").over(Window.partitionBy("uid"))
+    past = common.withColumn("past", F.greatest(F.lit(0.0), alone + F.sum("share").over(own) - F.col("share"))).where(F.col("past") <= 1 - SIMILAR + 1e-6)
+    drawn = of_live.select("uid", "own").mapInArrow(outlines, ", ".join(f"{c} bigint" for c in lines))
+    past = written(past.join(drawn.hint("merge"), "uid").select("shingle", "root", "past", *lines), "near-prefixes")
+    x, y = (past.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("root", "past", *lines))) for side in "ab")
+    differ = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in bits[1:]), F.bit_count(F.col("bits0_a").bitwiseXOR(F.col("bits0_b"))))
+    lacks = lambda u, v: F.greatest(F.col(f"past_{u}"), (F.col(f"shingles_{u}") - F.col(f"shingles_{v}") + differ) / 2 / F.col(f"weight_{u}"))
+    able = (F.col("uid_a") < F.col("uid_b")) & (F.col("root_a") != F.col("root_b")) & (largest(F.col("past_a"), F.col("past_b")) >= SIMILAR - 1e-6)
+    able &= largest(lacks("a", "b"), lacks("b", "a")) >= SIMILAR - 1e-6
+    return x.hint("merge").join(y, (x["shingle"] == y["shingle"]) & able).select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")).distinct()
+
+
+def packed_uids(by_part: DataFrame) -> DataFrame:
+    """part, answers: the uids as one blob."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = [[np.array(u.as_py(), np.int64).tobytes()] for u in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.list_(pa.binary()))], ["scan", "answers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.list_(pa.binary()))], ["part", "answers"])
 
-    return by_scan.mapInArrow(run, "scan bigint, answers array<binary>")
+    return by_part.mapInArrow(run, "part bigint, answers array<binary>")
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -410,32 +481,35 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def row_heads(parts: DataFrame) -> DataFrame:
-    """uid, doc_id, head (the uid of the part's first row of the same words) of every row."""
+    """uid, row, doc_id, head (the uid of the part's first row of the same words) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload in batch.column("payload"):
                 own = arrays_of(payload.as_py())
                 head = own["uid"][np.where(own["head"] < 0, np.arange(len(own["head"])), own["head"])]
-                yield pa.RecordBatch.from_arrays([pa.array(own["uid"]), pa.array(own["doc_id"], mask=own["known"] == 0), pa.array(head)], ["uid", "doc_id", "head"])
+                yield pa.RecordBatch.from_arrays([pa.array(own["uid"]), pa.array(own["row"]), pa.array(own["doc_id"], mask=own["known"] == 0), pa.array(head)], ["uid", "row", "doc_id", "head"])
 
-    return parts.select("payload").mapInArrow(run, "uid bigint, doc_id bigint, head bigint")
+    return parts.select("payload").mapInArrow(run, "uid bigint, row bigint, doc_id bigint, head bigint")
 
 
-def classes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """uid (row_key()), doc_id, root (the class), class_id (its least doc_id), stays (one row of each class)."""
-    parts = signed(docs, text)
-    roots = components(links(docs, parts, text))
-    named = row_heads(parts).join(roots.withColumnRenamed("uid", "head"), "head", "left").select("uid", "doc_id", F.coalesce("root", "head").alias("root"))
+def classes(docs: DataFrame, text: str = "text", row: str | None = None, gain: float = GAIN) -> DataFrame:
+    """row (of the column of that name), doc_id, root (the class), class_id (its least doc_id), stays (one row of each
+    class)."""
+    parts = signed(docs, text, row)
+    roots = components(links(parts, gain))
+    named = row_heads(parts).join(roots.withColumnRenamed("uid", "head"), "head", "left").select("uid", "row", "doc_id", F.coalesce("root", "head").alias("root"))
     named = written(named, "near-named")
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first"))
-    return named.join(first, "root").select("uid", "doc_id", "root", F.col("first.doc_id").alias("class_id"), (F.col("uid") == F.col("first.uid")).alias("stays"))
+    # stored, so that the join below reads two plain exchanges and a class that holds a third of all rows can be split
+    first = written(named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")), "near-first")
+    return named.join(first, "root").select("row", "doc_id", "root", F.col("first.doc_id").alias("class_id"), (F.col("uid") == F.col("first.uid")).alias("stays"))
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: the one of least doc_id."""
-    stays = classes(docs).where("stays").select("uid")
-    return docs.withColumn("uid", row_key()).join(stays, "uid").select(*docs.columns)
+    rows = keyed(docs, "near-rows")
+    stays = classes(rows, row=ROW).where("stays").select(F.col("row").alias(ROW))
+    return rows.join(stays, ROW).select(*docs.columns)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

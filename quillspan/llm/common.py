@@ -39,11 +39,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table of the shared folder: its lineage is cut and lost executors don't recompute it."""
+#: Tables of the scratch scopes that are open.
+_scratch: list[list[tuple[DataFrame, str]]] = []
+
+
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """df as a Parquet table of the shared folder: its lineage is cut and lost executors don't recompute it. It goes with
+    the scratch scope that is open; a lasting one is handed to the scope around that, or stays if there is none."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if len(_scratch) > lasting:
+        _scratch[-1 - lasting].append((out, path))
+    return out
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written in here are emptied at the end. What is used afterwards must be a lasting table by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for table, path in _scratch.pop():
+            table.sparkSession.createDataFrame([], table.schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 #: The internal row number of a keyed table, and the text in what goes to Python.

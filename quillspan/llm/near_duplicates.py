@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ROW, documents, frugal, keyed, mix, runs_of, text_buffers, window_hashes, word_hashes, word_spans, written
+from .common import ROW, documents, frugal, keyed, mix, runs_of, scratch, text_buffers, window_hashes, word_hashes, word_spans, written
 from .parts import BUCKET, answers, arrays_of, asked, frame, member, packed, unpacked
 from .substrings import stretches
 
@@ -323,7 +323,7 @@ def similar(a: bytes, b: bytes) -> bool:
     return p * q >= (SIMILAR - 1e-6) * (p + q - p * q) and similarity(a, b) >= SIMILAR - 1e-9
 
 
-def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, table: DataFrame, lasting: bool = False) -> DataFrame:
     """pairs (a, b) with similar, whether they are SIMILAR or more, stored."""
     left, right = table.select(F.col("uid").alias("a"), F.col("own").alias("x")), table.select(F.col("uid").alias("b"), F.col("own").alias("y"))
     joined = pairs.hint("merge").join(left, "a").join(right.hint("merge"), "b")
@@ -333,7 +333,7 @@ def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
             said = [similar(x.as_py(), y.as_py()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(said, pa.bool_())], ["a", "b", "similar"])
 
-    return written(joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, similar boolean"), "near-verified")
+    return written(joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, similar boolean"), "near-verified", lasting)
 
 
 def links(parts: DataFrame, gain: float = GAIN) -> DataFrame:
@@ -354,7 +354,8 @@ def links(parts: DataFrame, gain: float = GAIN) -> DataFrame:
         closed = packed_uids(spent.groupBy(F.shiftright("uid", ROW_BITS).alias("part")).agg(F.collect_set("uid").alias("uids")))  # rows of a part
         most = PIVOTS
     roots = components(every)
-    rest = verified(unlinked_pairs(own, table, roots), table).where("similar")
+    with scratch():
+        rest = verified(unlinked_pairs(own, table, roots), table, lasting=True).where("similar")
     return roots.select(F.col("uid").alias("a"), F.col("root").alias("b")).unionByName(rest.select("a", "b"))
 
 
@@ -496,10 +497,11 @@ def row_heads(parts: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, text: str = "text", row: str | None = None, gain: float = GAIN) -> DataFrame:
     """row (of the column of that name), doc_id, root (the class), class_id (its least doc_id), stays (one row of each
     class)."""
-    parts = signed(docs, text, row)
-    roots = components(links(parts, gain))
-    named = row_heads(parts).join(roots.withColumnRenamed("uid", "head"), "head", "left").select("uid", "row", "doc_id", F.coalesce("root", "head").alias("root"))
-    named = written(named, "near-named")
+    with scratch():
+        parts = signed(docs, text, row)
+        roots = components(links(parts, gain))
+        named = row_heads(parts).join(roots.withColumnRenamed("uid", "head"), "head", "left").select("uid", "row", "doc_id", F.coalesce("root", "head").alias("root"))
+        named = written(named, "near-named", lasting=True)
     # stored, so that the join below reads two plain exchanges and a class that holds a third of all rows can be split
     first = written(named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")), "near-first")
     return named.join(first, "root").select("row", "doc_id", "root", F.col("first.doc_id").alias("class_id"), (F.col("uid") == F.col("first.uid")).alias("stays"))

@@ -17,6 +17,7 @@ uid; extra columns are ignored; an empty table gives an empty result; very long
 from __future__ import annotations
 
 import bisect
+import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, with_fields, written
+from .common import documents, scratch, with_fields, written
 
 LENGTH = 1024
 END = 2
@@ -66,15 +67,21 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
         self.special = [t["content"] for t in content["added_tokens"]]
         ranks = {bytes(map(_BYTES.__getitem__, token)): rank for token, rank in content["model"]["vocab"].items() if token not in self.special}
         self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def tokenizer(self):
+        """Few texts need it, and it takes as much memory as the ranks."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         if not any(s in text for s in self.special):
             try:
@@ -294,7 +301,8 @@ def pack(pieces: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFra
     n = short.count()
     alone = pieces.where(F.col("length") >= length).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     dealt = short.select(F.pmod(F.xxhash64("uid"), F.lit(-(-n // shard) or 1)).alias("shard"), "uid", "length")
-    current = written(islands(dealt, length), "pack-first")
+    with scratch():
+        current = written(islands(dealt, length), "pack-first", lasting=True)
     done = []
     many = n > shard  # a single shard has been evolved whole
     for turn in range(1, COMMON + 1) if many else ():
@@ -304,7 +312,8 @@ def pack(pieces: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFra
         shards = -(-left // shard) or 1
         again = opened.select((F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(shards)) + F.lit(turn << 24)).alias("shard"), "uid", "length")
         done.append(current.where(~open_).select("shard", "uid", "length", "bin"))
-        current = written(islands(again, length), f"pack-common{turn}")
+        with scratch():
+            current = written(islands(again, length), f"pack-common{turn}", lasting=True)
         if shards == 1:
             break
     packed = current.select("shard", "uid", "length", "bin")

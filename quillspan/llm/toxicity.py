@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, TEXT, arrow_of, documents, frugal, learnable, mix, runs_of, text_buffers, word_hashes, written
+from .common import CHUNK_BYTES, TEXT, arrow_of, documents, frugal, learnable, mix, runs_of, scratch, text_buffers, word_hashes, written
 
 #: Labelled rows that the classifier is fitted on at most: those with the smallest hashes of their ids.
 SAMPLE_ROWS = 12_000
@@ -207,6 +207,11 @@ def sentence_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> tupl
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     """From a bounded sample of labelled rows."""
+    with scratch():
+        return _fitted(docs, labels, text)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, text: str) -> Model:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.least(F.greatest(F.max("toxic"), F.lit(0)), F.lit(1)).alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id").limit(SAMPLE_ROWS)
     rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")  # SAMPLE_ROWS small rows

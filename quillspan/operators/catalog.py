@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.functions.text import strip
+
 HISTORY_LIMIT = 100
 
 
@@ -27,9 +29,10 @@ def document_by_id(documents: DataFrame, key) -> DataFrame:
 
 
 def insert_or_ignore(stored: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """stored with the new rows whose key it lacks; the first of equal new keys by all columns."""
-    fresh = new.join(stored.select(key), key, "left_anti").dropDuplicates([key])
-    return stored.unionByName(fresh.select(*stored.columns))
+    """stored with the new rows whose key it lacks; of equal new keys the least row, column by column."""
+    fresh = new.select(*stored.columns).join(stored.select(key), key, "left_anti")
+    first = fresh.groupBy(key).agg(F.min(F.struct(*stored.columns)).alias("__row"))
+    return stored.unionByName(first.select("__row.*"))
 
 
 def soft_deleted(documents: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
@@ -49,7 +52,14 @@ def documents_of_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def collection_stats(chunks: DataFrame) -> DataFrame:
-    return chunks.agg(F.count(F.lit(1)).alias("points"), F.approx_count_distinct("document_id").alias("documents"), F.sum("chunk_size").alias("bytes"))
+    return chunks.agg(F.count(F.lit(1)).alias("points"), F.count_distinct("document_id").alias("documents"), F.sum("chunk_size").alias("bytes"))
+
+
+def metadata_of_chunks(chunks: DataFrame, doc_type: Column, now: Column) -> DataFrame:
+    """The documents' rows for chunks that have been stored: written after them, so that what a failure leaves are
+    orphan vectors, which orphan_vectors() finds."""
+    per = chunks.groupBy(F.col("document_id").alias("id"), "filename", doc_type.alias("doc_type")).agg(F.count(F.lit(1)).alias("chunk_count"))
+    return per.select("id", "filename", now.alias("upload_date"), "doc_type", "chunk_count", F.lit(0).alias("is_deleted"))
 
 
 # ---------------------------------------------------------------- consistency
@@ -123,6 +133,46 @@ def conversation_summary(messages: DataFrame, conversation: str, order: str) ->
     return messages.groupBy(conversation).agg(F.count(F.lit(1)).alias("n_messages"), F.count_if(F.col("role") == "user").alias("n_user"), F.max(order).alias("last"), F.max_by("role", order).alias("last_role"))
 
 
+NEW_TITLE = "New conversation"
+
+
+def new_conversations(wanted: DataFrame, now: Column) -> DataFrame:
+    """Rows of conversations (id, user_id, title) that begin now; without a title, NEW_TITLE."""
+    return wanted.select("id", "user_id", F.coalesce("title", F.lit(NEW_TITLE)).alias("title"), now.alias("created_at"), now.alias("updated_at"))
+
+
+def with_messages(conversations: DataFrame, messages: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conversations, messages) after the new messages: their conversations move to the last of them."""
+    return touched(conversations, new), messages.unionByName(new)
+
+
+def chat_messages(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, part (0, 1), role, content, sources: each question and its answer (question, answer, sources) as messages. A
+    blank answer is an error and isn't kept."""
+    user = F.struct(F.lit(0).alias("part"), F.lit("user").alias("role"), F.col("question").alias("content"), F.lit(None).cast("string").alias("sources"))
+    said = F.struct(F.lit(1).alias("part"), F.lit("assistant").alias("role"), F.col("answer").alias("content"), F.col("sources").cast("string").alias("sources"))
+    rows = answers.select(*keys, F.explode(F.array(user, said)).alias("m")).select(*keys, "m.*")
+    return rows.where((F.col("part") == 0) | (F.coalesce(strip(F.col("content")), F.lit("")) != ""))
+
+
+def with_users(users: DataFrame, new: DataFrame) -> DataFrame:
+    """users with the new ones whose name is free."""
+    return insert_or_ignore(users, new, "username")
+
+
+def with_password(users: DataFrame, hit: Column, password_hash: Column) -> DataFrame:
+    return users.withColumn("password_hash", F.when(hit, password_hash).otherwise(F.col("password_hash")))
+
+
+def logged_in(users: DataFrame, hit: Column, now: Column) -> DataFrame:
+    return users.withColumn("last_login", F.when(hit, now).otherwise(F.col("last_login")))
+
+
+def user_count(users: DataFrame, username: str) -> DataFrame:
+    """One row: named (users of that name, active or not), there."""
+    return users.where(F.col("username") == username).agg(F.count(F.lit(1)).alias("named")).withColumn("there", F.col("named") > 0)
+
+
 def active_user(users: DataFrame, username: str) -> DataFrame:
     return users.where((F.col("username") == username) & (F.col("is_active") == 1))
 

@@ -38,35 +38,38 @@ def restorable_tables(names: list[str], migrations: str = "_migrations") -> list
 
 
 def save(tables: dict[str, DataFrame], folder: str) -> None:
-    """Each table as Parquet under folder, and a manifest of its rows' digests."""
+    """Each table as Parquet under folder, and a manifest of the digests of its files."""
     spark = next(iter(tables.values())).sparkSession
-    rows = []
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        n, digest = _digest(spark.read.parquet(f"{folder}/{name}"))
-        rows.append((name, n, digest))
-    head = json.dumps({"format": FORMAT, "members": [{"member": m, "size": n, "sha256": d} for m, n, d in rows]})
-    spark.createDataFrame([(head,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
+    members = [_files(spark, folder, name) for name in tables]
+    lines = spark.createDataFrame([(json.dumps({"format": FORMAT}),)], "value string")
+    for m in members:
+        lines = lines.unionByName(m.select(F.to_json(F.struct("table", "member", "size", "sha256")).alias("value")))
+    lines.coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
 
 
-def _digest(df: DataFrame) -> tuple[int, str]:
-    """Rows, and a digest of them in any order."""
-    row = F.xxhash64(F.to_json(F.struct(*df.columns)))
-    got = df.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)"))).first()
-    return got[0], str(got[1])
+def _files(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """table, member (file), size, sha256 of each file of a saved table."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{folder}/{name}")
+    own = files.withColumn("file", F.regexp_extract("path", r"[^/]*$", 0))
+    return manifest_of(own.select(F.concat(F.lit(f"{name}/"), "file").alias("file"), "content"), "file", "content").withColumn("table", F.lit(name))
 
 
 def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables of a snapshot whose members are all as the manifest promises."""
-    head = json.loads(spark.read.text(f"{folder}/manifest").first()[0])
-    if head["format"] > FORMAT:
-        raise ValueError(f"snapshot format {head['format']} is newer than {FORMAT}")
+    """The tables of a snapshot whose files are all as the manifest promises, and no others."""
+    lines = spark.read.text(f"{folder}/manifest")
+    heads = lines.select(F.from_json("value", "format int").alias("h")).where("h.format is not null").collect()  # one line
+    if not heads or heads[0].h.format > FORMAT:
+        raise ValueError(f"snapshot format {heads[0].h.format if heads else None} isn't {FORMAT}")
+    promised = lines.select(F.from_json("value", "table string, member string, size long, sha256 string").alias("m")).where("m.member is not null").select("m.*")
     out = {}
-    for m in head["members"]:
-        df = spark.read.parquet(f"{folder}/{m['member']}")
-        if _digest(df) != (m["size"], m["sha256"]):
-            raise ValueError(f"member {m['member']} differs from the manifest")
-        out[m["member"]] = df
+    for name in sorted(r.table for r in promised.select("table").distinct().collect()):  # the tables' names
+        mine, found = promised.where(F.col("table") == name).drop("table"), _files(spark, folder, name).drop("table")
+        wrong = mismatches(mine, found).select("member").unionByName(found.join(mine, "member", "left_anti").select("member")).head()
+        if wrong:
+            raise ValueError(f"member {wrong.member} differs from the manifest")
+        out[name] = spark.read.parquet(f"{folder}/{name}")
     return out
 
 

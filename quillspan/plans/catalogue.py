@@ -55,7 +55,7 @@ def vector_topk_no_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    questions = vectors.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    questions = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return retrieval.top_k_batch(vectors, questions).join(vectors.select("vec_id", "label"), "vec_id")
 
 
@@ -70,10 +70,10 @@ def vector_topk_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("label", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-@query("SELECT vec_id, round(n, 6) AS norm, round(v[1] / n, 6) AS first, round(list_sum(list_transform(v, lambda x: x * x / (n * n))), 6) AS squared FROM (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)")
+@query("SELECT vec_id, (generate_subscripts(v, 1) - 1)::INT AS place, round(unnest(v) / n, 6) AS component FROM (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)")
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "embeddings").select("vec_id", vec.norm(vec.doubles(F.col("embedding"))).alias("n"), vec.l2_normalized(F.col("embedding")).alias("v"))
-    return own.select("vec_id", F.round("n", 6).alias("norm"), F.round(F.col("v")[0], 6).alias("first"), F.round(vec.dot(F.col("v"), F.col("v")), 6).alias("squared"))
+    own = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vec.l2_normalized(F.col("embedding"))).alias("place", "component"))
+    return own.withColumn("component", F.round("component", 6))
 
 
 @query(f"SELECT query_id, label, n_hits, vec_id, round(similarity, 6) AS similarity, rank::INT AS rank FROM (SELECT *, count(*) OVER (PARTITION BY query_id, label) AS n_hits FROM {sql.HITS}) QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY similarity DESC, rank) = 1")
@@ -127,17 +127,23 @@ def chunk_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("doc_id", "chunk_index", tx.provenance_id(F.col("sha"), F.col("chunk_index")).alias("provenance_id"), F.octet_length("chunk").cast("long").alias("chunk_size"))
 
 
-@query("SELECT doc_id FROM documents WHERE text IS NULL OR text = '' OR regexp_matches(text, '^(\\n\\n)+$|^\\n$|^ +$')")
+_SPOILT_SQL = "(SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '   ' WHEN 3 THEN repeat(chr(10), 4) WHEN 4 THEN '  ' || chr(10) || ' ' ELSE text END AS text FROM documents)"
+
+
+@query(f"SELECT doc_id FROM {_SPOILT_SQL} WHERE text IS NULL OR text = '' OR regexp_matches(text, '^(\\n\\n)+$|^\\n$|^ +$')")
 def chunk_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitter.chunk_rejects(table(spark, sf_dir, "documents")).select("doc_id")
+    """Documents of which five in seven were spoilt; one kind of those still splits into a chunk."""
+    kind = F.col("doc_id") % 7
+    text = F.when(kind == 0, F.lit(None)).when(kind == 1, "").when(kind == 2, "   ").when(kind == 3, "\n" * 4).when(kind == 4, "  \n ").otherwise(F.col("text"))
+    return splitter.chunk_rejects(table(spark, sf_dir, "documents").withColumn("text", text)).select("doc_id")
 
 
 def acts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents cut up under headings, which the driver's texts lack."""
+    """Whole documents under headings, which the driver's texts lack; the second stands before code point 901."""
     say = lambda s: F.lit(s)
     text = F.concat(
         say("CHAPTER X\nRules of "), F.col("source"), say("\n\nArticle "), F.col("doc_id").cast("string"), say("\nTerms in "), F.col("lang"), say("\n\n"),
-        F.substring("text", 1, 900), say("\n\nSection B\n1. "), F.substring("text", 901, 1500), say("\narticle the last"),
+        F.substring("text", 1, 900), say("\n\nSection B\n1. "), F.expr("substring(text, 901)"), say("\narticle the last"),
     )
     return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
 
@@ -169,13 +175,14 @@ def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight neighbouring documents as a book of page texts; every third page of a book is blank."""
-    page = F.when(F.col("doc_id") % 3 == 0, F.lit(" \n ")).otherwise(F.substring("text", 1, 60 + F.col("doc_id").cast("int") % 150))
-    numbered = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 8).alias("book"), F.struct("doc_id", page.alias("text")).alias("p"))
-    return numbered.groupBy("book").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["text"]).alias("pages"))
+    """Eight neighbouring documents as a book, each a whole page; after every third, blank pages, more in some books."""
+    blank = F.when(F.col("doc_id") % 3 == 0, F.array_repeat(F.lit(" \n "), (1 + F.col("doc_id") % 16).cast("int"))).otherwise(F.array().cast("array<string>"))
+    numbered = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 8).alias("book"), F.struct("doc_id", F.concat(F.array("text"), blank).alias("texts")).alias("p"))
+    return numbered.groupBy("book").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["texts"])).alias("pages"))
 
 
-_BOOKS = "(SELECT doc_id // 8 AS book, doc_id, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id)::INT AS page, CASE WHEN doc_id % 3 = 0 THEN ' ' || chr(10) || ' ' ELSE substr(text, 1, (60 + doc_id % 150)::INT) END AS text FROM documents)"
+_BOOKS = """(SELECT book, row_number() OVER (PARTITION BY book ORDER BY doc_id, k)::INT AS page, CASE WHEN k = 0 THEN text ELSE ' ' || chr(10) || ' ' END AS text
+ FROM (SELECT doc_id // 8 AS book, doc_id, text, unnest(generate_series(0, CASE WHEN doc_id % 3 = 0 THEN 1 + doc_id % 16 ELSE 0 END)) AS k FROM documents))"""
 
 
 @query(f"""SELECT book, round(ratio, 6) AS ratio, size AS bytes, ratio > 0.5 AND size > 500 AS accepted FROM (SELECT book, avg(CASE WHEN page <= 10 THEN (regexp_replace(text, '\\s', '', 'g') <> '')::INT END) AS ratio,
@@ -240,7 +247,7 @@ def auto_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), file_name().alias("filename"), prompt.context_text(F.substring("text", 1, 1000), F.lit(None).cast("string")).alias("context_text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), file_name().alias("filename"), prompt.context_text(F.col("text"), F.lit(None).cast("string")).alias("context_text"))
     return prompt.context_blocks(_batch(spark, sf_dir).join(docs, "vec_id"), ["query_id"])
 
 
@@ -252,13 +259,13 @@ def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TEMPLATE_SQL = "'" + prompt.TEMPLATE.replace("'", "''") + "'"
 
 
-@query(f"""SELECT conv_id, replace(replace(replace(replace({_TEMPLATE_SQL}, '{{structured}}', ''), '{{history}}', history), '{{context}}', context), '{{question}}', question) AS prompt
- FROM {sql.HISTORY} h JOIN {sql.CONTEXT} c ON h.conv_id = c.query_id JOIN (SELECT conv_id, arg_max(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id) USING (conv_id)""")
+@query(f"""SELECT conv_id, replace(replace(replace(replace({_TEMPLATE_SQL}, '{{structured}}', ''), '{{history}}', history), '{{context}}', coalesce(context, '')), '{{question}}', coalesce(question, '')) AS prompt
+ FROM {sql.HISTORY} h LEFT JOIN {sql.CONTEXT} c ON h.conv_id = c.query_id LEFT JOIN (SELECT conv_id, arg_max(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id) USING (conv_id)""")
 def full_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = _messages(spark, sf_dir)
     asked = messages.where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("question"))
-    own = prompt.histories(messages, "conv_id", "turn").join(asked, "conv_id").join(_contexts(spark, sf_dir).withColumnRenamed("query_id", "conv_id"), "conv_id")
-    return own.select("conv_id", prompt.filled(prompt.TEMPLATE, {"history": F.col("history"), "context": F.col("context"), "question": F.col("question")}).alias("prompt"))
+    own = prompt.histories(messages, "conv_id", "turn").join(asked, "conv_id", "left").join(_contexts(spark, sf_dir).withColumnRenamed("query_id", "conv_id"), "conv_id", "left")
+    return own.select("conv_id", prompt.filled(prompt.TEMPLATE, {"history": F.col("history"), "context": F.coalesce("context", F.lit("")), "question": F.coalesce("question", F.lit(""))}).alias("prompt"))
 
 
 _NOISE = "'<|im_start|>user' || chr(10) || text || '<|im_end|> <think>x' || chr(10) || 'y</think> <|im_start|>tail'"
@@ -294,9 +301,9 @@ def source_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- catalogue
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Documents as catalogue rows: every tenth is deleted."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), file_name().alias("filename"), F.concat(F.lit("2024-"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0")).alias("upload_date"), F.col("lang").alias("doc_type"), (F.col("doc_id") % 10 == 3).cast("int").alias("is_deleted"))
+    return table(spark, sf_dir, "documents").select(*more, F.col("doc_id").alias("id"), file_name().alias("filename"), F.concat(F.lit("2024-"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0")).alias("upload_date"), F.col("lang").alias("doc_type"), (F.col("doc_id") % 10 == 3).cast("int").alias("is_deleted"))
 
 
 _CATALOG = "(SELECT doc_id AS id, source || '/' || doc_id || '.txt' AS filename, '2024-' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') AS upload_date, lang AS doc_type, (doc_id % 10 = 3)::INT AS is_deleted FROM documents)"
@@ -331,14 +338,14 @@ def soft_delete_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.chunk_ctes(_DOCS) + " SELECT doc_id::VARCHAR AS document_id, count(*) AS n_chunks, any_value(source || '/' || doc_id || '.txt') AS filename, any_value('2024-' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0')) AS upload_date FROM chunks JOIN documents USING (doc_id) GROUP BY doc_id")
 def doc_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id").withColumn("document_id", F.col("id").cast("string"))
+    docs = _documents(spark, sf_dir, "text").withColumn("document_id", F.col("id").cast("string"))
     return catalog.documents_of_chunks(splitter.recursive_chunks(docs, ["document_id", "filename", "upload_date"]))
 
 
-@query(sql.chunk_ctes(_DOCS) + " SELECT count(*) AS points, sum(strlen(chunk))::BIGINT AS bytes FROM chunks")
+@query(sql.chunk_ctes(_DOCS) + " SELECT count(*) AS points, count(DISTINCT doc_id) AS documents, sum(strlen(chunk))::BIGINT AS bytes FROM chunks")
 def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _recursive(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.octet_length("chunk").cast("long").alias("chunk_size"))
-    return catalog.collection_stats(chunks).drop("documents")
+    return catalog.collection_stats(chunks)
 
 
 def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,6 +408,85 @@ def delete_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.without_user_messages(_messages(spark, sf_dir).withColumn("user_id", F.col("conv_id") % 7), 2).select("conv_id", "turn")
 
 
+# ---------------------------------------------------------------- chat, upload and user writes
+
+_TURNS_SQL = "(SELECT conv_id, turn, role, text, conv_id * 1000 + turn AS id FROM conversations)"
+
+
+@query("SELECT conv_id::VARCHAR AS id, conv_id % 7 AS user_id, CASE WHEN conv_id % 3 = 0 THEN 'New conversation' ELSE 'talk' END AS title, 't0' AS created_at, 't0' AS updated_at FROM conversations GROUP BY conv_id")
+def conversation_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _messages(spark, sf_dir).select(F.col("conv_id").cast("string").alias("id"), (F.col("conv_id") % 7).alias("user_id"), F.when(F.col("conv_id") % 3 != 0, "talk").alias("title")).distinct()
+    stored = catalog.new_conversations(ids.where("user_id < 3"), F.lit("t0"))
+    return stored.unionByName(catalog.new_conversations(ids.where("user_id >= 3"), F.lit("t0")))
+
+
+@query("""SELECT c.conv_id::VARCHAR AS id, CASE WHEN m.n > 0 THEN 'at' || lpad(m.last::VARCHAR, 9, '0') ELSE 'at' END AS updated_at, m.n AS messages
+ FROM (SELECT DISTINCT conv_id FROM conversations) c JOIN (SELECT conv_id, count(*) AS n, max(conv_id * 1000 + turn) AS last FROM conversations GROUP BY conv_id) m USING (conv_id)""")
+def message_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late turns added to the early ones; the conversations move to their last message."""
+    at = F.col("conv_id") * 1000 + F.col("turn")
+    turns = _messages(spark, sf_dir).select(F.col("conv_id").cast("string").alias("conversation_id"), at.alias("id"), F.lit(1).alias("user_id"), "role", F.col("text").alias("content"), F.concat(F.lit("at"), F.lpad(at.cast("string"), 9, "0")).alias("timestamp"), "turn")
+    talks = turns.select(F.col("conversation_id").alias("id"), F.lit(1).alias("user_id"), F.lit("at").alias("updated_at")).distinct()
+    talks, messages = catalog.with_messages(talks, turns.where("turn < 3").drop("turn"), turns.where("turn >= 3").drop("turn"))
+    talks = catalog.touched(talks, messages)
+    n = messages.groupBy(F.col("conversation_id").alias("id")).agg(F.count(F.lit(1)).alias("messages"))
+    return talks.join(n, "id").select("id", "updated_at", "messages")
+
+
+@query("SELECT conv_id, (turn * 2 + k)::BIGINT AS id, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END AS role, CASE k WHEN 0 THEN text ELSE answer END AS content, CASE k WHEN 1 THEN '[]' END AS sources FROM (SELECT conv_id, turn, text, CASE WHEN conv_id % 5 = 0 THEN '  ' ELSE 're ' || text END AS answer, unnest([0, 1]) AS k FROM conversations WHERE role = 'user') WHERE k = 0 OR regexp_replace(answer, '\\s', '', 'g') <> ''")
+def chat_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question and its answer as two messages; a blank answer isn't kept."""
+    asked = _messages(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"), F.when(F.col("conv_id") % 5 == 0, "  ").otherwise(F.concat(F.lit("re "), "text")).alias("answer"), F.lit("[]").alias("sources"))
+    return catalog.chat_messages(asked, ["conv_id", "turn"]).select("conv_id", (F.col("turn") * 2 + F.col("part")).alias("id"), "role", "content", "sources")
+
+
+@query(sql.chunk_ctes(_DOCS) + " SELECT doc_id::VARCHAR AS id, source || '/' || doc_id || '.txt' AS filename, 'today' AS upload_date, lang AS doc_type, count(*) AS chunk_count, 0 AS is_deleted FROM chunks JOIN documents USING (doc_id) GROUP BY ALL")
+def metadata_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' rows, written after their chunks."""
+    docs = table(spark, sf_dir, "documents").withColumn("document_id", F.col("doc_id").cast("string")).withColumn("filename", file_name())
+    chunks = splitter.recursive_chunks(docs, ["document_id", "filename", "lang"])
+    return catalog.metadata_of_chunks(chunks, F.col("lang"), F.lit("today"))
+
+
+_USERS_SQL = "(SELECT DISTINCT user_id AS id, 'user' || user_id AS username, CASE WHEN user_id % 5 = 0 THEN 0 ELSE 1 END AS is_active FROM events)"
+
+
+def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "events").select(F.col("user_id").alias("id")).distinct()
+    return own.select("id", F.concat(F.lit("user"), "id").alias("username"), F.lit("user").alias("role"), F.lit("old").alias("password_hash"), F.lit(None).cast("string").alias("last_login"), F.when(F.col("id") % 5 == 0, 0).otherwise(1).alias("is_active"))
+
+
+@query(f"SELECT id, username, CASE WHEN id % 2 = 0 THEN 'new' ELSE 'old' END AS password_hash, CASE WHEN id % 3 = 0 THEN 'now' END AS last_login FROM {_USERS_SQL}")
+def user_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = catalog.with_users(_users(spark, sf_dir).where("id % 2 = 0"), _users(spark, sf_dir))
+    users = catalog.with_password(users, F.col("id") % 2 == 0, F.lit("new"))
+    return catalog.logged_in(users, F.col("id") % 3 == 0, F.lit("now")).select("id", "username", "password_hash", "last_login")
+
+
+@query(f"SELECT count(*) FILTER (username = 'user3') AS named, count(*) FILTER (username = 'user3') > 0 AS there, count(*) FILTER (username = 'user3' AND is_active = 1) AS active FROM {_USERS_SQL}")
+def user_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = _users(spark, sf_dir)
+    return catalog.user_count(users, "user3").crossJoin(catalog.active_user(users, "user3").agg(F.count(F.lit(1)).alias("active")))  # one row each
+
+
+@query("SELECT conv_id, turn AS id, role FROM conversations WHERE conv_id = 4 AND conv_id % 7 = 4 ORDER BY turn")
+def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _messages(spark, sf_dir).select("conv_id", F.col("conv_id").cast("string").alias("conversation_id"), (F.col("conv_id") % 7).alias("user_id"), F.col("turn").alias("id"), "role")
+    return catalog.messages_of(own, "4", 4).select("conv_id", "id", "role")
+
+
+@query("SELECT conv_id AS stream_id, (row_number() OVER (PARTITION BY conv_id ORDER BY k) - 1)::INT AS seq, event FROM (SELECT conv_id, turn AS k, 'data: ' || to_json({'token': text}) || chr(10) || chr(10) AS event FROM conversations WHERE role = 'assistant' UNION ALL SELECT conv_id, 1000000, 'data: {\"done\":true,\"sources\":[]}' || chr(10) || chr(10) FROM conversations WHERE role = 'assistant' GROUP BY conv_id)")
+def sse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = _messages(spark, sf_dir).where("role = 'assistant'").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.col("text").alias("token"))
+    return streams.sse_events(tokens, tokens.select("stream_id", F.lit("[]").alias("sources")).distinct())
+
+
+@query("SELECT '/a/' || filename AS name FROM (SELECT doc_id || CASE WHEN doc_id % 4 = 0 THEN '.tar.gz' ELSE '.zip' END AS filename FROM documents) WHERE filename LIKE '%.tar.gz'")
+def archive_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "documents").select(F.concat(F.lit("/a/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 4 == 0, ".tar.gz").otherwise(".zip")).alias("name"))
+    return snapshot.archives(names)
+
+
 # ---------------------------------------------------------------- metrics and streams
 
 

@@ -46,7 +46,7 @@ CHAR_CHUNKS = """SELECT doc_id, (s / 900)::INT AS chunk_index, substr(text, s +
 FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(length(text) - 101, 0), 900)) AS s FROM documents WHERE text <> '')"""
 
 ACTS = """SELECT doc_id, 'CHAPTER X' || chr(10) || 'Rules of ' || source || chr(10) || chr(10) || 'Article ' || doc_id || chr(10) || 'Terms in ' || lang || chr(10) || chr(10)
- || substr(text, 1, 900) || chr(10) || chr(10) || 'Section B' || chr(10) || '1. ' || substr(text, 901, 1500) || chr(10) || 'article the last' AS text FROM documents"""
+ || substr(text, 1, 900) || chr(10) || chr(10) || 'Section B' || chr(10) || '1. ' || substr(text, 901) || chr(10) || 'article the last' AS text FROM documents"""
 
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 _HEADING = f"(length({{0}}) <= 60 AND regexp_matches({{0}}, '{HEADING_LINE}'))"
@@ -66,8 +66,8 @@ HISTORY = f"""(SELECT c.conv_id, least(coalesce(p.n, 0), 3)::INT AS n_pairs, coa
 
 COSINE = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 HITS = f"""(SELECT query_id, vec_id, label, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank
- FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label, {COSINE} AS similarity FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id < 20) q) WHERE similarity >= 0.3 QUALIFY rank <= 15)"""
-CONTEXT = f"""(SELECT query_id, count(*) AS n_sources, string_agg('[' || d.source || '/' || d.doc_id || '.txt]' || chr(10) || substr(d.text, 1, 1000), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY h.rank) AS context
+ FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label, {COSINE} AS similarity FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) WHERE similarity >= 0.3 QUALIFY rank <= 15)"""
+CONTEXT = f"""(SELECT query_id, count(*) AS n_sources, string_agg('[' || d.source || '/' || d.doc_id || '.txt]' || chr(10) || d.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY h.rank) AS context
  FROM {HITS} h JOIN documents d ON d.doc_id = h.vec_id GROUP BY query_id)"""
 
 HTML = r"""SELECT page_id, coalesce(string_agg(line, chr(10) ORDER BY i), '') AS text FROM (

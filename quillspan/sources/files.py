@@ -24,10 +24,10 @@ _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def uploads(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """document (path), filename, extension, content, sha256 of the files under path; empty ones are left out."""
+    """document (path), filename, extension, content, sha256 of the files under path."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     name = safe_name(F.col("path"))
-    return raw.where("length > 0").select(F.col("path").alias("document"), name.alias("filename"), file_extension(name).alias("extension"), "content", F.sha2("content", 256).alias("sha256"))
+    return raw.select(F.col("path").alias("document"), name.alias("filename"), file_extension(name).alias("extension"), "content", F.sha2("content", 256).alias("sha256"))
 
 
 def _paragraph(node) -> str:
@@ -85,8 +85,8 @@ EXTRACTORS: dict[str, Callable[[bytes], str]] = {
 
 
 def extracted(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """files without content, with text and error; a format without an extractor, and content that its extractor
-    can't read (invalid UTF-8 among it), become errors. Extractors for further formats (PDF, pictures) can be given."""
+    """files without content, with text and error; an empty file, a format without an extractor, and content that its
+    extractor can't read (invalid UTF-8 among it), become errors. Extractors for further formats (PDF, pictures) can be given."""
     known = EXTRACTORS | (extractors or {})
     keep = [c for c in files.columns if c != "content"]
     schema = files.select(*keep, F.lit("").alias("text"), F.lit("").alias("error")).schema
@@ -94,6 +94,8 @@ def extracted(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] |
         field.nullable = True
 
     def read(extension: str, content: bytes) -> tuple[str | None, str | None]:
+        if not content:
+            return None, "empty file"
         if extension not in known:
             return None, "unsupported format"
         try:

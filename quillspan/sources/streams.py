@@ -29,6 +29,16 @@ def sse_tokens(bodies: DataFrame, stream: str = "stream_id", body: str = "body")
     return _until_done(said.select(stream, "pos", F.col("m.token").alias("token"), F.coalesce("m.done", F.lit(False)).alias("done")), stream)
 
 
+def sse_events(tokens: DataFrame, ends: DataFrame, stream: str = "stream_id") -> DataFrame:
+    """stream, seq, event: each token as a server-sent event, then the end with the answer's sources. tokens: stream, seq,
+    token; ends: stream, sources (JSON)."""
+    data = lambda body: F.concat(F.lit("data: "), body, F.lit("\n\n"))
+    said = tokens.select(stream, F.lit(0).alias("part"), "seq", data(F.to_json(F.struct("token"))).alias("event"))
+    end = ends.select(stream, F.lit(1).alias("part"), F.lit(0).alias("seq"), data(F.concat(F.lit('{"done":true,"sources":'), "sources", F.lit("}"))).alias("event"))
+    place = F.row_number().over(Window.partitionBy(stream).orderBy("part", "seq")) - 1
+    return said.unionByName(end).select(stream, place.alias("seq"), "event")
+
+
 def _until_done(said: DataFrame, stream: str) -> DataFrame:
     w = Window.partitionBy(stream).orderBy("pos")
     over = F.coalesce(F.max(F.col("done").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

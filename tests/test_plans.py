@@ -7,7 +7,7 @@ from quillspan.extensions import ExtractiveGenerator, HashingEmbedder, HeadingEn
 from quillspan.operators import catalog, retrieval, snapshot
 from quillspan.plans.ingest import CHUNK_SCHEMA, ingest
 from quillspan.plans.question import ask
-from quillspan.streaming.ingest import ingest_stream
+from quillspan.streaming.ingest import ingest_stream, ingested
 from quillspan.streaming.tokens import folded_stream
 
 SF = "/root/testdata/sf0.001"
@@ -87,6 +87,44 @@ def test_snapshot_round_trip_and_tampering(spark, tmp_path):
         snapshot.load(spark, str(tmp_path))
 
 
+def test_snapshot_files_are_checked_one_by_one(spark, tmp_path):
+    """Rows dealt to other files are the same table, but not the snapshot; nor is a file too many."""
+    rows = spark.range(10).withColumn("name", F.col("id").cast("string"))
+    snapshot.save({"a": rows.repartition(2), "b": rows}, str(tmp_path))
+    assert {n: t.count() for n, t in snapshot.load(spark, str(tmp_path)).items()} == {"a": 10, "b": 10}
+    rows.limit(0).write.mode("append").parquet(str(tmp_path / "b"))
+    with pytest.raises(ValueError, match="differs"):
+        snapshot.load(spark, str(tmp_path))
+
+
+def test_questions_with_awkward_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [1.0, 0.0, 0.0]), (7, [0.0, 2.0]), (8, []), (9, [3.0, 3.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = retrieval.top_k_batch(vectors, vectors.withColumnRenamed("vec_id", "query_id"), 2, None).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.similarity, 6)) for r in got) == [
+        (1, 1, 1, 1.0), (1, 2, 9, 0.707107), (6, 1, 6, 1.0), (7, 1, 7, 1.0), (7, 2, 9, 0.707107), (9, 1, 9, 1.0), (9, 2, 1, 0.707107)]
+
+
+def test_extension_points_are_called(spark):
+    class Facts:
+        def facts(self, questions):
+            return questions.select("query_id", F.lit("FACTS").alias("structured"))
+
+    class Route:
+        def route(self, questions):
+            return questions.withColumn("route", F.lit("both"))
+
+    class Proof:
+        def verify(self, answers):
+            return answers.withColumn("verified", F.col("route") == "both")
+
+    asked = spark.createDataFrame([(1, "anything at all")], "query_id long, question string")
+    got = ask(asked, ingest(uploads(spark)), knowledge=Facts(), planner=Route(), evidence=Proof()).first()
+    assert "FACTS" in got.prompt and got.verified
+    plain = ask(asked, ingest(uploads(spark))).first()
+    assert plain.route == "semantic" and not plain.verified and "{structured}" not in plain.prompt
+
+
 def test_ingest_stream_appends_once(spark, tmp_path):
     source = tmp_path / "in"
     uploads(spark, 4).coalesce(1).write.parquet(str(source))
@@ -95,8 +133,11 @@ def test_ingest_stream_appends_once(spark, tmp_path):
     ingest_stream(read(), plan, str(tmp_path / "out"), str(tmp_path / "c1")).awaitTermination()
     n = spark.read.parquet(str(tmp_path / "out")).count()
     assert n == ingest(uploads(spark, 4)).dropDuplicates(["provenance_id"]).count()
-    ingest_stream(read(), plan, str(tmp_path / "out"), str(tmp_path / "c2")).awaitTermination()
+    ingest_stream(read(), plan, str(tmp_path / "out"), str(tmp_path / "c2")).awaitTermination()  # the batch again
     assert spark.read.parquet(str(tmp_path / "out")).count() == n
+    ingest_stream(read(), plan, str(tmp_path / "out"), str(tmp_path / "c3"), name="other").awaitTermination()
+    both = spark.read.parquet(str(tmp_path / "out"))
+    assert both.count() == 2 * n and ingested(both).count() == n
 
 
 def test_token_stream_folds_like_the_batch(spark, tmp_path):

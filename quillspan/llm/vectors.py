@@ -29,8 +29,8 @@ PIVOTS = 64
 SEED_ROWS = 2048
 BLOCK = 2048
 QUERY_BLOCK = 256
-#: Blocks of a cell in one slice, about.
-SLICE = 4
+#: Rows of a cell in one slice, about.
+SLICE = 4 * BLOCK
 
 PROJECTED = 24
 #: Cells of the kd-tree at most, and projected rows that it is built from.
@@ -129,7 +129,7 @@ def blocks_of(celled: DataFrame, order: list[str], keys: Callable[[np.ndarray, p
 
 def sliced(index: DataFrame) -> tuple[DataFrame, dict[int, int], dict[int, int]]:
     """(the index with slice, slices of each cell, rows of each cell)."""
-    per = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices"), F.sum("rows").alias("n"))
+    per = index.groupBy("cell").agg(F.ceil(F.sum("rows") / SLICE).alias("slices"), F.sum("rows").alias("n"))
     cells = per.collect()  # PIVOTS or CELLS rows at most
     slice_of = F.pmod(F.xxhash64("block"), F.col("slices"))
     return index.join(F.broadcast(per.select("cell", "slices")), "cell").withColumn("slice", slice_of).drop("slices"), {c.cell: c.slices for c in cells}, {c.cell: c.n for c in cells}
@@ -169,25 +169,50 @@ class Visit:
         self.keys = raw("keys", np.float64).reshape(len(self.ids), -1)
         self.extra = raw("q_extra", np.float64).reshape(len(self.q_id), -1)
 
-    def hits(self, best: list[np.ndarray], scores: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
-        """best: places in the block for each query, scores: theirs."""
-        n = [len(b) for b in best]
-        at = np.concatenate([np.zeros(0, np.int64), *best]).astype(np.int64)
-        said = np.concatenate([np.zeros(0), *scores]) if not pa.types.is_integer(kind) else np.concatenate([np.zeros(0, np.int64), *scores])
-        cols = [np.repeat(self.q_id, n), np.repeat(self.q_uid, n), self.ids[at], self.uids[at]]
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(said, kind)], ["query_id", "query_uid", "vec_id", "uid", "score"])
 
+class Best:
+    """The k best so far of each query of a block, over the blocks that it has met, and the scores to reach."""
 
-def met(visiting: DataFrame, index: DataFrame, search: Callable[[Visit], pa.RecordBatch], kind: str) -> DataFrame:
-    """query_id, query_uid, vec_id, uid, score: what search finds where query blocks and blocks meet."""
+    def __init__(self, v: Visit, k: int, kind: type):
+        n = len(v.q_id)
+        self.k, self.kind, self.q_id, self.q_uid = k, kind, v.q_id.copy(), v.q_uid.copy()
+        self.floor = v.extra[:, 0].copy()
+        self.ids, self.uids, self.scores = [np.zeros(0, np.int64)] * n, [np.zeros(0, np.int64)] * n, [np.zeros(0, kind)] * n
+
+    def add(self, i: int, ids: np.ndarray, uids: np.ndarray, scores: np.ndarray) -> None:
+        if not len(ids):
+            return
+        ids, uids, scores = np.r_[self.ids[i], ids], np.r_[self.uids[i], uids], np.r_[self.scores[i], scores]
+        order = np.lexsort((uids, ids, -scores))[: self.k]
+        self.ids[i], self.uids[i], self.scores[i] = ids[order], uids[order], scores[order]
+        if len(order) == self.k:
+            self.floor[i] = max(self.floor[i], float(self.scores[i][-1]))
+
+    def rows(self) -> pa.RecordBatch:
+        n = [len(x) for x in self.ids]
+        cols = [np.repeat(self.q_id, n), np.repeat(self.q_uid, n), *(np.concatenate([np.zeros(0, np.int64), *c]) for c in (self.ids, self.uids))]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(np.concatenate([np.zeros(0, self.kind), *self.scores]))], ["query_id", "query_uid", "vec_id", "uid", "score"])
+
+
+def met(visiting: DataFrame, index: DataFrame, search: Callable[[Visit, Best], None], k: int, kind: type) -> DataFrame:
+    """query_id, query_uid, vec_id, uid, score: what search finds where query blocks and blocks meet. The blocks of a
+    slice come one after another to a query block, which carries its best from each to the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
             for r in range(batch.num_rows):
-                yield search(Visit(batch, r))
+                v = Visit(batch, r)
+                if held is None or not np.array_equal(held.q_uid, v.q_uid):
+                    if held is not None:
+                        yield held.rows()
+                    held = Best(v, k, kind)
+                search(v, held)
+        if held is not None:
+            yield held.rows()
 
     pairs = visiting.hint("merge").join(index.select("cell", "slice", "ids", "uids", "vecs", "keys"), ["cell", "slice"])
-    return pairs.mapInArrow(run, f"query_id bigint, query_uid bigint, vec_id bigint, uid bigint, score {kind}")
+    return pairs.mapInArrow(run, f"query_id bigint, query_uid bigint, vec_id bigint, uid bigint, score {'bigint' if kind is np.int64 else 'double'}")
 
 
 # ---------------------------------------------------------------- exact: pivots and annuli
@@ -253,25 +278,24 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         far = np.stack([np.sqrt(((vecs - p) ** 2).sum(axis=1)) for p in pivots], 1)
         return np.ones(far.shape, bool), np.hstack([least[:, None], far])
 
-    def search(v: Visit) -> pa.RecordBatch:
+    def search(v: Visit, held: Best) -> None:
         # the triangle inequality: of the annulus only rows whose distance from the pivot is near the query's are in reach
-        dists, floor, q_dist = v.keys[:, 0], v.extra[:, 0], v.extra[:, 1 + place[v.cell]]
+        dists, floor, q_dist = v.keys[:, 0], held.floor.copy(), v.extra[:, 1 + place[v.cell]]
         reach = within_reach((v.q**2).sum(axis=1), float((v.vecs**2).sum(axis=1).max()), np.maximum(floor, -1e300))
         reach[np.isneginf(floor)] = np.inf
         a, b = np.searchsorted(dists, q_dist - reach, "left"), np.searchsorted(dists, q_dist + reach, "right")
         use = np.flatnonzero(b > a)
-        best, said = [np.zeros(0, np.int64)] * len(v.q), [np.zeros(0, np.int64)] * len(v.q)
-        if len(use):
-            lo, hi = int(a[use].min()), int(b[use].max())
-            scores = products(v.q[use], v.vecs[lo:hi])
-            for i, s in zip(use, scores, strict=True):
-                open_ = np.arange(a[i], b[i])[v.uids[a[i] : b[i]] != v.q_uid[i]]
-                open_ = open_[s[open_ - lo] >= floor[i] * (1 - 1e-9 * np.sign(floor[i])) - 1] if np.isfinite(floor[i]) else open_
-                best[i] = open_[top(s[open_ - lo], v.ids[open_], k)]
-                said[i] = s[best[i] - lo]
-        return v.hits(best, said, pa.int64())
-
-    found = met(visits(queries, slices, wants), index, search, "bigint")
+        if not len(use):
+            return
+        lo, hi = int(a[use].min()), int(b[use].max())
+        for i, s in zip(use.tolist(), products(v.q[use], v.vecs[lo:hi]), strict=True):
+            open_ = np.arange(a[i], b[i])[v.uids[a[i] : b[i]] != v.q_uid[i]]
+            if np.isfinite(floor[i]):
+                open_ = open_[s[open_ - lo] >= floor[i] * (1 - 1e-9 * np.sign(floor[i])) - 1]
+            best = open_[top(s[open_ - lo], v.ids[open_], k)]
+            held.add(i, v.ids[best], v.uids[best], s[best - lo])
+
+    found = met(visits(queries, slices, wants), index, search, k, np.int64)
     return ranked(found, k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -476,18 +500,18 @@ def approximate_top_k(rows: DataFrame, queries: DataFrame, k: int, confidence: f
 
         return wants
 
-    def search(v: Visit) -> pa.RecordBatch:
-        kth = v.extra[:, 0]
-        near = projected_neighbours(v.q, kth, v.keys, longest, limit)
-        got = [verified(v.q[i], v.q_uid[i], kth[i], near[i], v.vecs, v.ids, v.uids, k, longest, limit) for i in range(len(v.q))]
-        return v.hits([g[0] for g in got], [g[1] for g in got], pa.float64())
+    def search(v: Visit, held: Best) -> None:
+        near = projected_neighbours(v.q, held.floor, v.keys, longest, limit)
+        for i in range(len(v.q)):
+            best, scores, _ = verified(v.q[i], v.q_uid[i], held.floor[i], near[i], v.vecs, v.ids, v.uids, k, longest, limit)
+            held.add(i, v.ids[best], v.uids[best], scores)
 
     for reach in reaches:
         asked = queries.withColumn("kth", F.lit(float("-inf")))
         if found is not None:
             kth = found.where(F.col("rank") == k).select(F.col("query_uid").alias("uid"), F.col("score").alias("kth"))
             asked = queries.join(kth, "uid", "left").select("vec_id", "uid", "vec", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
-        hits = met(visits(asked, slices, wants_of(before, reach)), index, search, "double")
+        hits = met(visits(asked, slices, wants_of(before, reach)), index, search, k, np.float64)
         found = hits if found is None else hits.unionByName(found.drop("rank"))
         found = written(ranked(found, k), "vector-found")
         before = reach

@@ -24,7 +24,8 @@ _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def uploads(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """document (path), filename, extension, content, sha256 of the files under path."""
+    """document (path), filename, extension, content, sha256 of the files under path. Spark's scan passes over empty
+    files; extracted() makes an error of one that comes in another way."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     name = safe_name(F.col("path"))
     return raw.select(F.col("path").alias("document"), name.alias("filename"), file_extension(name).alias("extension"), "content", F.sha2("content", 256).alias("sha256"))

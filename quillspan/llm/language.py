@@ -50,11 +50,13 @@ def parameters() -> zstandard.ZstdCompressionParameters:
 
 def fit(docs: DataFrame, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A dictionary for each non-null lang of the given rows: of the texts with the smallest hashes of their ids, the
-    stretches with the smallest hashes, as many as it holds."""
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(4)), F.col("doc_id"), F.xxhash64("text")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    picked = docs.select("lang", "doc_id", "text").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = picked.withColumn("r", rank).where(F.col("r") <= SAMPLE_TEXTS)
+    stretches with the smallest hashes, as many as it holds. Texts are ranked by their keys; only the picked ones move."""
+    able = docs.select("lang", "doc_id", "text").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    able = able.withColumn("h", F.xxhash64("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(4)), "doc_id", "h"))
+    picked = able.select("lang", "doc_id", "h").withColumn("r", rank).where(F.col("r") <= SAMPLE_TEXTS).alias("p")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("lang", "doc_id", "h")]
+    rows = able.alias("a").join(F.broadcast(picked), same, "left_semi")  # SAMPLE_TEXTS keys a language
     starts = F.sequence(F.lit(1), F.length("text"), F.lit(STRETCH))
     cut = rows.select("lang", F.explode(F.transform(starts, lambda i: F.substring("text", i, F.lit(STRETCH)))).alias("stretch")).distinct()
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("stretch", F.lit(4)), "stretch")

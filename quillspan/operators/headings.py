@@ -28,17 +28,23 @@ def is_title(line: Column) -> Column:
 
 
 def headings(text: Column) -> Column:
-    """array<struct<byte_offset,label>> by rising offset. Only heading lines, which are few, sum the lines before them."""
+    """array<struct<byte_offset,label>> by rising offset, in one pass: each heading adds the lines since the last one."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
     numbered = F.transform(lines, lambda line, i: F.struct(i.alias("i"), strip(line).alias("line")))
     found = F.filter(numbered, lambda x: is_heading(x["line"]))
 
-    def mark(x: Column) -> Column:
-        offset = F.aggregate(F.slice(lines, 1, x["i"]), F.lit(0).cast("long"), lambda s, line: s + F.octet_length(line) + 1)
+    def label(x: Column) -> Column:
         below = F.coalesce(strip(F.get(lines, x["i"] + 1)), F.lit(""))
-        return F.struct(offset.alias("byte_offset"), F.when(is_title(below), F.concat(x["line"], F.lit(DASH), below)).otherwise(x["line"]).alias("label"))
+        return F.when(is_title(below), F.concat(x["line"], F.lit(DASH), below)).otherwise(x["line"])
 
-    return F.transform(found, mark)
+    def add(marks: Column, x: Column) -> Column:
+        last = F.try_element_at(marks, F.lit(-1))
+        since = F.slice(lines, F.coalesce(last["i"], F.lit(0)) + 1, x["i"] - F.coalesce(last["i"], F.lit(0)))
+        offset = F.aggregate(since, F.coalesce(last["byte_offset"], F.lit(0).cast("long")), lambda s, line: s + F.octet_length(line) + 1)
+        return F.array_append(marks, F.struct(x["i"].alias("i"), offset.alias("byte_offset"), label(x).alias("label")))
+
+    none = F.array().cast("array<struct<i:int,byte_offset:bigint,label:string>>")
+    return F.transform(F.aggregate(found, none, add), lambda m: F.struct(m["byte_offset"].alias("byte_offset"), m["label"].alias("label")))
 
 
 def heading_at(marks: Column, start: Column) -> Column:
@@ -53,7 +59,7 @@ def with_heading(chunk: Column, label: Column) -> Column:
     return F.when(label.isNull() | carries, chunk).otherwise(F.concat(F.lit("["), label, F.lit("]\n\n"), chunk))
 
 
-def enriched(chunks: DataFrame, marks: str = "headings") -> DataFrame:
-    """chunks (chunk, start_byte and the document's marks) with label and retrieval_text, null where it is the chunk."""
-    out = chunks.withColumn("label", heading_at(F.col(marks), F.col("start_byte")))
-    return out.withColumn("retrieval_text", F.nullif(with_heading(F.col("chunk"), F.col("label")), F.col("chunk")))
+def enriched(chunks: DataFrame, label: str = "label") -> DataFrame:
+    """chunks (chunk and the label of the heading in force, as the splitter gives it from marks) with retrieval_text,
+    null where it is the chunk."""
+    return chunks.withColumn("retrieval_text", F.nullif(with_heading(F.col("chunk"), F.col(label)), F.col("chunk")))

@@ -80,8 +80,10 @@ def split_text(text: str, start: int = 0, separators: tuple[str, ...] = SEPARATO
 CHUNK_FIELDS = "chunk_index int, chunk string, start_byte bigint, end_byte bigint"
 
 
-def _chunks(docs: DataFrame, keep: list[str], text: str, split) -> DataFrame:
-    schema = T.StructType([*docs.select(*keep).schema.fields, *T.StructType.fromDDL(CHUNK_FIELDS).fields])
+def _chunks(docs: DataFrame, keep: list[str], text: str, split, marks: str | None = None) -> DataFrame:
+    more = CHUNK_FIELDS + (", label string" if marks else "")
+    schema = T.StructType([*docs.select(*keep).schema.fields, *T.StructType.fromDDL(more).fields])
+    extra = [F.col(marks).alias("__marks")] if marks else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,14 +97,30 @@ def _chunks(docs: DataFrame, keep: list[str], text: str, split) -> DataFrame:
                     low.append(a)
                     high.append(b)
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(keep))), pa.array(index, pa.int32()), pa.array(texts, pa.string()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], schema.names)
-
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
-
-
-def recursive_chunks(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns with chunk_index, chunk, start_byte, end_byte; no rows for empty text."""
-    return _chunks(docs, keep, text, split_text)
+            out = [*(batch.column(i).take(at) for i in range(len(keep))), pa.array(index, pa.int32()), pa.array(texts, pa.string()), pa.array(low, pa.int64()), pa.array(high, pa.int64())]
+            if marks:
+                out.append(labels_at(batch.column(len(keep) + 1), np.array(rows, np.int64), np.array(low, np.int64)))
+            yield pa.RecordBatch.from_arrays(out, schema.names)
+
+    return docs.select(*keep, F.col(text).alias("__text"), *extra).mapInArrow(run, schema)
+
+
+def labels_at(marks: pa.ListArray, rows: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Label of the last mark at or before each start in its row, or null. marks rise within a row."""
+    edges = marks.offsets.to_numpy()
+    bytes_at = marks.values.field("byte_offset").to_numpy(zero_copy_only=False)
+    found = np.full(len(rows), -1, np.int64)
+    for r in np.unique(rows):
+        own = slice(*np.searchsorted(rows, [r, r + 1]))
+        place = np.searchsorted(bytes_at[edges[r] : edges[r + 1]], starts[own], "right") - 1
+        found[own] = np.where(place < 0, -1, edges[r] + place)
+    return marks.values.field("label").take(pa.array(found, mask=found < 0))
+
+
+def recursive_chunks(docs: DataFrame, keep: list[str], text: str = "text", marks: str | None = None) -> DataFrame:
+    """The kept columns with chunk_index, chunk, start_byte, end_byte; no rows for empty text. With marks, a column of
+    array<struct<byte_offset,label>> by rising offset, also label, that of the last mark at or before the chunk's start."""
+    return _chunks(docs, keep, text, split_text, marks)
 
 
 def character_chunks(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:

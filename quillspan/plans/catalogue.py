@@ -158,7 +158,7 @@ def heading_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM chunks c ASOF LEFT JOIN headings h ON c.doc_id = h.doc_id AND c.start_byte >= h.byte_offset""")
 def heading_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = acts(spark, sf_dir).withColumn("headings", headings.headings(F.col("text")))
-    return headings.enriched(splitter.recursive_chunks(own, ["doc_id", "headings"])).select("doc_id", "chunk_index", "label", "retrieval_text")
+    return headings.enriched(splitter.recursive_chunks(own, ["doc_id"], marks="headings")).select("doc_id", "chunk_index", "label", "retrieval_text")
 
 
 @query(f"""SELECT c.doc_id, c.chunk_index, min(p.k + 1)::INT AS first, max(p.k + 1)::INT AS last FROM ({sql.CHAR_CHUNKS}) c

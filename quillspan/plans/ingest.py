@@ -27,7 +27,7 @@ def ingest(documents: DataFrame, embedder: Embedder | None = None, enricher: Chu
     embedder, enricher = embedder or HashingEmbedder(), enricher or HeadingEnricher()
     spans = F.col("spans") if "spans" in documents.columns else F.lit(None).cast("array<struct<page:int,start_byte:bigint,end_byte:bigint>>")
     own = documents.select(F.col("document_id").cast("string").alias("document_id"), "filename", "upload_date", "extension", "sha256", "text", headings(F.col("text")).alias("headings"), spans.alias("spans"))
-    chunks = enricher.enrich(recursive_chunks(own, [c for c in own.columns if c != "text"]))
+    chunks = enricher.enrich(recursive_chunks(own, [c for c in own.columns if c not in ("text", "headings")], marks="headings"))
     pages = pages_for_range(F.col("spans"), F.col("start_byte"), F.col("end_byte"))
     return chunks.select(
         "document_id", "chunk_index", "filename", "upload_date", F.col("chunk").alias("text"), F.octet_length("chunk").alias("chunk_size"), F.col("extension").alias("document_type"),

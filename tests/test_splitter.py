@@ -79,3 +79,19 @@ def test_windows_of_one_code_point_past_the_end():
 def test_null_and_empty_texts_have_no_chunks(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "x")], "doc_id long, text string")
     assert [tuple(r) for r in recursive_chunks(docs, ["doc_id"]).collect()] == [(3, 0, "x", 0, 1)]
+
+
+def test_labels_of_many_headings(spark):
+    """The label that comes with a chunk is that of the expression over all marks."""
+    from pyspark.sql import functions as F
+
+    from quillspan.operators import headings, splitter
+
+    texts = ["".join(f"Article {i}\nà{'x ' * (i % 900)}\n" for i in range(1, 700)), "none at all", "", None, "x\n\nSection A\n" + "y " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("marks", headings.headings(F.col("text")))
+    got = splitter.recursive_chunks(docs, ["id", "marks"], marks="marks")
+    assert got.where(~F.col("label").eqNullSafe(headings.heading_at(F.col("marks"), F.col("start_byte")))).count() == 0
+    assert got.where("id = 0").agg(F.countDistinct("label")).first()[0] > 300
+    raw = texts[0].encode()
+    marks = docs.where("id = 0").select(F.inline("marks")).collect()
+    assert len(marks) == 699 and all(raw[m.byte_offset :].startswith(m.label.split(" — ")[0].encode() + b"\n") for m in marks)

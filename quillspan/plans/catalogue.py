@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.functions import requests
 from quillspan.functions import text as tx
 from quillspan.functions import vectors as vec
 from quillspan.operators import catalog, components, headings, metrics, pages, prompt, quality, retrieval, snapshot, splitter
 from quillspan.plans import oracles as sql
-from quillspan.plans import question
-from quillspan.sources import streams
+from quillspan.plans import question, report
+from quillspan.sources import manifests, streams
 from quillspan.sources.html import extracted_html
 from quillspan.sources.tables import table
 
@@ -487,6 +488,13 @@ def archive_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.archives(names)
 
 
+@query("""SELECT conv_id, turn, to_json({'model': 'chat', 'prompt': text, 'stream': true, 'keep_alive': -1, 'raw': true, 'options': {'temperature': 0.0::DOUBLE, 'num_ctx': 8192, 'num_predict': 1024, 'repeat_penalty': 1.5::DOUBLE, 'repeat_last_n': 256}})::VARCHAR AS generate,
+ CASE WHEN turn % 2 = 0 THEN to_json({'model': 'embed', 'input': text, 'keep_alive': '10m'}) ELSE to_json({'model': 'embed', 'input': [text, role], 'keep_alive': '10m'}) END::VARCHAR AS embed FROM conversations""")
+def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = F.when(F.col("turn") % 2 == 0, F.array("text")).otherwise(F.array("text", "role"))
+    return _messages(spark, sf_dir).select("conv_id", "turn", requests.generate_request(F.col("text"), "chat", True, -1, 8192, 1024, 1.5, 256).alias("generate"), requests.embed_request(texts, "embed", "10m").alias("embed"))
+
+
 # ---------------------------------------------------------------- metrics and streams
 
 
@@ -512,6 +520,17 @@ def stage_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.stage_means(table(spark, sf_dir, "events"), "event_type", "value").withColumn("mean_ms", F.round("mean_ms", 6))
 
 
+@query(f"""WITH f AS {_STAGES}, m AS (SELECT *, row_number() OVER (ORDER BY mean_ms DESC, event_type) AS place, greatest(sum(mean_ms) OVER (), 0.001) AS total FROM (SELECT event_type, coalesce(avg(ms), 0) AS mean_ms FROM f GROUP BY event_type))
+ SELECT 2 AS part, place::INT AS place, printf('| %s | %.1f | %.1f%% |', event_type, round(mean_ms, 1), round(mean_ms / total * 100, 1)) AS line FROM m
+ UNION ALL SELECT 3, 1, printf('| **Total** | **%.1f** | **100%%** |', round(total, 1)) FROM m WHERE place = 1
+ UNION ALL SELECT 5, place::INT, printf('    "%s" : %.1f', event_type, round(greatest(mean_ms, 0.1), 1)) FROM m
+ UNION ALL SELECT 7, 1, printf('**Bottleneck**: %s (%.1f%% of total time)', event_type, round(mean_ms / total * 100, 1)) FROM m WHERE place = 1
+ UNION ALL SELECT 9, (row_number() OVER (ORDER BY ms DESC, event_type))::INT, printf('| %s | %.1f |', event_type, round(ms, 1)) FROM (SELECT * FROM f ORDER BY ms DESC, event_type LIMIT 10)
+ UNION ALL SELECT x.part, x.place, x.line FROM (VALUES (1, 1, '# Stages'), (1, 2, ''), (1, 3, '| Stage | Mean time (ms) | % of total |'), (1, 4, '|---|---|---|'), (4, 5, ''), (4, 6, '```mermaid'), (4, 7, 'pie title Mean time per stage'), (6, 8, '```'), (6, 9, ''), (8, 10, ''), (8, 11, '| Slowest stages | Time (ms) |'), (8, 12, '|---|---|')) AS x(part, place, line)""")
+def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.report_lines(_stages(spark, sf_dir), "event_type", "ms", "Stages")
+
+
 def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("tokens"), F.min("value").alias("first"), F.max("value").alias("total"))
     return runs.select("user_id", "tokens", metrics.decode_rate(F.col("tokens"), F.col("first"), F.col("total")).alias("rate"))
@@ -565,8 +584,14 @@ _COMPONENTS = [("engine-gpu", "bin/engine", "gpu", 1, 900, "v1.10.2"), ("engine-
 _COMPONENTS_SQL = "(VALUES " + ", ".join(str(c).replace("None", "NULL") for c in _COMPONENTS) + ") AS c(name, dest, target, listed, size, version)"
 
 
+_MANIFEST = "".join(
+    f'[[component]]\nname = "{name}"\nkind = "{"binary" if target else "model"}"\nurl = "file:{name}"\nsha256 = ""\nsize = {size}\ndest = "{dest}"\nexec = false\nversion = "{version}"\n' + (f'target = "{target}"\n' if target else "")
+    for name, dest, target, _, size, version in _COMPONENTS
+)
+
+
 def _parts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_COMPONENTS, "name string, dest string, target string, listed int, size bigint, version string")
+    return manifests.component_rows(spark, _MANIFEST)
 
 
 @query(f"SELECT name, dest, size::BIGINT AS size, version NOT IN ('1.9.0', 'v1.0.0') AS recent FROM (SELECT * FROM {_COMPONENTS_SQL} WHERE target IS NULL OR target IN ('gpu', 'cpu') QUALIFY row_number() OVER (PARTITION BY dest ORDER BY CASE target WHEN 'gpu' THEN 0 WHEN 'cpu' THEN 1 ELSE 2 END, listed) = 1) WHERE name <> 'model'")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 
 def ingest_stream(source: DataFrame, plan: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, key: str = "provenance_id", name: str = "ingest") -> StreamingQuery:
@@ -28,3 +29,9 @@ def ingested(stored: DataFrame, key: str = "provenance_id") -> DataFrame:
     rows = [c for c in stored.columns if c not in ("stream", "batch")]
     first = stored.groupBy(key).agg(F.min_by(F.struct(*rows), F.struct("batch", "stream", "document_id", "chunk_index")).alias("row"))
     return first.select("row.*")
+
+
+def paced(spark: SparkSession, path: str, schema: StructType | str, files: int) -> DataFrame:
+    """A stream of Parquet uploads of which a micro-batch takes at most so many files: what comes in faster waits in the
+    folder, so a batch's memory is bounded whatever the backlog."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)

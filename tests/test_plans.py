@@ -152,3 +152,45 @@ def test_token_stream_folds_like_the_batch(spark, tmp_path):
     got = {r.stream_id: r for r in spark.sql("select * from folded").collect()}
     assert (got[1].answer, got[1].n_tokens, got[1].done) == ("t0 t1 t2 t3 t4 ", 5, True)
     assert got[2].stopped and got[2].n_tokens == 80
+
+
+def test_session_facts_and_report(spark, tmp_path):
+    from quillspan.plans.report import report_lines, write_report
+    from quillspan.streaming.recorder import FACTS, record, recorded
+
+    rows = [("r1", "upload", "split", 30.0, None, None), ("r1", "upload", "embed", 70.0, None, None), ("r2", "upload", "embed", 130.0, None, None)]
+    target = str(tmp_path / "facts")
+    for session, some in (("a", rows[:2]), ("a", rows[2:]), ("b", rows[:1])):
+        record(spark.createDataFrame(some, FACTS), target, session)
+    assert recorded(spark, target).count() == 4 and recorded(spark, target, "b").count() == 1
+    write_report(report_lines(recorded(spark, target, "a"), "stage", "ms", "Session a"), str(tmp_path / "md"))
+    lines = "".join(p.read_text() for p in (tmp_path / "md").glob("part-*")).split("\n")
+    assert lines[:7] == ["# Session a", "", "| Stage | Mean time (ms) | % of total |", "|---|---|---|", "| embed | 100.0 | 76.9% |", "| split | 30.0 | 23.1% |", "| **Total** | **130.0** | **100%** |"]
+    assert "**Bottleneck**: embed (76.9% of total time)" in lines and '    "split" : 30.0' in lines
+    assert lines[-4:] == ["| embed | 130.0 |", "| embed | 70.0 |", "| split | 30.0 |", ""]
+    assert report_lines(spark.createDataFrame([], FACTS), "stage", "ms", "none").count() == 0
+
+
+def test_paced_stream_bounds_a_batch(spark, tmp_path):
+    from quillspan.streaming.ingest import paced
+
+    source, out = tmp_path / "in", tmp_path / "out"
+    uploads(spark, 5).repartition(5).write.parquet(str(source))
+    files = len(list(source.glob("part-*")))
+    ingest_stream(paced(spark, str(source), uploads(spark).schema, 2), ingest, str(out), str(tmp_path / "c")).awaitTermination()
+    assert len(list(out.glob("stream=ingest/batch=*"))) == -(-files // 2)
+    assert ingested(spark.read.parquet(str(out))).count() == ingest(uploads(spark, 5)).dropDuplicates(["provenance_id"]).count()
+
+
+def test_manifest_and_requests(spark):
+    from quillspan.functions.requests import embed_request
+    from quillspan.sources.manifests import component_rows, manifest_rows
+
+    one = '[[component]]\nname = "m"\nkind = "model"\nurl = "u"\nsha256 = "0"\nsize = 9\ndest = "{data}/m"\nexec = false\n'
+    first, second = component_rows(spark, one + one.replace('"m"', '"n"') + 'target = "x"\nunpack_dir = true\n').orderBy("listed").collect()
+    assert (first.name, first.target, first.unpack_dir, first.listed) == ("m", None, False, 1) and (second.target, second.unpack_dir) == ("x", True)
+    for broken in ("", one.replace("size = 9\n", ""), one + 'unpack_dir = true\narchive_member = "a"\n'):
+        with pytest.raises(ValueError):
+            manifest_rows(broken)
+    df = spark.createDataFrame([(["a"],), (["a", "b"],), ([],)], "t array<string>")
+    assert [r[0] for r in df.select(embed_request(F.col("t"), "e")).collect()] == ['{"model":"e","input":"a"}', '{"model":"e","input":["a","b"]}', '{"model":"e","input":[]}']

@@ -28,6 +28,9 @@ from .common import TEXT, arrow_of, documents, learnable
 #: Learned texts per language at most, and bytes of a dictionary: documented bounds of the training sample.
 SAMPLE_TEXTS = 480
 DICTIONARY_BYTES = 96 * 1024
+#: A language's keys are ranked in so many groups of scan tasks first, so that its one last task meets SALTS * SAMPLE_TEXTS
+#: at most. The groups don't change which keys are picked.
+SALTS = 16
 #: Code points of a stretch. Learned texts are cut up whole, and each stretch has the same chance to be held.
 STRETCH = 400
 #: Blocks are compressed apart, so that a long text's own repeats don't outweigh the dictionaries.
@@ -53,8 +56,12 @@ def fit(docs: DataFrame, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     stretches with the smallest hashes, as many as it holds. Texts are ranked by their keys; only the picked ones move."""
     able = docs.select("lang", "doc_id", "text").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     able = able.withColumn("h", F.xxhash64("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(4)), "doc_id", "h"))
-    picked = able.select("lang", "doc_id", "h").withColumn("r", rank).where(F.col("r") <= SAMPLE_TEXTS).alias("p")
+    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(4)), "doc_id", "h"
+    picked = able.select("lang", "doc_id", "h", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
+    for own in (["lang", "salt"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*own).orderBy(*order))
+        picked = picked.withColumn("r", rank).where(F.col("r") <= SAMPLE_TEXTS).drop("r")
+    picked = picked.alias("p")
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("lang", "doc_id", "h")]
     rows = able.alias("a").join(F.broadcast(picked), same, "left_semi")  # SAMPLE_TEXTS keys a language
     starts = F.sequence(F.lit(1), F.length("text"), F.lit(STRETCH))

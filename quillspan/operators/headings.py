@@ -3,6 +3,8 @@ row, so no shuffle is needed."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,15 +29,23 @@ def is_title(line: Column) -> Column:
     return (line != "") & (F.length(line) <= LONGEST_TITLE) & ~line.rlike(NUMBERED_LINE) & ~is_heading(line)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used, inside lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def headings(text: Column) -> Column:
     """array<struct<byte_offset,label>> by rising offset, in one pass: each heading adds the lines since the last one."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    return _once(F.split(F.coalesce(text, F.lit("")), "\n"), _marks)
+
+
+def _marks(lines: Column) -> Column:
     numbered = F.transform(lines, lambda line, i: F.struct(i.alias("i"), strip(line).alias("line")))
     found = F.filter(numbered, lambda x: is_heading(x["line"]))
 
     def label(x: Column) -> Column:
         below = F.coalesce(strip(F.get(lines, x["i"] + 1)), F.lit(""))
-        return F.when(is_title(below), F.concat(x["line"], F.lit(DASH), below)).otherwise(x["line"])
+        return _once(below, lambda b: F.when(is_title(b), F.concat(x["line"], F.lit(DASH), b)).otherwise(x["line"]))
 
     def add(marks: Column, x: Column) -> Column:
         last = F.try_element_at(marks, F.lit(-1))

@@ -67,10 +67,22 @@ def unpacked(payload: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(payload).read_next_batch()
 
 
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+
+
 def bucket_count(docs: DataFrame, per_byte: float, text: str = "text") -> int:
     """Buckets for about per_byte hashes for each byte of all texts."""
-    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    return max(1, int(size * per_byte / BUCKET) + 1)
+    return max(1, int(text_bytes(docs, text) * per_byte / BUCKET) + 1)
+
+
+def of_parts(by: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, its places) of places that are ordered by their part by[place]. One pass: a look at all places for each
+    part would take parts times keys, which grows with the square of a corpus."""
+    owner = by[places]
+    edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True]) if len(places) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(owner[a]), places[a:b]
 
 
 def to_buckets(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:

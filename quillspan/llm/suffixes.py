@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import byte_table, documents, frugal, mix, prefix_sums, spans_hash, text_buffers, with_fields
-from .parts import answers, arrays_of, asked, bucket_count, member, parts_of, repeated_here, unpacked, with_answers
+from .parts import BUCKET, answers, arrays_of, asked, member, of_parts, parts_of, repeated_here, text_bytes, unpacked, with_answers
 
 LENGTH = 100
 GRAM = 36
@@ -47,7 +47,11 @@ BLOCK = 200_000
 TEXT = 1_000_000
 #: Bytes of text in a part, and bytes that a worker hashes at once, which takes some hundred times as many.
 PART_BYTES = 1_000_000
-RUN_BYTES = 2_000_000
+RUN_BYTES = 1_000_000
+#: Every part meets every bucket, so their numbers must not both grow with the corpus: from GROWS bytes of text on parts
+#: grow with it up to WIDEST times, buckets and HOT up to half as far.
+GROWS = 1_000_000_000
+WIDEST = 8
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -137,10 +141,9 @@ def repeated_anchors(asks: list[dict], parts: np.ndarray, hot: int = HOT) -> Ite
     by = np.repeat(np.arange(len(asks)), [len(a["key"]) for a in asks])
     known, back = np.unique(key, return_inverse=True)
     total = np.bincount(back, weights=np.concatenate([a["count"] for a in asks]), minlength=len(known))[back]
-    for k in np.unique(by[total > 1]):
-        own = np.flatnonzero((by == k) & (total > 1))
+    for k, own in of_parts(by, np.flatnonzero(total > 1)):
         own = own[np.argsort(key[own])]
-        yield int(k), {"key": key[own], "hot": (total[own] > hot).astype(np.uint8)}
+        yield k, {"key": key[own], "hot": (total[own] > hot).astype(np.uint8)}
 
 
 def ask_segments(batch: pa.RecordBatch, said: list[bytes]) -> dict:
@@ -314,9 +317,8 @@ def repeats_in_bucket(asks: list[dict], parts: np.ndarray) -> Iterator[tuple[int
     new = np.r_[True, (whose[1:] != whose[:-1]) | (low[1:] != high[:-1] + 1)] if len(low) else np.zeros(0, bool)
     ends = np.r_[np.flatnonzero(new)[1:] - 1, len(low) - 1] if len(low) else np.zeros(0, np.int64)
     low, high, whose = low[new], high[ends] if len(low) else high, whose[new]
-    for k in np.unique(by[whose]):
-        own = by[whose] == k
-        yield int(k), {"seg": seg[whose[own]].astype(np.uint32), "low": low[own].astype(np.uint8), "high": high[own].astype(np.uint8)}
+    for k, own in of_parts(by[whose], np.arange(len(whose))):
+        yield k, {"seg": seg[whose[own]].astype(np.uint32), "low": low[own].astype(np.uint8), "high": high[own].astype(np.uint8)}
 
 
 def removed_bytes(own: Segments, said: list[bytes]) -> np.ndarray:
@@ -330,16 +332,29 @@ def removed_bytes(own: Segments, said: list[bytes]) -> np.ndarray:
     edge = np.zeros(len(own.data) + 1, np.int32)
     np.add.at(edge, np.concatenate(low), 1)
     np.add.at(edge, np.concatenate(high) + LENGTH, -1)
-    return np.cumsum(edge[:-1]) > 0
+    return np.cumsum(edge, dtype=np.int32, out=edge)[:-1] > 0
+
+
+def before(marks: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """How many marks stand before each of the rising places."""
+    return np.cumsum([0, *(np.count_nonzero(marks[a:b]) for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True))])
+
+
+def widths(size: int) -> tuple[float, float]:
+    """How many times their usual size buckets and parts have for so many bytes of text."""
+    wider = min(max(size / GROWS, 1.0), float(WIDEST))
+    return max(wider / 2, 1.0), wider
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary), the remaining bytes."""
-    parts = parts_of(docs, text, PART_BYTES)
-    per_byte = 2.2 / (STARTS + 1)
-    anchors = answers(asked(parts, ask_anchors, bucket_count(docs, per_byte, text)), functools.partial(repeated_anchors, hot=hot))
+    size = text_bytes(docs, text)
+    wide, wider = widths(size)
+    parts = parts_of(docs, text, int(PART_BYTES * wider))
+    buckets = size * 2.2 / (STARTS + 1) / BUCKET / wide
+    anchors = answers(asked(parts, ask_anchors, int(buckets) + 1), functools.partial(repeated_anchors, hot=int(hot * wide)))
     # a quarter of the segments, and a tenth as many to a bucket
-    repeats = answers(asked(with_answers(parts, anchors), ask_segments, bucket_count(docs, per_byte * 2.5, text)), repeats_in_bucket)
+    repeats = answers(asked(with_answers(parts, anchors), ask_segments, int(buckets * 2.5) + 1), repeats_in_bucket)
     schema = with_fields(docs.select("doc_id").schema, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,13 +363,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataF
                 docs_here = unpacked(batch.column("payload")[r].as_buffer())
                 own = Segments(docs_here)
                 gone = removed_bytes(own, batch.column("answers")[r].as_py() or [])
-                total = np.r_[0, np.cumsum(gone)]
-                begins = gone & ~np.r_[False, gone[:-1]] if len(gone) else gone
+                begins = gone.copy()
+                begins[1:] &= ~gone[:-1]
                 begins[own.offsets[:-1][own.offsets[:-1] < len(gone)]] |= gone[own.offsets[:-1][own.offsets[:-1] < len(gone)]]
-                spans = np.r_[0, np.cumsum(begins)]
-                removed, runs = np.diff(total[own.offsets]), np.diff(spans[own.offsets])
+                total, spans = before(gone, own.offsets), before(begins, own.offsets)
+                removed, runs = np.diff(total), np.diff(spans)
                 left = own.data[~gone].tobytes()
-                at = own.offsets - total[own.offsets]
+                at = own.offsets - total
                 kept = [left[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([docs_here.column("doc_id"), pa.array(np.diff(own.offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], schema.names)
 

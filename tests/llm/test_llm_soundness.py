@@ -1,6 +1,7 @@
 """What the operators promise beyond plain results: sound hashes, long texts, clashing columns, stable rows, brute force."""
 
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -74,6 +75,38 @@ def test_equal_hashes_of_different_segments(monkeypatch):
         assert all(s.bytes_of(i) in {s.bytes_of(j) for j in range(i)} for i in np.flatnonzero(s.again))
 
 
+# ---------------------------------------------------------------- many parts
+
+
+def test_a_bucket_answers_many_parts_in_one_pass():
+    """10,000 parts, as of 6 GB, of 40 keys each: a look at all keys for each part took tens of seconds."""
+    rng = np.random.default_rng(3)
+    keys = [np.unique(rng.integers(0, 800_000, 40).astype(np.uint64)) for _ in range(10_000)]
+    asks = [{"key": k, "count": np.ones(len(k), np.uint32)} for k in keys]
+    began = time.process_time()
+    got = {k: a["key"].tolist() for k, a in suffixes.repeated_anchors(asks, np.arange(len(asks)))}
+    assert time.process_time() - began < 2
+    seen = Counter(key for a in asks for key in a["key"].tolist())
+    own = {k: sorted(key for key in a["key"].tolist() if seen[key] > 1) for k, a in enumerate(asks)}
+    assert got == {k: keys for k, keys in own.items() if keys}
+
+
+def test_parts_and_buckets_widen_with_the_corpus(spark, tmp_path, monkeypatch):
+    """Ten times the text must not give ten times the parts and ten times the buckets; results stay."""
+    for size, most in ((10**8, 10**3), (10**9, 10**3), (8 * 10**9, 10**3), (8 * 10**10, 10**4)):
+        buckets, parts = suffixes.widths(size)
+        assert buckets <= parts <= suffixes.WIDEST and size / (suffixes.PART_BYTES * parts) <= most
+    rng = random.Random(5)
+    passages = [" ".join(f"w{rng.randint(0, 900)}" for _ in range(40)) for _ in range(9)]
+    rows = [(i, " ".join([f"own{i}", rng.choice(passages), f"own{i * 7}", rng.choice(passages)[: rng.randint(90, 200)]]) if i % 9 else None) for i in range(120)]
+    docs = stored(spark, tmp_path / "d", rows, files=3)
+    monkeypatch.setattr(suffixes, "PART_BYTES", 500)
+    for grows in (10**9, 10**4, 100):
+        monkeypatch.setattr(suffixes, "GROWS", grows)
+        got = sorted((r.doc_id, r.n_bytes, r.n_removed, brute.sha(bytes(r.kept))) for r in suffixes.remove_repeats(docs).collect())
+        assert got == sorted((r[0], r[1], r[2], r[-1]) for r in brute.repeated_bytes(rows))
+
+
 # ---------------------------------------------------------------- long texts
 
 

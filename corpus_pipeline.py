@@ -12,22 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import mixing, near_duplicates, packing, secrets, toxicity
-from quillspan.llm.common import learnable, written
+from quillspan.llm.common import learnable, small_batches, written
 
 #: Stands in the text where a secret stood.
 BLACKED_OUT = "[secret]"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(learnable("doc_id"))
     return toxicity.without_toxic(docs, toxicity.fit(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_duplicates.without_near_duplicates(docs)
 
 
 def black_out_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     clean = secrets.redacted_documents(docs, BLACKED_OUT)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
@@ -37,6 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack_documents(docs, packing.tokenizer_path())
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, scratch, with_fields, written
+from .common import documents, frugal, scratch, with_fields, written
 
 LENGTH = 1024
 END = 2
@@ -129,7 +129,7 @@ def tokenized_pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int
                 uid += len(at)
                 yield pa.RecordBatch.from_arrays(out + [pa.array(raw, pa.binary())] * ids, schema.names)
 
-    return cols.mapInArrow(run, schema)
+    return cols.mapInArrow(frugal(run), schema)
 
 
 # ---------------------------------------------------------------- the genetic algorithm

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TEXT, arrow_of, documents
+from .common import TEXT, arrow_of, documents, frugal
 
 BASE_KINDS = ("assign", "access", "hex")
 WEAK_KINDS = ("weak_id", "weak_secret", "endpoint")
@@ -157,7 +157,7 @@ def _scanned(docs: DataFrame, text: str, schema: T.StructType, redact: str | Non
                 out.append(pa.array(clean, pa.string()))
             yield pa.RecordBatch.from_arrays(out, schema.names)
 
-    return cols.mapInArrow(scan, schema)
+    return cols.mapInArrow(frugal(scan), schema)
 
 
 def redacted(text: str | None, spans: list[tuple[int, int, str]], by: str) -> str | None:

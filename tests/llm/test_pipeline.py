@@ -67,3 +67,11 @@ def test_every_operator_has_a_query():
     assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "secrets", "mixing", "packing"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_python_workers_get_small_batches(spark, stages):
+    """A task's whole split in one batch took an executor past its memory."""
+    corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("word "), 1500).alias("text"))  # 30 MB in one task
+    sizes = [r.n for r in rows.mapInArrow(lambda batches: (type(b).from_pydict({"n": [b.nbytes]}) for b in batches), "n bigint").collect()]
+    assert sum(sizes) > 29_000_000 and max(sizes) < 2 * common.BATCH_BYTES
